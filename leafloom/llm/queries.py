@@ -7,12 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, pieces, sitelines
+from . import encode, markup, pieces, sentences, sitelines, stuffing
 from .common import table, tagged
 
 BLOCK_LIMIT, BLOCK_OVERLAP, RUN_LIMIT, RUN_OVERLAP = 2000, 200, 6000, 300
 
 
+# ---- problem 1 -------------------------------------------------------------------------------------------------------
+
+
+def _marked_texts(spark: SparkSession, d: str) -> DataFrame:
+    blocks = tagged(table(spark, d, "blocks"), "blocks", "block_id", "text")
+    return blocks.unionByName(tagged(table(spark, d, "ingest_results"), "ingest_results", "result_id", "markdown"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.residue(_marked_texts(spark, d)).select("tab", "row_id", F.explode("families").alias("family")).distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.residue(_marked_texts(spark, d).dropDuplicates(["tab", "row_id"]), clean=True)
+
+
+# ---- problem 2 -------------------------------------------------------------------------------------------------------
+
+
+def _quoted(spark: SparkSession, d: str) -> DataFrame:
+    blocks = tagged(table(spark, d, "blocks"), "blocks", "block_id", "text", where=F.col("kind") == "quote")
+    return tagged(table(spark, d, "share_quotes"), "share_quotes", "quote_id", "quote_text").unionByName(blocks)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(_quoted(spark, d)).select("tab", "row_id", "start_at", "end_at").distinct()
+
+
+def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(_quoted(spark, d).dropDuplicates(["tab", "row_id"]))
+
+
 # ---- problem 3 -------------------------------------------------------------------------------------------------------
 
 
@@ -64,6 +96,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+# ---- problem 8 -------------------------------------------------------------------------------------------------------
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     here = globals()
     return {n: here[n] for n in sorted(here) if n[:1] == "p" and n[1:2].isdigit()}
