@@ -28,13 +28,14 @@ SAMPLE = 4000
 LAGS = 40
 #: A term recurs unnaturally in a page that has it this often, at a median gap of at most so many terms.
 MIN_COUNT, MAX_GAP = 3, 14
-#: A term is a keyword if it recurs so in at least this many pages, and in this share of all pages that hold it.
-MIN_PAGES, MIN_RATIO = 3, 0.27
+#: A term is a keyword if it recurs so in at least this many pages, and either in this share of all pages that hold it, or
+#: in these shares of them and of the pages that hold it more than once.
+MIN_PAGES, MIN_RATIO, MIN_RATIO_ONCE, MIN_RATIO_TWICE = 3, 0.4, 0.25, 0.5
 #: Most keywords sent to the workers at once; beyond it they are joined to the pages instead.
 MAX_BROADCAST = 200_000
 # Frequent function words of English, German, French and Spanish.
 FUNCTION = set(
-    "a about after all although an and any anyone are as at be because been before between both but by could did do for from had has have he her his how i if in into is it its "
+    "a about after all although ve ll re nt isn don an and any anyone are as at be because been before between both but by could did do for from had has have he her his how i if in into is it its "
     "more most my no nor not of on one only or our out over said she since so than that the their them then there they this though to under until was we were what when which while who why with without would you your "
     "aber als am an auch auf aus bei bis dass das dem den der des die durch ein eine einem einen einer es für hat hatte im in ist mit nach nicht noch nur oder seit sich sie sind so über um und unter von vor war was weil wenn wer wie wurde zu zum zur "
     "au aux avec ce cette comme dans de des depuis du elle en est et était il la le les leur lui mais ne nous on ou où par pas plus pour puis qu que qui sa sans se ses si son sous sur un une "
@@ -43,6 +44,7 @@ FUNCTION = set(
 _SEGMENT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|[。！？؟।](?:[”」])?|(?=\n)|$)|[^\n]+")
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\b[^<>]*>|</a>", re.I)
 _WORD = re.compile(r"#?[^\W_]+(?:['’][^\W_]+)?")
+_SHORTENED = re.compile(r"['’](?:d|ll|m|re|s|t|ve)$")
 _FIELD = re.compile(r"\s*[|/»›·•;,]\s+")
 
 FEATURES = ["bias", "keyword", "keyword_high", "recurrent", "even_gaps", "correlated", "function", "linked", "tagged", "fields", "short_fields", "dense_list", "recurrent_nouns"]
@@ -56,7 +58,7 @@ def _parsed(text: str) -> list[tuple[str, list[str], list[tuple[str, int, int]]]
         if not m[0].strip():
             continue
         words = _WORD.findall(_LINK.sub(" ", m[0]).lower())
-        content = [(w, i) for i, w in enumerate(words) if w not in FUNCTION and not w.isdigit() and len(w) > 1]
+        content = [(w, i) for i, w in enumerate(words) if w not in FUNCTION and not w.isdigit() and len(w) > 1 and not _SHORTENED.search(w)]
         terms = [(f"{a} {b}", i, j) for (a, i), (b, j) in zip(content, content[1:]) if a != b]
         terms += [(w, i, i) for w, i in content if w[0] == "#" or w > "⺀"]
         terms.sort(key=lambda x: x[1])
@@ -64,15 +66,15 @@ def _parsed(text: str) -> list[tuple[str, list[str], list[tuple[str, int, int]]]
     return out
 
 
-def page_terms(text: str) -> dict[str, bool]:
-    """The terms of a page, and whether each recurs unnaturally: often, at short gaps."""
+def page_terms(text: str) -> dict[str, tuple[bool, bool]]:
+    """The terms of a page, and whether each comes more than once, and whether it recurs unnaturally: often, at short gaps."""
     places: dict[str, list[int]] = defaultdict(list)
     k = 0
     for _, _, terms in _parsed(text):
         for t, _, _ in terms:
             places[t].append(k)
             k += 1
-    return {t: len(at) >= MIN_COUNT and float(np.median(np.diff(at))) <= MAX_GAP for t, at in places.items()}
+    return {t: (len(at) > 1, len(at) >= MIN_COUNT and float(np.median(np.diff(at))) <= MAX_GAP) for t, at in places.items()}
 
 
 def segment_signs(text: str, keywords) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +200,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, keywords, *, sample: int = SA
 
 
 def keyword_terms(docs: DataFrame) -> DataFrame:
-    """(term, pages, recurring): the search keywords of all pages, from the recurrence of every term in every page.
+    """(term, pages, twice, recurring): the search keywords of all pages, from the recurrence of every term in every page.
 
     Equal texts count once, else a page copied often would make keywords of its own words.
     """
@@ -207,15 +209,19 @@ def keyword_terms(docs: DataFrame) -> DataFrame:
         for pdf in rows:
             total: dict[str, list[int]] = {}
             for text in pdf.text:
-                for t, unnatural in page_terms(text).items():
-                    c = total.setdefault(t, [0, 0])
+                for t, (twice, unnatural) in page_terms(text).items():
+                    c = total.setdefault(t, [0, 0, 0])
                     c[0] += 1
-                    c[1] += unnatural
-            yield pd.DataFrame([(t, *c) for t, c in total.items()], columns=["term", "pages", "recurring"])
+                    c[1] += twice
+                    c[2] += unnatural
+            yield pd.DataFrame([(t, *c) for t, c in total.items()], columns=["term", "pages", "twice", "recurring"])
 
     texts = docs.filter(F.length("text") > 0).groupBy(F.xxhash64("text"), F.hash("text")).agg(F.first("text").alias("text")).select("text")
-    counted = batches(texts, 1000).mapInPandas(run, "term string, pages long, recurring long").groupBy("term").agg(F.sum("pages").alias("pages"), F.sum("recurring").alias("recurring"))
-    return counted.filter((F.col("recurring") >= MIN_PAGES) & (F.col("recurring") >= F.col("pages") * F.lit(MIN_RATIO)))
+    counted = batches(texts, 1000).mapInPandas(run, "term string, pages long, twice long, recurring long")
+    counted = counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("pages", "twice", "recurring")))
+    r = F.col("recurring")
+    often = (r >= F.col("pages") * F.lit(MIN_RATIO)) | ((r >= F.col("pages") * F.lit(MIN_RATIO_ONCE)) & (r >= F.col("twice") * F.lit(MIN_RATIO_TWICE)))
+    return counted.filter((r >= MIN_PAGES) & often)
 
 
 def stuffed_pages(docs: DataFrame, labels: DataFrame, *, share: float = 0.5, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
