@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, markup, pieces, sentences, sitelines, stuffing
+from . import encode, leaks, markup, pieces, sentences, sitelines, stuffing
 from .common import table, tagged
 
 BLOCK_LIMIT, BLOCK_OVERLAP, RUN_LIMIT, RUN_OVERLAP = 2000, 200, 6000, 300
@@ -96,6 +96,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+# ---- problem 7 -------------------------------------------------------------------------------------------------------
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
+
+
 # ---- problem 8 -------------------------------------------------------------------------------------------------------
 
 
