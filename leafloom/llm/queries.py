@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, leaks, markup, pieces, sentences, sitelines, stuffing
+from . import encode, leaks, markup, pieces, scans, sentences, sitelines, stuffing
 from .common import table, tagged
 
 BLOCK_LIMIT, BLOCK_OVERLAP, RUN_LIMIT, RUN_OVERLAP = 2000, 200, 6000, 300
@@ -68,6 +68,25 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_lines(texts.select("tab", "row_id", "text").dropDuplicates(["tab", "row_id"]), drop)
 
 
+# ---- problem 4 -------------------------------------------------------------------------------------------------------
+
+
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, scans.Model]:
+    runs = table(spark, d, "ingest_results").select(F.col("result_id").alias("row_id"), "source_text", "markdown")
+    return runs, scans.learn(runs.select(F.explode(F.array("source_text", "markdown")).alias("text")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    runs, model = _scanned(spark, d)
+    queue = table(spark, d, "suspects").select(F.col("suspect_id").alias("row_id"), "match_text", "context")
+    return scans.scan_cases(runs, queue, model).distinct()
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    runs, model = _scanned(spark, d)
+    return scans.repaired_texts(runs, model)
+
+
 # ---- problem 5 -------------------------------------------------------------------------------------------------------
 
 
