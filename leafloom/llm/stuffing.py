@@ -80,31 +80,35 @@ def page_terms(text: str) -> dict[str, tuple[bool, bool]]:
 def segment_signs(text: str, keywords) -> tuple[np.ndarray, np.ndarray]:
     """(signs, sizes): a row of FEATURES and the number of characters for each segment of the text."""
     parsed = _parsed(text)
-    codes: dict[str, int] = {}
-    seq = np.array([codes.setdefault(t, len(codes)) for _, _, terms in parsed for t, _, _ in terms], np.int64)
-    counts = np.bincount(seq, minlength=len(codes)) if len(seq) else np.zeros(0)
-    correlated, even = np.zeros(len(seq)), np.zeros(len(seq))
-    for lag in range(1, min(LAGS, len(seq) - 1) + 1):  # positional autocorrelation: at how many lags the term is met again
-        same = seq[lag:] == seq[:-lag]
-        correlated[lag:] += same
-        correlated[:-lag] += same
-    order = np.argsort(seq, kind="stable")
-    for at in np.split(order, np.cumsum(counts)[:-1].astype(int)) if len(seq) else []:
-        if len(at) >= MIN_COUNT:
-            gaps = np.diff(at)
-            even[at] = float(np.mean(gaps <= LAGS)) / (1 + float(np.std(gaps)) / (float(np.mean(gaps)) + 1))
+    places: dict[str, list[int]] = {}
+    length = 0
+    for _, _, terms in parsed:
+        for t, _, _ in terms:
+            places.setdefault(t, []).append(length)
+            length += 1
+    often, correlated, even = np.zeros(length), np.zeros(length), np.zeros(length)
+    for own in places.values():
+        if len(own) > 1:
+            at = np.array(own)
+            # positional autocorrelation: at how many lags of the window the term is met again
+            correlated[at] = np.searchsorted(at, at + LAGS, "right") - np.searchsorted(at, at - LAGS, "left") - 1
+            if len(own) >= MIN_COUNT:
+                gaps = np.diff(at)
+                often[at] = 1
+                even[at] = float(np.mean(gaps <= LAGS)) / (1 + float(np.std(gaps)) / (float(np.mean(gaps)) + 1))
+    np.minimum(correlated, 6, out=correlated)
+    before = [np.concatenate([[0.0], np.cumsum(x)]).tolist() for x in (often, even, correlated)]
     rows, sizes, k = [], [], 0
     for s, words, terms in parsed:
         n, body = len(terms), s.strip()
-        here = slice(k, k + n)
+        recurrent, evenness, correlation = ((x[k + n] - x[k]) / n if n else 0.0 for x in before)
         k += n
-        covered = np.zeros(max(1, len(words)), bool)
+        covered: set[int] = set()
         for t, i, j in terms:
             if t in keywords:
-                covered[i : j + 1] = True
-        lettered = np.array([w.isalpha() or w[0] == "#" or "'" in w or "’" in w for w in words], bool)
-        keyword = float(covered[: len(words)][lettered].mean()) if lettered.any() else 0.0
-        recurrent = float(np.mean(counts[seq[here]] >= MIN_COUNT)) if n else 0.0
+                covered.update(range(i, j + 1))
+        lettered = [w.isalpha() or w[0] == "#" or "'" in w or "’" in w for w in words]
+        keyword = sum(lettered[i] for i in covered) / sum(lettered) if covered and any(lettered) else 0.0
         func = sum(w in FUNCTION for w in words) / max(1, len(words))
         fields = [f for f in _FIELD.split(body) if f]
         many = min(len(fields), 12) / 12
@@ -114,8 +118,8 @@ def segment_signs(text: str, keywords) -> tuple[np.ndarray, np.ndarray]:
                 keyword,
                 float(keyword >= 0.3),
                 recurrent,
-                float(even[here].mean()) if n else 0.0,
-                float(np.minimum(correlated[here], 6).mean()) / 6 if n else 0.0,
+                evenness,
+                correlation / 6,
                 min(func, 0.6),
                 min(1.0, sum(len(m[0]) for m in _LINK.finditer(s)) / len(body) * 2),
                 sum(w[0] == "#" for w in words) / max(1, len(words)),
