@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle, queries
+
 
 def catalog_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: getattr(queries, n) for n in queries.NAMES}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(oracle.ORACLE)
