@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """doc_id and the columns, worked out once per row: a generator stands between them and later lambdas, so that the
+    optimiser can't copy the expressions into them, where each word would split the whole text again."""
+    return df.select("doc_id", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def word_counts(pairs: DataFrame) -> DataFrame:
     """(doc_id, source_words, output_words) of pairs(doc_id, source_text, markdown); a null side counts as none."""
     out = X.words(X.strip_front_matter(F.col("markdown")))
@@ -20,15 +26,14 @@ def lossless(pairs: DataFrame, *, limit: float = 0.001) -> DataFrame:
     """(doc_id, num, den, ok): output words that neither the source nor its repaired form has, of all output words.
 
     A document without source text is not evaluated: ok is null. Row-local, since both texts lie in one row: the anti-join
-    of words against the source's own vocabulary is an array operation, and nothing is shuffled.
+    of words against the source's own vocabulary is a hashed array difference, and nothing is shuffled.
     """
     source = F.array_union(X.words(F.col("source_text")), X.words(X.auto_fix(F.col("source_text"))))
     output = X.words(X.strip_front_matter(F.col("markdown")))
-    both = pairs.filter(F.col("markdown").isNotNull()).select("doc_id", source.alias("source"), output.alias("output"))
-    known = F.map_from_arrays("source", F.transform("source", lambda w: F.lit(True)))
-    both = both.select("doc_id", known.alias("known"), "output")
-    num = F.size(F.filter("output", lambda w: F.col("known")[w].isNull()))
-    both = both.select("doc_id", F.when(F.col("known").isNotNull(), num).alias("num"), F.size("output").alias("den"))
+    both = _once(pairs.filter(F.col("markdown").isNotNull()), source=source, output=output)
+    both = _once(both, foreign=F.array_except("output", "source"), output=F.col("output"))
+    num = F.size(F.filter("output", lambda w: F.array_contains("foreign", w)))
+    both = both.select("doc_id", F.when(F.col("foreign").isNotNull(), num).alias("num"), F.size("output").alias("den"))
     ok = F.when(F.col("num").isNotNull(), F.when(F.col("den") > 0, F.col("num") < F.col("den") * F.lit(limit)).otherwise(False))
     return both.select("doc_id", "num", "den", ok.alias("ok"))
 
