@@ -60,6 +60,8 @@ def shares_stretch(a: np.ndarray, b: np.ndarray) -> bool:
     n, m = len(a), len(b)
     if n < STRETCH or m < STRETCH:
         return False
+    if n > 4096:  # a long text is taken in overlapping parts; the overlap holds every stretch that is tried
+        return any(shares_stretch(a[k : k + 4096], b) for k in range(0, n - STRETCH + 1, 4096 - 2 * STRETCH))
     same = a[:, None] == b[None, :]
     # a diagonal with a stretch has at least this many equal words
     need = STRETCH - STRETCH // REPLACED
@@ -185,13 +187,16 @@ def candidates(index: Index, ws: np.ndarray) -> set[int]:
     keep = (total[ends] - total[starts] >= index.least - 1e-6) & (count[ends] - count[starts] >= STRETCH - STRETCH // REPLACED)
     if not keep.any():
         return set()
-    vectors = []
-    for a, b in zip(starts[keep], ends[keep]):
-        own = ws[a:b][known[a:b]]
-        vectors.append(index.idf[own].astype(np.float32) @ index.space[own])
-    x = np.array(vectors)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    near = (x @ index.latent.T >= COSINE).any(axis=0)
+    near = np.zeros(len(index.item_of), bool)
+    spans = list(zip(starts[keep].tolist(), ends[keep].tolist()))
+    for k in range(0, len(spans), 512):  # bounded memory for long texts
+        vectors = []
+        for a, b in spans[k : k + 512]:
+            own = ws[a:b][known[a:b]]
+            vectors.append(index.idf[own].astype(np.float32) @ index.space[own])
+        x = np.array(vectors)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        near |= (x @ index.latent.T >= COSINE).any(axis=0)
     return set(index.item_of[near].tolist())
 
 

@@ -8,7 +8,9 @@ stands before or after it. Offsets count code points.
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,23 +72,29 @@ def matched(text: str) -> tuple[dict[int, int], dict[int, int]]:
     """(closing place by opening place, and the reverse) of quotations and brackets; a blank line ends all open ones."""
     stack: list[tuple[int, str]] = []
     close_of: dict[int, int] = {}
+    waiting: Counter = Counter()  # how many open signs each closing sign would close
     for m in _SIGN.finditer(text):
         c, i = m[0], m.start()
         if c[0] == "\n":
             if len(c) > 1 and "\n" in c[1:]:
                 stack.clear()
+                waiting.clear()
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if c in stack[k][1]:
-                close_of[stack[k][0]] = i
-                del stack[k:]
-                break
+        if waiting[c] > 0:
+            while True:
+                at, closers = stack.pop()
+                waiting.subtract(closers)
+                if c in closers:
+                    close_of[at] = i
+                    break
         else:
             if c == '"':
                 if i + 1 < len(text) and not text[i + 1].isspace():
                     stack.append((i, '"'))
+                    waiting['"'] += 1
             elif c in OPENERS:
                 stack.append((i, OPENERS[c]))
+                waiting.update(OPENERS[c])
     return close_of, {b: a for a, b in close_of.items()}
 
 
@@ -143,10 +151,7 @@ def boundaries(text: str) -> list[int]:
         line = text.rfind("\n", 0, m.start()) + 1
         if text[line : m.start()].rstrip()[-1:] in ".!?:;。" or _LIST.match("\n" + text[line : m.start()] + "\n"):
             cuts.add(m.start())
-    spans = sorted(close_of.items())
-
-    def opened(i: int) -> list[tuple[int, int]]:
-        return [(a, b) for a, b in spans if a < i < b]
+    opened = _Stack(sorted(close_of.items())).around
 
     if any("฀" <= c <= "๿" for c in text):
         for m in _THAI_GAP.finditer(text):
@@ -159,12 +164,13 @@ def boundaries(text: str) -> list[int]:
             if not opened(m.start()):
                 cuts.add(m.start())
 
-    starts: list[int] = [0]
+    opened = _Stack(sorted(close_of.items())).around
+    order = sorted(cuts)
 
     def at_start(i: int) -> bool:
         """Does only white space lie between the last boundary and i?"""
-        last = max((c for c in cuts if c <= i), default=0)
-        return not text[last:i].strip("  \t\n")
+        k = bisect.bisect_right(order, i)
+        return not text[order[k - 1] if k else 0 : i].strip(" \xa0\u202f\t\n")
 
     for m in _END.finditer(text):
         run, i, end = m[0], m.start(), m.end()
@@ -185,7 +191,7 @@ def boundaries(text: str) -> list[int]:
         if (lead := _MARKUP.match(text, nxt)) and lead.end() < len(text) and text[lead.end()].isalnum():
             follow = text[lead.end()]
         inside = opened(i if end == m.end() else end)
-        closed = [a for b, a in open_of.items() if m.end() <= b < end]
+        closed = [open_of[b] for b in range(m.end(), end) if b in open_of]
         if any(text[a] not in QUOTES for a, _ in inside):
             continue
         if inside and any(not at_start(a) or _reported_after(text, b) for a, b in inside):
@@ -218,8 +224,23 @@ def boundaries(text: str) -> list[int]:
                 continue
         elif follow.islower():
             continue
-        cuts.add(end)
-    return sorted(cuts)
+        bisect.insort(order, end)
+    return sorted(set(order))
+
+
+class _Stack:
+    """The matched signs that are open at a place; asked for places in rising order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans, self.next, self.open = spans, 0, []
+
+    def around(self, i: int) -> list[tuple[int, int]]:
+        while self.next < len(self.spans) and self.spans[self.next][0] < i:
+            self.open.append(self.spans[self.next])
+            self.next += 1
+        while self.open and self.open[-1][1] <= i:
+            self.open.pop()
+        return [x for x in self.open if x[1] > i]
 
 
 def _short(text: str, stop: int) -> bool:
