@@ -8,17 +8,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import headings as H
 from ..functions import text as X
 
-PAGE = W.partitionBy("doc_id", "pg")
-BY_LINE = PAGE.orderBy("ln")
 INLINE = "^" + X.WS + r"{0,8}([0-9]{1,4})" + X.WS + r"{0,3}[A-Za-z\"“(]"
 STACKED = "^" + X.WS + r"{0,10}([0-9]{1,4})" + X.WS + r"*\z"
 PAGE_NUMBER = "(?i)^" + X.WS + "*([0-9]{1,4}|[ivxlcdm]{1,8})" + X.WS + r"*\z"
 
 
+def _page() -> WindowSpec:
+    return W.partitionBy("doc_id", "pg")
+
+
+def _by_line() -> WindowSpec:
+    return _page().orderBy("ln")
+
+
 def page_lines(docs: DataFrame, *, page_rows: int = 40) -> DataFrame:
     """lines of docs(doc_id, text). Form feeds part the pages; a document without any gets pages of ``page_rows`` lines.
 
@@ -29,7 +36,7 @@ def page_lines(docs: DataFrame, *, page_rows: int = 40) -> DataFrame:
     pg = F.when(F.col("fed"), F.col("part")).otherwise(F.floor(F.col("at") / page_rows).cast("int"))
     ln = F.when(F.col("fed"), F.col("at")).otherwise(F.col("at") % page_rows)
     lines = lines.select("doc_id", pg.alias("pg"), ln.cast("int").alias("ln"), "t")
-    some = F.max((~X.is_blank(F.col("t"))).cast("int")).over(PAGE)
+    some = F.max((~X.is_blank(F.col("t"))).cast("int")).over(_page())
     return lines.withColumn("some", some).filter("some = 1").drop("some")
 
 
@@ -45,7 +52,7 @@ def doc_margin(lines: DataFrame) -> DataFrame:
 
 def double_spaced(lines: DataFrame) -> DataFrame:
     text = ~X.is_blank(F.col("t"))
-    after = F.lead(X.is_blank(F.col("t"))).over(BY_LINE)
+    after = F.lead(X.is_blank(F.col("t"))).over(_by_line())
     counted = lines.select("doc_id", "pg", text.alias("text"), (text & F.coalesce(after, F.lit(False))).alias("gap"))
     counted = counted.groupBy("doc_id", "pg").agg(F.count_if("text").alias("nonblank"), F.count_if("gap").alias("alternating"))
     return counted.withColumn("is_double", (F.col("nonblank") >= 4) & (F.col("alternating") >= 0.6 * F.col("nonblank")))
@@ -55,7 +62,7 @@ def collapse_spacing(lines: DataFrame) -> DataFrame:
     """On double-spaced pages single blank lines go, and of longer gaps one blank line stays."""
     wide = lines.join(double_spaced(lines).filter("is_double").select("doc_id", "pg", F.lit(True).alias("wide")), ["doc_id", "pg"], "left")
     blank = X.is_blank(F.col("t"))
-    marked = wide.withColumn("island", F.sum(F.when(blank, 0).otherwise(1)).over(BY_LINE)).withColumn("blank", blank)
+    marked = wide.withColumn("island", F.sum(F.when(blank, 0).otherwise(1)).over(_by_line())).withColumn("blank", blank)
     gap = W.partitionBy("doc_id", "pg", "island", "blank")
     marked = marked.withColumn("size", F.count("*").over(gap)).withColumn("first", F.min("ln").over(gap))
     kept = F.col("wide").isNull() | ~F.col("blank") | ((F.col("size") > 1) & (F.col("ln") == F.col("first")))
@@ -65,7 +72,7 @@ def collapse_spacing(lines: DataFrame) -> DataFrame:
 def printed_pages(lines: DataFrame) -> DataFrame:
     """The printed number at the foot, or else at the head, of each page. A Roman number stops the search but is not taken."""
     text = ~X.is_blank(F.col("t"))
-    ends = lines.withColumn("n", F.count("*").over(PAGE)).withColumn("at", F.row_number().over(BY_LINE)).filter(text)
+    ends = lines.withColumn("n", F.count("*").over(_page())).withColumn("at", F.row_number().over(_by_line())).filter(text)
     foot, head = F.col("at") > F.col("n") - 4, F.col("at") <= 3
     two = ends.groupBy("doc_id", "pg").agg(F.max_by(F.when(foot, F.col("t")), F.when(foot, F.col("at"))).alias("foot"), F.min_by(F.when(head, F.col("t")), F.when(head, F.col("at"))).alias("head"))
     number = lambda c: F.when(F.col(c).rlike("^" + X.WS + "*[0-9]{1,4}" + X.WS + r"*\z"), X.trim_ws(F.col(c)).cast("int"))
@@ -84,8 +91,8 @@ def note_candidates(lines: DataFrame) -> DataFrame:
 
 def longest_note_run(candidates: DataFrame) -> DataFrame:
     """Per page the longest run of notes each one more than the last, the earliest on a tie (gaps and islands)."""
-    step = F.col("note") - F.lag("note").over(BY_LINE)
-    runs = candidates.withColumn("new", F.when(step == 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(BY_LINE))
+    step = F.col("note") - F.lag("note").over(_by_line())
+    runs = candidates.withColumn("new", F.when(step == 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(_by_line()))
     runs = runs.groupBy("doc_id", "pg", "run").agg(F.min("ln").alias("start_ln"), F.count("*").alias("run_len"))
     best = W.partitionBy("doc_id", "pg").orderBy(F.col("run_len").desc(), "start_ln")
     return runs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("doc_id", "pg", "start_ln", "run_len")
@@ -100,8 +107,8 @@ def contents_entries(lines: DataFrame) -> DataFrame:
     """Entries of contents pages (three leader lines or more): wrapped lines join the leader line that ends them."""
     single = X.normalise(F.col("t"))
     text = lines.filter(~X.is_blank(F.col("t"))).select("doc_id", "pg", "ln", single.alias("single"), single.rlike(H.LEADERS).alias("leads"))
-    text = text.withColumn("pages", F.count_if("leads").over(PAGE)).filter("pages >= 3")
-    before = BY_LINE.rowsBetween(W.unboundedPreceding, -1)
+    text = text.withColumn("pages", F.count_if("leads").over(_page())).filter("pages >= 3")
+    before = _by_line().rowsBetween(W.unboundedPreceding, -1)
     text = text.withColumn("entry", F.coalesce(F.count_if("leads").over(before), F.lit(0)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ln", F.regexp_replace("single", H.LEADERS, "").alias("s")))), lambda x: x["s"])
     joined = X.trim_ws(F.regexp_replace(X.normalise(F.array_join("parts", " ")), r"[.·\s]+\z", ""))
@@ -114,7 +121,7 @@ def quote_lines(lines: DataFrame, margins: DataFrame) -> DataFrame:
     single = X.normalise(F.col("t"))
     deep = ~X.is_blank(F.col("t")) & ~H.is_contents_entry(single) & H.heading(single).isNull() & (X.indent(F.col("t")) >= F.col("margin") + 5)
     marked = lines.join(margins, "doc_id").withColumn("deep", deep)
-    beside = F.coalesce(F.lag("deep").over(BY_LINE), F.lit(False)) | F.coalesce(F.lead("deep").over(BY_LINE), F.lit(False))
+    beside = F.coalesce(F.lag("deep").over(_by_line()), F.lit(False)) | F.coalesce(F.lead("deep").over(_by_line()), F.lit(False))
     return marked.withColumn("beside", beside).filter("deep and beside").select("doc_id", "pg", "ln")
 
 

@@ -6,16 +6,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import text as X
 from .folds import unique_ids
 
-DOC = W.partitionBy("doc_id")
-BY_SEQ = DOC.orderBy("seq")
-SOFAR = BY_SEQ.rowsBetween(W.unboundedPreceding, 0)
 PAGE_MARK = r"\A%%page ([0-9]+)%%\z"
 
 
+def _doc() -> WindowSpec:
+    return W.partitionBy("doc_id")
+
+
+def _so_far() -> WindowSpec:
+    return _doc().orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+
+
 def markdown_blocks(md: DataFrame) -> DataFrame:
     """(doc_id, seq, kind, level, text) of md(doc_id, markdown), without front matter and notes section."""
     body = X.strip_notes_section(X.strip_front_matter(F.col("markdown")))
@@ -32,7 +38,7 @@ def markdown_blocks(md: DataFrame) -> DataFrame:
 
 def paragraph_pages(blocks: DataFrame) -> DataFrame:
     """(doc_id, seq, page) of the paragraphs: the last page mark before each, null before the first."""
-    page = F.last(F.when(F.col("kind") == "page", F.col("text").cast("int")), ignorenulls=True).over(SOFAR)
+    page = F.last(F.when(F.col("kind") == "page", F.col("text").cast("int")), ignorenulls=True).over(_so_far())
     return blocks.withColumn("page", page).filter("kind = 'paragraph'").select("doc_id", "seq", "page")
 
 
@@ -46,7 +52,7 @@ def paragraph_ids(blocks: DataFrame) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("seq"))
     numbered = paras.withColumn("nth", nth).withColumn("para_id", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "nth")))
     numbered = numbered.withColumn("same", F.count("*").over(W.partitionBy("doc_id", "para_id")))
-    numbered = numbered.withColumn("clash", F.max("same").over(DOC) > 1)
+    numbered = numbered.withColumn("clash", F.max("same").over(_doc()) > 1)
 
     def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
@@ -64,16 +70,16 @@ def sections(blocks: DataFrame, *, min_chars: int = 2500) -> DataFrame:
     first part the one after. The page is the first page mark inside the section.
     """
     starts = F.when((F.col("kind") == "heading") & F.col("level").isin(2, 3), 1).otherwise(0)
-    parts = blocks.withColumn("part", F.sum(starts).over(SOFAR))
+    parts = blocks.withColumn("part", F.sum(starts).over(_so_far()))
     shown = F.col("kind") != "page"
     parts = parts.withColumn("len", F.when(shown, F.length("text") + 1).otherwise(0))
     sized = parts.groupBy("doc_id", "part").agg((F.sum("len") - 1).alias("chars"), F.min("seq").alias("first_seq"))
-    by_part = DOC.orderBy("part")
+    by_part = _doc().orderBy("part")
     opens = F.when((F.row_number().over(by_part) == 1) | (F.col("chars") >= min_chars), 1).otherwise(0)
     sized = sized.withColumn("grp", F.sum(opens).over(by_part.rowsBetween(W.unboundedPreceding, 0)))
     total = F.sum(F.col("chars") + 1).over(W.partitionBy("doc_id", "grp")) - 1
-    sized = sized.withColumn("total", total).withColumn("groups", F.max("grp").over(DOC))
-    short_first = F.max(F.when((F.col("grp") == 1) & (F.col("total") < min_chars) & (F.col("groups") > 1), 1).otherwise(0)).over(DOC)
+    sized = sized.withColumn("total", total).withColumn("groups", F.max("grp").over(_doc()))
+    short_first = F.max(F.when((F.col("grp") == 1) & (F.col("total") < min_chars) & (F.col("groups") > 1), 1).otherwise(0)).over(_doc())
     sized = sized.withColumn("sec", F.greatest(F.col("grp") - short_first, F.lit(1)))
     all_ = parts.join(sized.select("doc_id", "part", "sec"), ["doc_id", "part"])
     title = F.min_by(F.when((F.col("kind") == "heading") & F.col("level").isin(2, 3), F.col("text")), F.when((F.col("kind") == "heading") & F.col("level").isin(2, 3), F.col("seq")))
@@ -91,7 +97,7 @@ def _with_slugs(out: DataFrame) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("sec_ord"))
     out = out.withColumn("nth", nth).withColumn("slug", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "nth")))
     cols = ["doc_id", "sec_ord", "slug", "title", "page", "n_chars", "words", "first_seq", "last_seq"]
-    counted = out.withColumn("same", F.count("*").over(W.partitionBy("doc_id", "slug"))).withColumn("clash", F.max("same").over(DOC) > 1)
+    counted = out.withColumn("same", F.count("*").over(W.partitionBy("doc_id", "slug"))).withColumn("clash", F.max("same").over(_doc()) > 1)
 
     def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sec_ord")
@@ -103,8 +109,8 @@ def _with_slugs(out: DataFrame) -> DataFrame:
 
 def section_nav(secs: DataFrame) -> DataFrame:
     """(doc_id, i, n, prev, slug, next): neighbours of each section."""
-    by = DOC.orderBy("sec_ord")
-    return secs.select("doc_id", F.row_number().over(by).alias("i"), F.count("*").over(DOC).alias("n"), F.lag("slug").over(by).alias("prev"), "slug", F.lead("slug").over(by).alias("next"))
+    by = _doc().orderBy("sec_ord")
+    return secs.select("doc_id", F.row_number().over(by).alias("i"), F.count("*").over(_doc()).alias("n"), F.lag("slug").over(by).alias("prev"), "slug", F.lead("slug").over(by).alias("next"))
 
 
 def paragraph_sections(ids: DataFrame, secs: DataFrame) -> DataFrame:
