@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plan_aids import once
 from .text import WS, trim_ws
 
 LEADERS = r"[.·]{4,}" + WS + r"*([0-9]{1,4})" + WS + r"*\z"
@@ -26,28 +27,25 @@ def is_titular(t: Column) -> Column:
     return (t == F.upper(t)) | ((F.size(words) >= 2) & (capital / F.size(words) >= 0.6))
 
 
-def heading(line: Column) -> Column:
-    """struct(level, text) of a line that is a heading, else null. ``line`` is normalised."""
-    t = trim_ws(line)
-    body = trim_ws(F.regexp_replace(t, WS + r"+[0-9]{1,4}\z", ""))
-    fits = (t != "") & ~is_contents_entry(t) & (body != "") & (F.size(F.split(body, f"{WS}+")) <= 14) & ~body.rlike(r"[;:,\-­‐]\z")
-    title = trim_ws(F.regexp_extract(body, NUMBERED, 2))
-    numbered = body.rlike(NUMBERED) & title.rlike("^[A-Z]") & ~title.rlike(r"\.\z") & is_titular(title)
-    letters = F.length(F.regexp_replace(body, "[^A-Za-z]", ""))
+def with_heading(df: DataFrame, line: Column, *, to: str = "h") -> DataFrame:
+    """df with a column struct(level, text), null where ``line`` (normalised) is no heading. Its parts are worked out once
+    per row each, since the rules name them many times."""
+    df = once(df, __t=trim_ws(line))
+    df = once(df, __b=trim_ws(F.regexp_replace("__t", WS + r"+[0-9]{1,4}\z", "")))
+    df = once(df, __n=trim_ws(F.regexp_extract("__b", NUMBERED, 2)), __l=F.length(F.regexp_replace("__b", "[^A-Za-z]", "")))
+    t, body, title, letters = (F.col(c) for c in ("__t", "__b", "__n", "__l"))
+    fits = (t != "") & (body != "") & ~is_contents_entry(t) & ~body.rlike(r"[;:,\-­‐]\z") & (F.size(F.split(body, f"{WS}+")) <= 14)
+    numbered = (title != "") & title.rlike("^[A-Z]") & ~title.rlike(r"\.\z") & is_titular(title)
     capitals = (
         (letters >= 4)
         & (body == F.upper(body))
-        & ~body.rlike(r"\.\z")
-        & ~body.rlike("[$%]")
-        & ~body.rlike("[0-9]{3}")
+        & ~body.rlike(r"\.\z|[$%]|[0-9]{3}")
         & (F.length(body) - F.length(F.replace(body, F.lit(","), F.lit(""))) < 2)
         & (letters / F.length(body) > 0.6)
     )
     level = F.when(title == F.upper(title), 2).otherwise(3)
-    return F.when(
-        fits,
-        F.when(numbered, F.struct(level.alias("level"), title.alias("text"))).when(capitals, F.struct(F.lit(2).alias("level"), body.alias("text"))),
-    )
+    found = F.when(fits, F.when(numbered, F.struct(level.alias("level"), title.alias("text"))).when(capitals, F.struct(F.lit(2).alias("level"), body.alias("text"))))
+    return once(df, **{to: found}).drop("__t", "__b", "__n", "__l")
 
 
 def dangles(t: Column) -> Column:

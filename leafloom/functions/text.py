@@ -77,16 +77,24 @@ def strip_notes_section(md: Column) -> Column:
     return F.regexp_replace(md, r"(?s)\n## Notes\n.*", "")
 
 
-def paragraph_id_base(t: Column) -> Column:
-    """The id that a paragraph's own opening words give."""
+def id_words(t: Column) -> Column:
+    """The words of a paragraph that its id may hold."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(t), r"\[\^[0-9]+\]", " "), rf"[^\p{{L}}\p{{N}}\-{WS[1:-1]}]", " ")
-    all_words = F.filter(F.split(plain, f"{WS}+"), lambda w: w != "")
-    telling = F.filter(all_words, lambda w: ~w.isin(STOPWORDS))
-    base = F.array_join(F.slice(F.when(F.size(telling) >= 2, telling).otherwise(all_words), 1, 5), "-")
+    return F.filter(F.split(plain, f"{WS}+"), lambda w: w != "")
+
+
+def id_from_words(words: Column) -> Column:
+    telling = F.filter(words, lambda w: ~w.isin(STOPWORDS))
+    base = F.array_join(F.slice(F.when(F.size(telling) >= 2, telling).otherwise(words), 1, 5), "-")
     base = F.regexp_replace(F.substring(base, 1, 60), r"-+\z", "")
     return F.when(base == "", "para").otherwise(base)
 
 
+def paragraph_id_base(t: Column) -> Column:
+    """The id that a paragraph's own opening words give."""
+    return id_from_words(id_words(t))
+
+
 def slugify(t: Column) -> Column:
     kept = trim_ws(F.regexp_replace(F.lower(t), rf"[^A-Za-z0-9_\-{WS[1:-1]}]", ""))
     return F.substring(F.regexp_replace(kept, f"{WS}+", "-"), 1, 80)

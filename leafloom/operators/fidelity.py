@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-
-
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """doc_id and the columns, worked out once per row: a generator stands between them and later lambdas, so that the
-    optimiser can't copy the expressions into them, where each word would split the whole text again."""
-    return df.select("doc_id", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+from ..plan_aids import once
 
 
 def word_counts(pairs: DataFrame) -> DataFrame:
@@ -30,8 +25,8 @@ def lossless(pairs: DataFrame, *, limit: float = 0.001) -> DataFrame:
     """
     source = F.array_union(X.words(F.col("source_text")), X.words(X.auto_fix(F.col("source_text"))))
     output = X.words(X.strip_front_matter(F.col("markdown")))
-    both = _once(pairs.filter(F.col("markdown").isNotNull()), source=source, output=output)
-    both = _once(both, foreign=F.array_except("output", "source"), output=F.col("output"))
+    both = once(pairs.filter(F.col("markdown").isNotNull()), source=source, output=output).select("doc_id", "source", "output")
+    both = once(both, foreign=F.array_except("output", "source"))
     num = F.size(F.filter("output", lambda w: F.array_contains("foreign", w)))
     both = both.select("doc_id", F.when(F.col("foreign").isNotNull(), num).alias("num"), F.size("output").alias("den"))
     ok = F.when(F.col("num").isNotNull(), F.when(F.col("den") > 0, F.col("num") < F.col("den") * F.lit(limit)).otherwise(False))

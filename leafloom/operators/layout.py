@@ -12,6 +12,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import headings as H
 from ..functions import text as X
+from ..plan_aids import once
 
 INLINE = "^" + X.WS + r"{0,8}([0-9]{1,4})" + X.WS + r"{0,3}[A-Za-z\"“(]"
 STACKED = "^" + X.WS + r"{0,10}([0-9]{1,4})" + X.WS + r"*\z"
@@ -99,14 +100,14 @@ def longest_note_run(candidates: DataFrame) -> DataFrame:
 
 
 def heading_lines(lines: DataFrame) -> DataFrame:
-    h = H.heading(X.normalise(F.col("t")))
-    return lines.withColumn("h", h).filter(F.col("h").isNotNull()).select("doc_id", "pg", "ln", F.col("h.level").alias("level"), F.col("h.text").alias("text"))
+    found = H.with_heading(lines, X.normalise(F.col("t"))).filter(F.col("h").isNotNull())
+    return found.select("doc_id", "pg", "ln", F.col("h.level").alias("level"), F.col("h.text").alias("text"))
 
 
 def contents_entries(lines: DataFrame) -> DataFrame:
     """Entries of contents pages (three leader lines or more): wrapped lines join the leader line that ends them."""
-    single = X.normalise(F.col("t"))
-    text = lines.filter(~X.is_blank(F.col("t"))).select("doc_id", "pg", "ln", single.alias("single"), single.rlike(H.LEADERS).alias("leads"))
+    text = once(lines.filter(~X.is_blank(F.col("t"))).select("doc_id", "pg", "ln", "t"), single=X.normalise(F.col("t")))
+    text = text.select("doc_id", "pg", "ln", "single", F.col("single").rlike(H.LEADERS).alias("leads"))
     text = text.withColumn("pages", F.count_if("leads").over(_page())).filter("pages >= 3")
     before = _by_line().rowsBetween(W.unboundedPreceding, -1)
     text = text.withColumn("entry", F.coalesce(F.count_if("leads").over(before), F.lit(0)))
@@ -118,12 +119,11 @@ def contents_entries(lines: DataFrame) -> DataFrame:
 
 def quote_lines(lines: DataFrame, margins: DataFrame) -> DataFrame:
     """Lines set in by five or more beside another such line; headings and contents entries don't count."""
-    single = X.normalise(F.col("t"))
-    deep = ~X.is_blank(F.col("t")) & ~H.is_contents_entry(single) & H.heading(single).isNull() & (X.indent(F.col("t")) >= F.col("margin") + 5)
-    marked = lines.join(margins, "doc_id").withColumn("deep", deep)
+    marked = once(lines, single=X.normalise(F.col("t")), own=X.indent(F.col("t")))
+    marked = H.with_heading(marked, F.col("single"))
+    # tested before the join with the margins, which carries flags instead of text
+    plain = marked.select("doc_id", "pg", "ln", "own", (~X.is_blank(F.col("t")) & F.col("h").isNull() & ~H.is_contents_entry(F.col("single"))).alias("plain"))
+    marked = plain.join(margins, "doc_id").withColumn("deep", F.col("plain") & (F.col("own") >= F.col("margin") + 5))
     beside = F.coalesce(F.lag("deep").over(_by_line()), F.lit(False)) | F.coalesce(F.lead("deep").over(_by_line()), F.lit(False))
     return marked.withColumn("beside", beside).filter("deep and beside").select("doc_id", "pg", "ln")
 
-
-def layout_expr(t: Column) -> Column:
-    return X.normalise(t)

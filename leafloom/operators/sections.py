@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions import text as X
+from ..plan_aids import once
 from .folds import unique_ids
 
 PAGE_MARK = r"\A%%page ([0-9]+)%%\z"
@@ -26,14 +27,14 @@ def markdown_blocks(md: DataFrame) -> DataFrame:
     """(doc_id, seq, kind, level, text) of md(doc_id, markdown), without front matter and notes section."""
     body = X.strip_notes_section(X.strip_front_matter(F.col("markdown")))
     rows = md.filter(F.col("markdown").isNotNull()).select("doc_id", F.posexplode(F.split(body, "\n{2,}")).alias("seq", "raw"))
-    rows = rows.withColumn("t", X.trim_ws(F.col("raw"))).filter("t <> ''")
+    rows = once(rows, t=X.trim_ws(F.col("raw"))).filter("t <> ''")
     kind = (
         F.when(F.col("t").rlike(PAGE_MARK), "page").when(F.col("t").rlike("^#{1,6} "), "heading").when(F.col("t").rlike("^> "), "quote")
         .when(F.col("t").rlike("^- .* — [0-9]+\\z"), "contents").when(F.col("t").rlike(r"^\[\^[0-9]+\]:"), "note").otherwise("paragraph")
     )
     level = F.when(F.col("t").rlike("^#{1,6} "), F.length(F.regexp_extract("t", "^(#{1,6}) ", 1)))
     text = F.when(F.col("t").rlike(PAGE_MARK), F.regexp_extract("t", PAGE_MARK, 1)).otherwise(F.regexp_replace("t", "^(?:#{1,6}|>) +", ""))
-    return rows.select("doc_id", "seq", kind.alias("kind"), level.alias("level"), text.alias("text"))
+    return once(rows.select("doc_id", "seq", "t"), kind=kind, level=level, text=text).drop("t")
 
 
 def paragraph_pages(blocks: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def paragraph_ids(blocks: DataFrame) -> DataFrame:
     Equal bases are numbered by a window. Only where a numbered id meets another paragraph's own base is the number the
     window gives wrong; those documents, found by their repeated ids, are numbered one by one.
     """
-    paras = blocks.filter("kind = 'paragraph'").select("doc_id", "seq", "text", X.paragraph_id_base(F.col("text")).alias("base"))
+    paras = once(blocks.filter("kind = 'paragraph'").select("doc_id", "seq", "text"), **{"all": X.id_words(F.col("text"))})
+    paras = paras.select("doc_id", "seq", "text", X.id_from_words(F.col("all")).alias("base"))
     nth = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("seq"))
     numbered = paras.withColumn("nth", nth).withColumn("para_id", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "nth")))
     numbered = numbered.withColumn("same", F.count("*").over(W.partitionBy("doc_id", "para_id")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import fidelity, folds, layout, notes, passages, sections, suspects
+from ..plan_aids import spread
 
 #: Sections of the test volumes are short, so the queries part them at a smaller size than the default.
 SECTION_CHARS = 800
@@ -20,15 +21,15 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), F.col("source_text").alias("text"))
+    return spread(_table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), F.col("source_text").alias("text")))
 
 
 def _md(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), "markdown")
+    return spread(_table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), "markdown"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), "source_text", "markdown")
+    return spread(_table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), "source_text", "markdown"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
