@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import encode, leaks, markup, pieces, scans, sentences, sitelines, stuffing
+from ..plan_aids import spread
 from .common import table, tagged
 
 BLOCK_LIMIT, BLOCK_OVERLAP, RUN_LIMIT, RUN_OVERLAP = 2000, 200, 6000, 300
@@ -17,8 +18,8 @@ BLOCK_LIMIT, BLOCK_OVERLAP, RUN_LIMIT, RUN_OVERLAP = 2000, 200, 6000, 300
 
 
 def _marked_texts(spark: SparkSession, d: str) -> DataFrame:
-    blocks = tagged(table(spark, d, "blocks"), "blocks", "block_id", "text")
-    return blocks.unionByName(tagged(table(spark, d, "ingest_results"), "ingest_results", "result_id", "markdown"))
+    blocks = tagged(spread(table(spark, d, "blocks").select("block_id", "text")), "blocks", "block_id", "text")
+    return blocks.unionByName(tagged(spread(table(spark, d, "ingest_results").select("result_id", "markdown")), "ingest_results", "result_id", "markdown"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, scans.Model]:
-    runs = table(spark, d, "ingest_results").select(F.col("result_id").alias("row_id"), "source_text", "markdown")
+    runs = spread(table(spark, d, "ingest_results").select(F.col("result_id").alias("row_id"), "source_text", "markdown"))
     return runs, scans.learn(runs.select(F.explode(F.array("source_text", "markdown")).alias("text")))
 
 
@@ -112,21 +113,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_ids(table(spark, d, "documents"), "doc_id", "text")
+    return encode.encode_ids(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 # ---- problem 7 -------------------------------------------------------------------------------------------------------
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
+    return leaks.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items")).distinct()
 
 
 # ---- problem 8 -------------------------------------------------------------------------------------------------------
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.stuffed_pages(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id").distinct()
+    return stuffing.stuffed_pages(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "doc_labels")).select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
