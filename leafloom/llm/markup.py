@@ -218,7 +218,7 @@ def _unwiki(text: str) -> str:
         for line in m[1].split("\n")[1:]:
             if line.startswith("|-"):
                 out.append([])
-            elif line[:1] in "|!":
+            elif line and line[0] in "|!":
                 out[-1] += [c.strip() for c in re.split(r"\|\||!!", line[1:])]
         return "\n".join("| " + " | ".join(r) + " |" for r in out if r)
 
