@@ -235,4 +235,22 @@ o AS (SELECT *, len(list_filter(['/archive-one', '/pages', '/search', '/feed.xml
 SELECT url, CASE WHEN starts_with(p.host, 'old.') THEN 503 WHEN starts_with(p.host, 'www.') THEN 301 WHEN old THEN 301 ELSE 200 END AS status,
 CASE WHEN starts_with(p.host, 'old.') THEN NULL WHEN starts_with(p.host, 'www.') THEN p.scheme || '://' || substr(p.host, 5) || p.path || p.query WHEN old THEN p.scheme || '://old.' || p.host || p.path || p.query END AS location FROM o""",
     "json_ld": "SELECT id, title AS name, authors AS author, published_at AS published, title AS crumb FROM registry",
+    "verdict": CHECKS
+    + ", "
+    + WORDS.strip()[len("WITH ") :]
+    + """, v AS (SELECT DISTINCT doc_id, unnest(list_concat(s, f)) AS x FROM w WHERE s IS NOT NULL), u AS (SELECT doc_id, unnest(o) AS x FROM w),
+nn AS (SELECT doc_id, count(*) AS num FROM u ANTI JOIN v USING (doc_id, x) GROUP BY doc_id),
+every AS (SELECT doc_id, ok FROM checks
+  UNION ALL SELECT w.doc_id, len(o) > 0 AND coalesce(num, 0) < len(o) * 0.001 FROM w LEFT JOIN nn USING (doc_id) WHERE s IS NOT NULL AND o IS NOT NULL
+  UNION ALL SELECT doc_id, len(s) > 0 AND len(o) > 0.9 * len(s) AND len(o) < 1.05 * len(s) FROM w WHERE s IS NOT NULL AND o IS NOT NULL)
+SELECT doc_id, bool_and(ok) AS ok, count(*) FILTER (NOT ok) AS failed FROM every GROUP BY doc_id""",
+    "passage_preview": BLOCKS
+    + IDS
+    + PAGES
+    + f""", card AS (SELECT DISTINCT result_id AS doc_id, paragraph AS para_id FROM share_quotes JOIN ingest_results ON report = report_id),
+q0 AS (SELECT doc_id, seq, para_id, {trim(f"regexp_replace(regexp_replace(text, '\\[\\^[0-9]+\\]', '', 'g'), '{WS}+', ' ', 'g')")} AS c FROM ids),
+q1 AS (SELECT *, substr(c, 1, 280) AS cut FROM q0),
+q2 AS (SELECT *, CASE WHEN contains(cut, ' ') AND length(cut) - strpos(reverse(cut), ' ') > 168 THEN length(cut) - strpos(reverse(cut), ' ') ELSE 280 END AS k FROM q1)
+SELECT q2.doc_id, q2.para_id, CASE WHEN length(c) <= 280 THEN c ELSE {trim('substr(cut, 1, k)')} || '…' END AS quote, page, card.doc_id IS NOT NULL AS has_card
+FROM q2 LEFT JOIN pp ON q2.doc_id = pp.doc_id AND q2.seq = pp.seq LEFT JOIN card ON q2.doc_id = card.doc_id AND q2.para_id = card.para_id""",
 }
