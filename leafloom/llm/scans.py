@@ -46,6 +46,8 @@ _DOCKET = re.compile(r"^[A-Z]{3,}(?: [A-Z]{2,})* [\dlO]{2,4}/[A-Z]{3,}$")
 _BAD_NUMBER = re.compile(r"^(?=.*\d)(?:[lIO](?=[\d.,lIO])|(?<=.)[lIOS](?=$|[\d.,lIO])|[\d.,])+$")
 _ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|e|er|ère|o|a|d|h)$|^\d[\d\-]*[a-z]$")
 _BAD_TIME = re.compile(r"(?<![\d.])\d{1,2} :\d{2}\b|(?<![\d.])\d{1,2}: \d{2}(?!\d)|\b0 \d/\d{2}/\d{4}\b")
+_DIGITS = str.maketrans("lIOS", "1105")
+_SUSPENDED = ("and", "or", "und", "oder", "et", "ou", "y", "o")
 _EDGE = set("0123456789lOIoivxcIVX])-–—")
 _MARKS = "-‐‑¬\xad"
 _FRONT = re.compile(r"\A---\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
@@ -63,6 +65,14 @@ def clean(token: str) -> str:
     return w
 
 
+def _bad_number(t: str) -> str:
+    """The number of a token, without what stands around it, if it holds letters for digits."""
+    w = clean(t)
+    bare = w or t.strip(_OUTER + "$()")
+    bad = len(bare) > 1 and any(c in "lIOS" for c in bare) and _BAD_NUMBER.match(bare) and not (w and _ORDINAL.match(w.lower()))
+    return bare if bad else ""
+
+
 class _Memo(dict):
     """A dictionary that works out what it lacks; emptied when it grows large."""
 
@@ -91,7 +101,7 @@ class Model:
     tracked: set[str] = field(default_factory=set)
 
     def __post_init__(self):
-        self.fused = {a + b for left, right in FUSED for a in left.split() for b in right.split() if self.words.get(a + b, 0) * 20 < min(self.words.get(a, 0), self.words.get(b, 0))}
+        self.fused = {a + b: len(a) for left, right in FUSED for a in left.split() for b in right.split() if self.words.get(a + b, 0) * 20 < min(self.words.get(a, 0), self.words.get(b, 0))}
         self.candidates, self.state, self.folded = _Memo(self._candidates), _Memo(self._state), _Memo(lambda t: clean(t).lower())
         self.splits: set[tuple[str, str]] | None = None
 
@@ -153,11 +163,10 @@ class Model:
     def _state(self, t: str) -> int:
         """Is a token fine, misread whatever stands around it, or to be decided in its line?"""
         w = clean(t)
-        if not w:
-            bare = t.strip(_OUTER + "$()")
-            return MISREAD if len(bare) > 1 and any(c in "lIOS" for c in bare) and _BAD_NUMBER.match(bare) else FINE
-        if len(w) > 1 and any(c.isdigit() for c in w) and not _ORDINAL.match(w.lower()) and _BAD_NUMBER.match(w):
+        if _bad_number(t):
             return MISREAD
+        if not w:
+            return FINE
         options = self.candidates[w]
         if len(options) < 2:
             return FINE
@@ -172,6 +181,22 @@ class Model:
         a, b = max(0, k - 3), min(len(tokens), k + 4)
         return self.decode(tokens[a:b])[k - a].lower() != self.folded[tokens[k]]
 
+    def printed(self, t: str, state: int, decoded: str) -> str:
+        """A token as printed, given its state and the word that its line was decoded to."""
+        if bad := _bad_number(t):
+            return t.replace(bad, bad.translate(_DIGITS), 1)
+        w = clean(t)
+        if not w:
+            return t
+        if state == MISREAD and decoded.lower() == w.lower() and not _MIXED.search(w):
+            decoded = max(((self.log_word(c) + p, c) for c, p in self.candidates[w][1:]))[1]
+        if decoded[:1] == "\x00":
+            at = self.fused[w.lower()]
+            return t.replace(w, f"{w[:at]} {w[at:]}", 1)
+        if decoded.lower() == w.lower() and not (decoded != w and _MIXED.search(w)):
+            return t
+        return t.replace(w, _recased(w, decoded), 1)
+
     def split_pairs(self) -> set[tuple[str, str]]:
         """Pairs of words that are likelier one word with a space in it."""
         if self.splits is None:
@@ -297,6 +322,7 @@ class Reading:
     cases: list[tuple[int, str]]
     furniture: set[int]
     divided: dict[int, int]  # line of the first part -> line of the second
+    second: set[int]  # lines that begin with the second part of a word, joined or not
 
 
 def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading:
@@ -308,7 +334,7 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
     furniture = furniture_lines(shown, title, markdown=markdown)
     cases = [(i, "furniture") for i in furniture]
     divided: dict[int, int] = {}
-    second: dict[int, bool] = {}
+    second: set[int] = set()
     for i, line in enumerate(shown):
         if i in furniture or not line.strip() or (markdown and line.startswith("%%")):
             continue
@@ -321,16 +347,16 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
             heads = [(j, h) for j, h in heads if h]
             best = next(((j, h) for j, h in heads if model.count((m[1] + h[1]).lower()) or model.count(f"{m[1]}-{h[1]}".lower())), heads[0] if heads else None)
             if best:
-                second[best[0]] = True
+                second.add(best[0])
                 if _joins(model, m[1], best[1][1], best[1][2] or "", m[2]):
                     found, divided[i] = True, best[0]
         marked = "- " in line or "\xad" in line or "¬" in line or "‐" in line or "‑" in line
-        inner = [x for x in (_INLINE.finditer(line) if marked else ()) if x[3] not in ("and", "or", "und", "oder", "et", "ou", "y", "o")]
+        inner = [x for x in (_INLINE.finditer(line) if marked else ()) if x[3] not in _SUSPENDED]
         joined = [x for x in inner if _joins(model, x[1], x[3], "", x[2])]
         if found or joined:
             cases.append((i, "break"))
         tokens = line.split()
-        skipped = {0} if second.get(i) else set()
+        skipped = {0} if i in second else set()
         if m and tokens:
             skipped.add(len(tokens) - 1)
         for x in inner:
@@ -338,7 +364,7 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
             skipped |= {at, at + 1}
         if _misread_line(model, tokens, skipped) or ((" :" in line or ": " in line or "/" in line) and _BAD_TIME.search(line)):
             cases.append((i, "misread"))
-    return Reading(cases, furniture, divided)
+    return Reading(cases, furniture, divided, second)
 
 
 def _misread_line(model: Model, tokens: list[str], skipped: set[int]) -> bool:
@@ -380,6 +406,69 @@ def misread_match(model: Model, match: str, context: str) -> bool:
     return model.misread_word(tokens, k)
 
 
+def _recased(read: str, printed: str) -> str:
+    """A folded printed word in the case of the read one; what both share stays as read."""
+    low = read.lower()
+    if read.isupper():
+        return printed.upper()
+    if len(low) != len(read) or (_MIXED.search(read) and not _SURNAME.match(read)):
+        return printed.capitalize() if read[0].isupper() and not read[1:2].isupper() else printed
+    a = b = 0
+    while a < min(len(low), len(printed)) and low[a] == printed[a]:
+        a += 1
+    while b < min(len(low), len(printed)) - a and low[-1 - b] == printed[-1 - b]:
+        b += 1
+    middle = printed[a : len(printed) - b]
+    return read[:a] + (middle[:1].upper() + middle[1:] if not a and read[0].isupper() else middle) + read[len(read) - b :]
+
+
+def _closed_up(model: Model, line: str) -> str:
+    """The line with the words joined that a mark and a space divide, and bad times closed up."""
+
+    def join(m: re.Match) -> str:
+        if m[3] in _SUSPENDED:
+            return m[0]
+        if _joins(model, m[1], m[3], "", m[2]):
+            return m[1] + m[3]
+        return f"{m[1]}-{m[3]}" if model.count(f"{m[1]}-{m[3]}".lower()) else m[0]
+
+    before = ""
+    while before != line:
+        before, line = line, _BAD_TIME.sub(lambda m: m[0].replace(" ", ""), _INLINE.sub(join, line))
+    return line
+
+
+def repair_line(model: Model, line: str, *, kept_first: bool = False) -> str:
+    """A line with every break and misreading put right that read_text tells in it; white space stays.
+
+    The first word is left alone if it is the second part of a word that wasn't joined.
+    """
+    line = _closed_up(model, line)
+    parts = re.split(r"(\s+)", line)
+    tokens, gaps = parts[::2], parts[1::2]
+    kept = {id(t) for x in _INLINE.finditer(line) if (at := len(re.findall(r"\s+", line[: x.start(2)]))) >= 0 for t in tokens[at : at + 2]}
+    if kept_first:
+        kept.update([id(t) for t in tokens if t][:1])
+    kept.update(id(t) for t in tokens[-1:] if t[-1:] in _MARKS)
+    while True:
+        k, words = 0, [model.folded[t] for t in tokens]
+        while k + 1 < len(tokens):
+            if (words[k], words[k + 1]) in model.split_pairs() and not {id(tokens[k]), id(tokens[k + 1])} & kept and model.split_word(tokens[k], tokens[k + 1]):
+                tokens[k : k + 2], gaps[k : k + 1] = [tokens[k] + tokens[k + 1]], []
+                words[k : k + 2] = [model.folded[tokens[k]]]
+            else:
+                k += 1
+        states = [model.state[t] for t in tokens]
+        if not any(states):
+            break
+        out = [t if id(t) in kept or not x else model.printed(t, x, w) for t, x, w in zip(tokens, states, model.decode(tokens))]
+        if out == tokens:
+            break
+        gaps = [g for t, gap in zip(out, [*gaps, ""]) for g in [" "] * t.count(" ") + [gap]][:-1]
+        tokens = [y for t in out for y in (t.split(" ") if " " in t else [t])]
+    return "".join(x for pair in zip(tokens, [*gaps, ""]) for x in pair)
+
+
 def repaired(model: Model, text: str, title: str) -> str:
     """Continuous paragraphs: furniture dropped, divided words joined, misread words replaced."""
     lines, found = text.split("\n"), read_text(model, text, title, markdown=False)
@@ -388,31 +477,27 @@ def repaired(model: Model, text: str, title: str) -> str:
     for i, line in enumerate(lines):
         if i in found.furniture:
             continue
-        tokens = line.split()
-        if not tokens:
+        if not line.strip():
             if not glue and paragraphs[-1] and not any(j in found.furniture for j in (i - 1, i + 1)):
                 paragraphs.append([])
             continue
-        fixed: list[str] = []
-        words = model.decode(tokens)
-        for t, w in zip(tokens, words):
-            c = clean(t)
-            if c and w.lower() != c.lower() and "\x00" not in w:
-                w = w.upper() if c.isupper() else w.capitalize() if c[0].isupper() else w
-                t = t.replace(c, w)
-            elif c and w != c and w == c.lower() and _MIXED.search(c):
-                t = t.replace(c, w.capitalize() if c[0].isupper() and not c[1:2].isupper() else w)
-            fixed.append(t)
         if glue:
-            fixed[0], glue = glue + fixed[0], ""
+            line, glue = glue + line.lstrip(), ""
         if i in found.divided:
-            glue = fixed.pop().rstrip("-‐‑¬\xad")
-        paragraphs[-1] += fixed
+            line, glue = _parted(line)
+        if fixed := repair_line(model, line, kept_first=i in found.second and i not in found.divided.values()).split():
+            paragraphs[-1] += fixed
     if glue:
         paragraphs[-1].append(glue)
     return "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
+def _parted(line: str) -> tuple[str, str]:
+    """A line without its last word, and that word without the mark."""
+    head, last = re.match(r"(.*?)(\S+)\s*$", line, re.S).groups()
+    return head, last.rstrip(_MARKS)
+
+
 # ---- counts over the corpus ------------------------------------------------------------------------------------------
 
 

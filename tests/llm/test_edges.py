@@ -146,6 +146,23 @@ def test_scans(spark):
     assert scans.scan_cases(runs.limit(0), queue.limit(0), empty).count() == 0
 
 
+def scan_model(words="", pairs=None):
+    """Words that are known well, the joined ones beside their parts."""
+    counts = {w: 200 for w in f"repayment schedule lay in an arid store room report inspection harbour engineer well-known {words}".lower().split()}
+    counts |= {"of": 3000, "the": 5000, "in": 1500, "and": 2000}
+    return scans.Model(100_000, counts, set(counts), pairs or {}, set())
+
+
+def test_repair_leaves_no_case():
+    model = scan_model()
+    text = "The inspcction ofthe har bour,\nOfthe rep- ort of l946 at 12 :30 and $l2.5O in the Inspcction\nof 0 3/04/1950. A well-\nknown INSPCCTION"
+    assert {k for _, k in scans.read_text(model, text, "", markdown=False).cases} == {"break", "misread"}
+    fixed = scans.repaired(model, text, "")
+    assert fixed.startswith("The inspection of the harbour, Of the report of 1946 at 12:30 and $12.50 in the Inspection of 03/04/1950. A well-")
+    assert fixed.endswith("known INSPECTION")
+    assert not scans.read_text(model, fixed, "", markdown=False).cases
+
+
 def test_model_survives_sending():
     import pickle
 
