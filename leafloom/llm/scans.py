@@ -322,6 +322,7 @@ class Reading:
     cases: list[tuple[int, str]]
     furniture: set[int]
     divided: dict[int, int]  # line of the first part -> line of the second
+    compounds: dict[int, int]  # the same for words that keep their mark
     second: set[int]  # lines that begin with the second part of a word, joined or not
 
 
@@ -334,6 +335,7 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
     furniture = furniture_lines(shown, title, markdown=markdown)
     cases = [(i, "furniture") for i in furniture]
     divided: dict[int, int] = {}
+    compounds: dict[int, int] = {}
     second: set[int] = set()
     for i, line in enumerate(shown):
         if i in furniture or not line.strip() or (markdown and line.startswith("%%")):
@@ -350,6 +352,8 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
                 second.add(best[0])
                 if _joins(model, m[1], best[1][1], best[1][2] or "", m[2]):
                     found, divided[i] = True, best[0]
+                else:
+                    compounds[i] = best[0]
         marked = "- " in line or "\xad" in line or "¬" in line or "‐" in line or "‑" in line
         inner = [x for x in (_INLINE.finditer(line) if marked else ()) if x[3] not in _SUSPENDED]
         joined = [x for x in inner if _joins(model, x[1], x[3], "", x[2])]
@@ -364,7 +368,7 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
             skipped |= {at, at + 1}
         if _misread_line(model, tokens, skipped) or ((" :" in line or ": " in line or "/" in line) and _BAD_TIME.search(line)):
             cases.append((i, "misread"))
-    return Reading(cases, furniture, divided, second)
+    return Reading(cases, furniture, divided, compounds, second)
 
 
 def _misread_line(model: Model, tokens: list[str], skipped: set[int]) -> bool:
@@ -469,33 +473,61 @@ def repair_line(model: Model, line: str, *, kept_first: bool = False) -> str:
     return "".join(x for pair in zip(tokens, [*gaps, ""]) for x in pair)
 
 
+def _rejoined(model: Model, lines: list[str], found: Reading) -> tuple[list[str], dict[int, int]]:
+    """The lines with the second part of each divided word moved up to the first, and which line each of them goes on in."""
+    lines, goes_on = list(lines), {}
+    joined = found.divided | {i: j for i, j in found.compounds.items() if _is_compound(model, lines, found, i, j)}
+    claims: dict[int, tuple[bool, int]] = {}
+    for i, j in joined.items():  # one word is the second part of one only: of a known word, or else of the nearest
+        word = _DIVIDED.search(lines[i])[1] + _FIRST_WORD.match(lines[j])[1]
+        claims[j] = max(claims.get(j, (False, -1)), (model.count(word.lower()) > 0, i))
+    for i, j in sorted(((i, j) for j, (_, i) in claims.items()), reverse=True):
+        m = _FIRST_WORD.match(lines[j])
+        word = re.match(r"\S+", lines[j][m.start(1) :])[0]
+        lines[j] = lines[j][: m.start(1)] + lines[j][m.start(1) + len(word) :].lstrip()
+        lines[i] = lines[i].rstrip()[:-1] + ("" if i in found.divided else "-") + word
+        goes_on[i] = j
+    return lines, goes_on
+
+
+def _is_compound(model: Model, lines: list[str], found: Reading, i: int, j: int) -> bool:
+    """Do parts that aren't joined without the mark stand in one compound, rather than before a list's last item?"""
+    h = _FIRST_WORD.match(lines[j])[1]
+    near = all(k in found.furniture for k in range(i + 1, j))
+    return h not in _SUSPENDED and (model.count(f"{_DIVIDED.search(lines[i])[1]}-{h}".lower()) > 0 or (near and h[0].islower()))
+
+
 def repaired(model: Model, text: str, title: str) -> str:
-    """Continuous paragraphs: furniture dropped, divided words joined, misread words replaced."""
-    lines, found = text.split("\n"), read_text(model, text, title, markdown=False)
-    paragraphs: list[list[str]] = [[]]
-    glue = ""
-    for i, line in enumerate(lines):
-        if i in found.furniture:
-            continue
-        if not line.strip():
-            if not glue and paragraphs[-1] and not any(j in found.furniture for j in (i - 1, i + 1)):
-                paragraphs.append([])
-            continue
-        if glue:
-            line, glue = glue + line.lstrip(), ""
-        if i in found.divided:
-            line, glue = _parted(line)
-        if fixed := repair_line(model, line, kept_first=i in found.second and i not in found.divided.values()).split():
-            paragraphs[-1] += fixed
-    if glue:
-        paragraphs[-1].append(glue)
-    return "\n\n".join(" ".join(p) for p in paragraphs if p)
-
-
-def _parted(line: str) -> tuple[str, str]:
-    """A line without its last word, and that word without the mark."""
-    head, last = re.match(r"(.*?)(\S+)\s*$", line, re.S).groups()
-    return head, last.rstrip(_MARKS)
+    """Continuous paragraphs: furniture dropped, divided words joined, misread words replaced.
+
+    Foot notes between the parts of a word follow the paragraph that it stands in.
+    """
+    whole = text.split("\n")
+    found = read_text(model, text, title, markdown=False)
+    lines, goes_on = _rejoined(model, whole, found)
+    moved = set(goes_on.values())
+
+    def gather(i: int, end: int) -> list[list[str]]:
+        paragraphs: list[list[str]] = [[]]
+        aside: list[list[str]] = []
+        while i < end:
+            if i in found.furniture:
+                i += 1
+                continue
+            if not whole[i].strip():
+                if paragraphs[-1] and not any(j in found.furniture for j in (i - 1, i + 1)):
+                    paragraphs += [*aside, []]
+                    aside = []
+                i += 1
+                continue
+            paragraphs[-1] += repair_line(model, lines[i], kept_first=i in found.second and i not in moved).split()
+            j = goes_on.get(i, end)
+            if j < end:
+                aside += gather(i + 1, j)
+            i = j if j < end else i + 1
+        return [*paragraphs, *aside]
+
+    return "\n\n".join(" ".join(p) for p in gather(0, len(lines)) if p)
 
 
 # ---- counts over the corpus ------------------------------------------------------------------------------------------

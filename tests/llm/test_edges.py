@@ -163,6 +163,15 @@ def test_repair_leaves_no_case():
     assert not scans.read_text(model, fixed, "", markdown=False).cases
 
 
+def test_repair_carries_notes_past_a_divided_word():
+    text = "The harbour and its repay-\n56 Harbour Trust, Docket No. 613.\n57 See Report 12.\n\n   Page 1\n   REPORT BY 286/VASGUPELL   2\n\nment schedule lay in the well-\nknown room.\n\nAn engi-\nneer."
+    assert scans.repaired(scan_model(), text, "").split("\n\n") == [
+        "The harbour and its repayment schedule lay in the well-known room.",
+        "56 Harbour Trust, Docket No. 613. 57 See Report 12.",
+        "An engineer.",
+    ]
+
+
 def test_model_survives_sending():
     import pickle
 
