@@ -52,6 +52,7 @@ _EDGE = set("0123456789lOIoivxcIVX])-–—")
 _MARKS = "-‐‑¬\xad"
 _FRONT = re.compile(r"\A---\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _TITLE = re.compile(r'^title: "?(.*?)"?\s*$', re.M)
+_OPEN_END = re.compile(r"[\w,]\s*$")
 _LETTERS = re.compile(r"[\W\d_]+")
 _SURNAME = re.compile(r"^(?:Mc|Mac|[A-Za-z]{1,2}['’])[A-ZÀ-Ý][a-zß-ÿ]+$")
 _MIXED = re.compile(r"[a-zà-ÿ][A-Z]|^[A-Z]{2,}[a-zß-ÿ]")
@@ -530,6 +531,66 @@ def repaired(model: Model, text: str, title: str) -> str:
     return "\n\n".join(" ".join(p) for p in gather(0, len(lines)) if p)
 
 
+def _run_on(lines: list[str], found: Reading) -> dict[int, int]:
+    """Lines of Markdown whose sentence goes on after page furniture, and the line it goes on in."""
+    out: dict[int, int] = {}
+    last, parted = -1, False
+    for i, line in enumerate(lines):
+        if i in found.furniture:
+            parted = True
+        elif line.strip():
+            if parted and last >= 0 and _OPEN_END.search(lines[last]) and lines[last][0] not in "#%|[" and (h := _FIRST_WORD.match(line)) and h[1][0].islower():
+                out[last] = i
+            last, parted = i, False
+    return out
+
+
+def repaired_markdown(model: Model, text: str, title: str) -> str:
+    """The same repair of Markdown; front matter, page marks and the forms of lines stay.
+
+    A paragraph that page furniture or a divided word parts goes on in its first line; what stands between follows it.
+    """
+    whole = text.split("\n")
+    front = _FRONT.match(text)
+    skip = front[0].count("\n") if front else 0
+    found = read_text(model, text, title, markdown=True)
+    lines, goes_on = _rejoined(model, whole, found)
+    for i, j in _run_on([""] * skip + whole[skip:], found).items():
+        if i not in goes_on and j not in goes_on.values():
+            goes_on[i] = j
+    for i in sorted(goes_on, reverse=True):
+        if rest := lines[goes_on[i]].lstrip(" \t>"):
+            lines[i] = f"{lines[i].rstrip()} {rest}"
+    moved = set(goes_on.values())
+
+    def gather(i: int, end: int) -> list[int]:
+        out: list[int] = []
+        aside: list[int] = []
+        while i < end:
+            if aside and (not whole[i].strip() or whole[i][0] in "#%["):
+                out, aside = out + aside, []
+            out.append(i)
+            j = goes_on.get(i, end)
+            if j < end:
+                aside += gather(i + 1, j)
+            i = j if j < end else i + 1
+        return out + aside
+
+    out: list[str] = []
+    cut = False
+    for i in gather(0, len(lines)):
+        if i in found.furniture or i in moved:
+            cut = True
+        elif i < skip or whole[i].startswith("%%"):
+            out.append(whole[i])
+        elif whole[i].strip():
+            out.append(repair_line(model, lines[i], kept_first=i in found.second))
+            cut = i in goes_on
+        elif not cut or (out and out[-1].strip()):  # of the blank lines around what is taken out one stays
+            out.append(whole[i])
+    return "\n".join(out)
+
+
 # ---- counts over the corpus ------------------------------------------------------------------------------------------
 
 
@@ -638,16 +699,20 @@ def scan_cases(runs: DataFrame, suspects: DataFrame, model: Model) -> DataFrame:
 
 
 def repaired_texts(runs: DataFrame, model: Model) -> DataFrame:
-    """(row_id, paragraphs): the repaired source text of runs (row_id, source_text, markdown); null stays null."""
+    """(field, row_id, paragraphs): the repaired source text and markdown of runs (row_id, source_text, markdown); null
+    stays null."""
     sent = runs.sparkSession.sparkContext.broadcast(model)
     kind = runs.schema["row_id"].dataType.simpleString()
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
         for pdf in rows:
             out = []
             for row, source, markdown in zip(pdf.row_id, pdf.source_text, pdf.markdown):
                 head = _TITLE.search(markdown[:2000]) if markdown else None
-                out.append((row, None if source is None else repaired(sent.value, source, head[1] if head else "")))
-            yield pd.DataFrame(out, columns=["row_id", "paragraphs"])
+                title = head[1] if head else ""
+                out.append(("markdown", row, None if markdown is None else repaired_markdown(m, markdown, title)))
+                out.append(("source_text", row, None if source is None else repaired(m, source, title)))
+            yield pd.DataFrame(out, columns=["field", "row_id", "paragraphs"])
 
-    return batches(runs.select("row_id", "source_text", "markdown"), 1000).mapInPandas(run, f"row_id {kind}, paragraphs string")
+    return batches(runs.select("row_id", "source_text", "markdown"), 1000).mapInPandas(run, f"field string, row_id {kind}, paragraphs string")

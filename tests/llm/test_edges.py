@@ -172,6 +172,23 @@ def test_repair_carries_notes_past_a_divided_word():
     ]
 
 
+def test_repair_of_markdown_keeps_its_forms(spark):
+    front = '---\ntitle: "The Inspcction"\n---\n\n'
+    text = front + (
+        "%%page 1%%\n\n### Ofthe Harbour\n\n> The inspcction of  the rep- ort.[^5]\n\n- 1 -\n\nThe harbour and its repay-\n\n%%page 2%%\n\nment schedule lay in the\n\n[2]\n\n"
+        "room.\n\n- Report — 12\n\n[^5]: See the well-\nknown har bour."
+    )
+    want = front + (
+        "%%page 1%%\n\n### Of the Harbour\n\n> The inspection of  the report.[^5]\n\nThe harbour and its repayment schedule lay in the room.\n\n%%page 2%%\n\n"
+        "- Report — 12\n\n[^5]: See the well-known harbour."
+    )
+    model = scan_model()
+    assert scans.repaired_markdown(model, text, "") == want
+    runs = spark.createDataFrame([(1, text, text), (2, None, None)], "row_id long, source_text string, markdown string")
+    got = {(r.field, r.row_id): r.paragraphs for r in scans.repaired_texts(runs, model).collect()}
+    assert len(got) == 4 and got["markdown", 1] == want and got["source_text", 2] is None and got["markdown", 2] is None
+
+
 def test_model_survives_sending():
     import pickle
 
