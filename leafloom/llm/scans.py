@@ -1,7 +1,8 @@
 """Problem 4: repair of text from scanned pages, by a noisy channel over the corpus's own words.
 
-Two counts over all texts come first: the words, kept down to a fixed share of all words, which bounds their number; and
-the word pairs around words that the scanner's confusions turn into one another. Then each line is decoded by itself: every
+Two counts over all texts come first: the words, all that occur LEAST times; and the word pairs around words that the
+scanner's confusions turn into one another. They are broadcast up to a bound; larger ones are looked up in a file that
+every worker gets, with the same results. Then each line is decoded by itself: every
 word has candidates, the words that the confusions may have turned into it; a candidate's cost is its channel probability
 and its probability after the word before; Viterbi gives the cheapest path. Words divided at line ends are joined if the
 corpus knows the joined word better than the compound. Page numbers and running headers are told by form and repetition.
@@ -9,22 +10,29 @@ corpus knows the joined word better than the compound. Page numbers and running
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
 import re
+import shutil
+import sqlite3
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches
 
-#: Words rarer than this share of all words are unknown to the model: at most 1 / SHARE words are sent to the workers.
-SHARE, LEAST = 1e-6, 5
-#: The same for word pairs.
-PAIR_SHARE, PAIR_LEAST = 2e-7, 2
+#: Rarer words are unknown to the model, at any size of the corpus; the same for word pairs.
+LEAST, PAIR_LEAST = 5, 2
+#: Up to so many words and pairs are broadcast; beyond that, the workers look them up on disk.
+MAX_WORDS, MAX_PAIRS = 200_000, 1_000_000
 MEMO = 400_000
 
 # The confusions of scanners, read word part -> printed word part.
@@ -54,6 +62,7 @@ _FRONT = re.compile(r"\A---\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _TITLE = re.compile(r'^title: "?(.*?)"?\s*$', re.M)
 _OPEN_END = re.compile(r"[\w,]\s*$")
 _LETTERS = re.compile(r"[\W\d_]+")
+_INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]?$")
 _SURNAME = re.compile(r"^(?:Mc|Mac|[A-Za-z]{1,2}['’])[A-ZÀ-Ý][a-zß-ÿ]+$")
 _MIXED = re.compile(r"[a-zà-ÿ][A-Z]|^[A-Z]{2,}[a-zß-ÿ]")
 
@@ -91,20 +100,63 @@ class _Memo(dict):
 FINE, DOUBTFUL, MISREAD = 0, 1, 2
 
 
+class Shelf:
+    """A read-only mapping from words or word pairs to numbers, in an SQLite file that each worker gets; it is sent by name.
+
+    What was looked up last is kept in memory. A shelf of words that satisfy a condition serves as a set.
+    """
+
+    def __init__(self, name: str, query: str):
+        self.name, self.query = name, query
+        self.found = _Memo(self._look_up)
+        self.con: sqlite3.Connection | None = None
+
+    def __reduce__(self):
+        return (Shelf, (self.name, self.query))
+
+    def _look_up(self, key: str | tuple[str, str]) -> int | None:
+        if self.con is None:
+            self.con = sqlite3.connect(f"file:{SparkFiles.get(self.name)}?mode=ro&immutable=1", uri=True, check_same_thread=False)
+        row = self.con.execute(self.query, key if isinstance(key, tuple) else (key,)).fetchone()
+        return row[0] if row else None
+
+    def get(self, key, default=None):
+        got = self.found[key]
+        return default if got is None else got
+
+    def __contains__(self, key) -> bool:
+        return self.found[key] is not None
+
+    @staticmethod
+    def fill(table: DataFrame, columns: str, query: str) -> Shelf:
+        """A shelf of the rows of a table, which pass through the driver in turns; the first columns are the key."""
+        name = f"shelf-{uuid.uuid4().hex}.db"
+        names = columns.split()
+        d = tempfile.mkdtemp()  # Spark serves the file from here as long as the driver runs
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+        con = sqlite3.connect(path := os.path.join(d, name))
+        con.execute("PRAGMA journal_mode = OFF")
+        con.execute(f"CREATE TABLE t ({', '.join(names)}, PRIMARY KEY ({', '.join(names[: query.count('?')])})) WITHOUT ROWID")
+        con.executemany(f"INSERT INTO t VALUES ({', '.join('?' * len(names))})", (tuple(r) for r in table.select(*names).toLocalIterator()))
+        con.commit()
+        con.close()
+        table.sparkSession.sparkContext.addFile(path)
+        return Shelf(name, query)
+
+
 @dataclass
 class Model:
-    """Counts sent to the workers; both tables are bounded by their shares."""
+    """Counts sent to the workers: dictionaries and sets, or shelves where they are large."""
 
     total: int
-    words: dict[str, int]  # folded
-    lower: set[str] = field(default_factory=set)  # words that mostly stand in lower case
-    pairs: dict[tuple[str, str], int] = field(default_factory=dict)
-    tracked: set[str] = field(default_factory=set)
+    words: dict[str, int] | Shelf  # folded
+    lower: set[str] | Shelf = field(default_factory=set)  # words that mostly stand in lower case
+    pairs: dict[tuple[str, str], int] | Shelf = field(default_factory=dict)
+    tracked: set[str] | Shelf = field(default_factory=set)
 
     def __post_init__(self):
         self.fused = {a + b: len(a) for left, right in FUSED for a in left.split() for b in right.split() if self.words.get(a + b, 0) * 20 < min(self.words.get(a, 0), self.words.get(b, 0))}
         self.candidates, self.state, self.folded = _Memo(self._candidates), _Memo(self._state), _Memo(lambda t: clean(t).lower())
-        self.splits: set[tuple[str, str]] | None = None
 
     def __getstate__(self):
         return (self.total, self.words, self.lower, self.pairs, self.tracked)
@@ -147,7 +199,7 @@ class Model:
         if _MIXED.search(w) and not _SURNAME.match(w) and not w[:-1].isupper() and self.count(low) >= LEAST:
             odd = True
             out[low] = math.log(0.5)
-        if not odd and len(low) >= 3 and not digits:
+        if not odd and len(low) >= 3 and not digits and not _INITIALS.match(low):
             p = math.log(1 / 15) if known else math.log(2e-4)
             self._edits(out, low, PLAIN, p)
             if w.isupper():
@@ -198,21 +250,20 @@ class Model:
             return t
         return t.replace(w, _recased(w, decoded), 1)
 
-    def split_pairs(self) -> set[tuple[str, str]]:
-        """Pairs of words that are likelier one word with a space in it."""
-        if self.splits is None:
-            self.splits = set()
-            for w, n in self.words.items():
-                if len(w) >= 4 and w.isalpha() and n >= LEAST:
-                    for k in range(1, len(w)):
-                        x, y = w[:k], w[k:]
-                        if n > 8 * min(self.count(x), self.count(y)) and not (k == 1 and x in "aoyeàé" and self.count(y)):
-                            self.splits.add((x, y))
-        return self.splits
+    def any_glued(self, words: list[str]) -> bool:
+        """Is any word of the line known to go with the next as one?"""
+        return any(x + y in self.words for x, y in zip(words, words[1:]))
+
+    def split_pair(self, x: str, y: str) -> bool:
+        """Are two words likelier one word with a space in it?"""
+        w = x + y
+        if not x or not y or len(w) < 4 or not w.isalpha() or (n := self.count(w)) < LEAST:
+            return False
+        return n > 8 * min(self.count(x), self.count(y)) and not (len(x) == 1 and x in "aoyeàé" and self.count(y) > 0)
 
     def split_word(self, a: str, b: str) -> bool:
         """Are two tokens the parts of a word that a space got into?"""
-        return a[-1:] not in ".,;:!?" and not b[:1].isupper() and (self.folded[a], self.folded[b]) in self.split_pairs()
+        return a[-1:] not in ".,;:!?" and not b[:1].isupper() and self.split_pair(self.folded[a], self.folded[b])
 
     def _try(self, out: dict[str, float], c: str, p: float) -> bool:
         if c and self.count(c) >= LEAST:
@@ -373,16 +424,16 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
 
 
 def _misread_line(model: Model, tokens: list[str], skipped: set[int]) -> bool:
-    state, folded, splits = model.state, model.folded, model.split_pairs()
+    state, folded = model.state, model.folded
     states = [state[t] for t in tokens]
     if any(states):
         for k, x in enumerate(states):
             if x and k not in skipped and (x == MISREAD or model.misread_word(tokens, k)):
                 return True
     words = [folded[t] for t in tokens]
-    if not splits.isdisjoint(zip(words, words[1:])):
+    if model.any_glued(words):
         for k in range(len(tokens) - 1):
-            if (words[k], words[k + 1]) in splits and not {k, k + 1} & skipped and model.split_word(tokens[k], tokens[k + 1]):
+            if not {k, k + 1} & skipped and model.split_word(tokens[k], tokens[k + 1]):
                 return True
     return False
 
@@ -458,7 +509,7 @@ def repair_line(model: Model, line: str, *, kept_first: bool = False) -> str:
     while True:
         k, words = 0, [model.folded[t] for t in tokens]
         while k + 1 < len(tokens):
-            if (words[k], words[k + 1]) in model.split_pairs() and not {id(tokens[k]), id(tokens[k + 1])} & kept and model.split_word(tokens[k], tokens[k + 1]):
+            if words[k] + words[k + 1] in model.words and not {id(tokens[k]), id(tokens[k + 1])} & kept and model.split_word(tokens[k], tokens[k + 1]):
                 tokens[k : k + 2], gaps[k : k + 1] = [tokens[k] + tokens[k + 1]], []
                 words[k : k + 2] = [model.folded[tokens[k]]]
             else:
@@ -615,7 +666,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return batches(texts, 2000).mapInPandas(run, "word string, n long, lower long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower"))
 
 
-def pair_counts(texts: DataFrame, tracked: set[str]) -> DataFrame:
+def pair_counts(texts: DataFrame, tracked: set[str] | Shelf) -> DataFrame:
     """(a, b, n): pairs of successive words of which one is tracked."""
     sent = texts.sparkSession.sparkContext.broadcast(tracked)
 
@@ -634,10 +685,10 @@ def pair_counts(texts: DataFrame, tracked: set[str]) -> DataFrame:
     return batches(texts, 2000).mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def confusable(model: Model) -> set[str]:
-    """Known words that the confusions turn into one another and that word counts alone can't tell apart."""
+def confusable(model: Model, words: Iterable[str]) -> set[str]:
+    """Those of the words, and those they may stand for, that word counts alone can't tell apart."""
     out: set[str] = set()
-    for w in model.lower:
+    for w in words:
         if w.isalpha() and len(w) >= 3:
             for c, p in model.raw_candidates(w)[0].items():
                 if c in model.lower and 1 / 200 < model.count(c) * math.exp(p) / model.count(w) < 20:
@@ -645,24 +696,47 @@ def confusable(model: Model) -> set[str]:
     return out
 
 
-def learn(texts: DataFrame) -> Model:
-    """The model of all texts (text): two passes of counting; the driver gets bounded tables only."""
+def learn(texts: DataFrame, *, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> Model:
+    """The model of all texts (text): two passes of counting. Up to ``max_words`` and ``max_pairs`` go to the workers in
+    memory, more of them on shelves."""
     texts = texts.filter(F.length("text") > 0).select("text")
     counts = word_counts(texts)
     total = counts.agg(F.sum("n").alias("n"))
-    kept = counts.crossJoin(F.broadcast(total.withColumnRenamed("n", "total"))).filter(F.col("n") >= F.greatest(F.lit(LEAST), F.col("total") * SHARE)).toPandas()
+    known = counts.crossJoin(F.broadcast(total.withColumnRenamed("n", "total"))).filter(F.col("n") >= LEAST)
+    kept = known.limit(max_words + 1).toPandas()
     if not len(kept):
         return Model(1, {})
-    words = dict(zip(kept.word, kept.n.astype(int)))
-    lower = set(kept.word[kept.lower * 2 > kept.n])
-    model = Model(int(kept.total.iloc[0]), words, lower)
-    model.tracked = confusable(model)
-    if model.tracked:
-        pairs = pair_counts(texts, model.tracked).filter(F.col("n") >= max(PAIR_LEAST, model.total * PAIR_SHARE)).toPandas()
-        model.pairs = dict(zip(zip(pairs.a, pairs.b), pairs.n.astype(int)))
+    size = int(kept.total.iloc[0])
+    if len(kept) <= max_words:
+        model = Model(size, dict(zip(kept.word, kept.n.astype(int))), set(kept.word[kept.lower * 2 > kept.n]))
+        model.tracked = confusable(model, model.lower)
+    else:
+        del kept
+        shelf = Shelf.fill(known, "word n lower", "SELECT n FROM t WHERE word = ?")
+        model = Model(size, shelf, Shelf(shelf.name, "SELECT n FROM t WHERE word = ? AND lower * 2 > n"))
+        tracked = _confusable_words(known.filter("lower * 2 > n").select("word"), model)
+        model.tracked = Shelf.fill(tracked, "word n", "SELECT n FROM t WHERE word = ?")
+    if isinstance(model.tracked, Shelf) or model.tracked:
+        pairs = pair_counts(texts, model.tracked).filter(F.col("n") >= PAIR_LEAST)
+        first = pairs.limit(max_pairs + 1).toPandas()
+        if len(first) <= max_pairs:
+            model.pairs = dict(zip(zip(first.a, first.b), first.n.astype(int)))
+        else:
+            model.pairs = Shelf.fill(pairs, "a b n", "SELECT n FROM t WHERE a = ? AND b = ?")
     return Model(model.total, model.words, model.lower, model.pairs, model.tracked)
 
 
+def _confusable_words(words: DataFrame, model: Model) -> DataFrame:
+    """(word, n): the confusable words, found where the words lie."""
+    sent = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            yield pd.DataFrame({"word": sorted(confusable(sent.value, pdf.word))}, dtype=object)
+
+    return words.mapInPandas(run, "word string").distinct().withColumn("n", F.lit(1))
+
+
 def scan_cases(runs: DataFrame, suspects: DataFrame, model: Model) -> DataFrame:
     """(field, row_id, line_no, kind) of runs (row_id, source_text, markdown) and suspects (row_id, match_text, context).
 

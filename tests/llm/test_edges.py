@@ -189,6 +189,24 @@ def test_repair_of_markdown_keeps_its_forms(spark):
     assert len(got) == 4 and got["markdown", 1] == want and got["source_text", 2] is None and got["markdown", 2] is None
 
 
+def test_rare_words_are_known_at_any_size(spark):
+    rare = "The Quilthevane memorandum was inspcted. " * 5
+    texts = spark.createDataFrame([(rare,), *[("the of and in " * 250_000,)] * 6], "text string")
+    model = scans.learn(texts)
+    assert model.total > 6_000_000 and model.count("quilthevane") == 5 and model.split_word("memo", "randum")
+
+
+def test_shelves_give_the_same(spark, small):
+    runs = spark.read.parquet(f"{small}/ingest_results.parquet").select(F.col("result_id").alias("row_id"), "source_text", "markdown")
+    queue = spark.read.parquet(f"{small}/suspects.parquet").select(F.col("suspect_id").alias("row_id"), "match_text", "context")
+    texts = runs.select(F.explode(F.array("source_text", "markdown")).alias("text"))
+    sent, shelved = scans.learn(texts), scans.learn(texts, max_words=0, max_pairs=0)
+    assert all(isinstance(x, scans.Shelf) for x in (shelved.words, shelved.lower, shelved.tracked, shelved.pairs))
+    want = sorted(map(tuple, scans.scan_cases(runs, queue, sent).collect()))
+    assert want and sorted(map(tuple, scans.scan_cases(runs, queue, shelved).collect())) == want
+    assert scans.repaired_texts(runs, shelved).exceptAll(scans.repaired_texts(runs, sent)).count() == 0
+
+
 def test_model_survives_sending():
     import pickle
 
