@@ -316,8 +316,9 @@ def clean_text(text: str, run: bool) -> str:
     return head + text
 
 
-#: Signs without which no construct of any family can be there; a text without them never leaves the JVM.
-SIGNS = r"(?m)<[A-Za-z/!]|&[#A-Za-z]|[\\{}`~]|\[[^\^\d]|\]\(|''|[*_]\S|\S[*_]|==|####|\|[ :]*-{3}|^#[ ]|#[ \t]*$|^[ \t]*[-*+>][ \t]"
+#: Signs without which no construct of any family can be there, those of every rule among them; a text without them never
+#: leaves the JVM.
+SIGNS = "|".join([r"<[A-Za-z/!]", r"&[#A-Za-z]", *sorted({re.escape(sign) for sign, _ in _WIKI + _LATEX + _MARKDOWN + _MARKDOWN_BLOCK + _MARKDOWN_RUN})])
 
 
 def residue(df: DataFrame, *, clean: bool = False) -> DataFrame:

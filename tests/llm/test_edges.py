@@ -55,6 +55,12 @@ def test_markup(spark):
     assert markup.residue(texts(spark).limit(0), clean=True).count() == 0
 
 
+def test_markup_prefilter_passes_every_rule(spark):
+    forms = ["damaged word]] here", "|-", "so $x^2$ is", "then $$E=mc^2$$ holds", "[1]: https://a.example", "## Heading", "#REDIRECT Report", "--- | x", "1 - a\n- b\n- c"]
+    got = {r.row_id for r in markup.residue(texts(spark, list(enumerate(forms)))).collect()}
+    assert got == {k for k, x in enumerate(forms) if markup.families(x, False)} == set(range(len(forms)))
+
+
 def test_markup_keeps_structure():
     t = "<h3>Title</h3><ul><li>one</li><li>two</li></ul><table><tr><td>1</td><td>2</td></tr></table><pre>x &lt; 1</pre>"
     out = markup.clean_text(t, False)
