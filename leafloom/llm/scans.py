@@ -406,8 +406,7 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
                     found, divided[i] = True, best[0]
                 else:
                     compounds[i] = best[0]
-        marked = "- " in line or "\xad" in line or "¬" in line or "‐" in line or "‑" in line
-        inner = [x for x in (_INLINE.finditer(line) if marked else ()) if x[3] not in _SUSPENDED]
+        inner = [x for x in (_INLINE.finditer(line) if _has_mark(line) else ()) if x[3] not in _SUSPENDED]
         joined = [x for x in inner if _joins(model, x[1], x[3], "", x[2])]
         if found or joined:
             cases.append((i, "break"))
@@ -525,6 +524,17 @@ def repair_line(model: Model, line: str, *, kept_first: bool = False) -> str:
     return "".join(x for pair in zip(tokens, [*gaps, ""]) for x in pair)
 
 
+def _to_repair(model: Model, lines: list[str], found: Reading, goes_on: dict[int, int]) -> set[int]:
+    """Lines that repair_line may change: those with a case or a doubtful word, those that a word was moved to, and those
+    with a compound that has a space in it."""
+    parted = {i for i, line in enumerate(lines) if any(map(model.state.__getitem__, line.split())) or (_has_mark(line) and _INLINE.search(line))}
+    return {i for i, k in found.cases if k != "furniture"} | goes_on.keys() | parted
+
+
+def _has_mark(line: str) -> bool:
+    return "- " in line or "\xad" in line or "¬" in line or "‐" in line or "‑" in line
+
+
 def _rejoined(model: Model, lines: list[str], found: Reading) -> tuple[list[str], dict[int, int]]:
     """The lines with the second part of each divided word moved up to the first, and which line each of them goes on in."""
     lines, goes_on = list(lines), {}
@@ -558,6 +568,7 @@ def repaired(model: Model, text: str, title: str) -> str:
     found = read_text(model, text, title, markdown=False)
     lines, goes_on = _rejoined(model, whole, found)
     moved = set(goes_on.values())
+    to_do = _to_repair(model, whole, found, goes_on)
 
     def gather(i: int, end: int) -> list[list[str]]:
         paragraphs: list[list[str]] = [[]]
@@ -572,7 +583,8 @@ def repaired(model: Model, text: str, title: str) -> str:
                     aside = []
                 i += 1
                 continue
-            paragraphs[-1] += repair_line(model, lines[i], kept_first=i in found.second and i not in moved).split()
+            fixed = repair_line(model, lines[i], kept_first=i in found.second and i not in moved) if i in to_do else lines[i]
+            paragraphs[-1] += fixed.split()
             j = goes_on.get(i, end)
             if j < end:
                 aside += gather(i + 1, j)
@@ -613,6 +625,7 @@ def repaired_markdown(model: Model, text: str, title: str) -> str:
         if rest := lines[goes_on[i]].lstrip(" \t>"):
             lines[i] = f"{lines[i].rstrip()} {rest}"
     moved = set(goes_on.values())
+    to_do = _to_repair(model, whole, found, goes_on)
 
     def gather(i: int, end: int) -> list[int]:
         out: list[int] = []
@@ -635,7 +648,7 @@ def repaired_markdown(model: Model, text: str, title: str) -> str:
         elif i < skip or whole[i].startswith("%%"):
             out.append(whole[i])
         elif whole[i].strip():
-            out.append(repair_line(model, lines[i], kept_first=i in found.second))
+            out.append(repair_line(model, lines[i], kept_first=i in found.second) if i in to_do else lines[i])
             cut = i in goes_on
         elif not cut or (out and out[-1].strip()):  # of the blank lines around what is taken out one stays
             out.append(whole[i])
