@@ -18,6 +18,7 @@ import shutil
 import sqlite3
 import tempfile
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -58,6 +59,7 @@ _DIGITS = str.maketrans("lIOS", "1105")
 _SUSPENDED = ("and", "or", "und", "oder", "et", "ou", "y", "o")
 _EDGE = set("0123456789lOIoivxcIVX])-–—")
 _MARKS = "-‐‑¬\xad"
+_NOTE = re.compile(r"\s*(?:\d{1,4}\s+\S*[^\W\d_]|\[\^\d+\]:)")
 _FRONT = re.compile(r"\A---\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _TITLE = re.compile(r'^title: "?(.*?)"?\s*$', re.M)
 _OPEN_END = re.compile(r"[\w,]\s*$")
@@ -378,6 +380,19 @@ class Reading:
     second: set[int]  # lines that begin with the second part of a word, joined or not
 
 
+def _body_lines(lines: list[str], furniture: set[int]) -> list[int]:
+    """Numbers of the lines that are neither furniture nor, from a foot note to the next gap, notes."""
+    out, notes = [], False
+    for i, line in enumerate(lines):
+        if i in furniture or not line.strip() or line.startswith("%%"):
+            notes = False
+        elif _NOTE.match(line):
+            notes = True
+        elif not notes:
+            out.append(i)
+    return out
+
+
 def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading:
     lines = text.split("\n")
     skip = 0
@@ -389,6 +404,7 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
     divided: dict[int, int] = {}
     compounds: dict[int, int] = {}
     second: set[int] = set()
+    body: list[int] | None = None
     for i, line in enumerate(shown):
         if i in furniture or not line.strip() or (markdown and line.startswith("%%")):
             continue
@@ -397,9 +413,14 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
         m = _DIVIDED.search(line) if end in _MARKS else None
         if m:
             later = [j for j in range(i + 1, min(len(shown), i + 10)) if shown[j].strip() and j not in furniture and not shown[j].startswith("%%")][:4]
+            if body is None:
+                body = _body_lines(shown, furniture)
+            after = body[(at := bisect_right(body, i)) : at + 4]
+            over_notes = bool(after) and (not later or bool(_NOTE.match(shown[later[0]])))
+            later = sorted({*later, *after})
             heads = [(j, _FIRST_WORD.match(shown[j])) for j in later]
             heads = [(j, h) for j, h in heads if h]
-            best = next(((j, h) for j, h in heads if model.count((m[1] + h[1]).lower()) or model.count(f"{m[1]}-{h[1]}".lower())), heads[0] if heads else None)
+            best = next(((j, h) for j, h in heads if model.count((m[1] + h[1]).lower()) or model.count(f"{m[1]}-{h[1]}".lower())), next((x for x in heads if not over_notes or x[0] in after), None))
             if best:
                 second.add(best[0])
                 if _joins(model, m[1], best[1][1], best[1][2] or "", m[2]):

@@ -213,6 +213,13 @@ def test_shelves_give_the_same(spark, small):
     assert scans.repaired_texts(runs, shelved).exceptAll(scans.repaired_texts(runs, sent)).count() == 0
 
 
+def test_break_is_found_over_many_notes():
+    notes = "".join(f"{k} See Exhibit {k}-2 of Woldal, at a very\n   long place, 314.\n" for k in range(50, 62))
+    text = f"The harbour and its repay-\n{notes}\n   Page 1\n\n\nment schedule lay in the room."
+    found = scans.read_text(scan_model(), text, "", markdown=False)
+    assert (0, "break") in found.cases and text.split("\n")[found.divided[0]].startswith("ment")
+
+
 def test_model_survives_sending():
     import pickle
 
