@@ -59,6 +59,7 @@ _DIGITS = str.maketrans("lIOS", "1105")
 _SUSPENDED = ("and", "or", "und", "oder", "et", "ou", "y", "o")
 _EDGE = set("0123456789lOIoivxcIVX])-–—")
 _MARKS = "-‐‑¬\xad"
+_MARKED = set(_MARKS)
 _NOTE = re.compile(r"\s*(?:\d{1,4}\s+\S*[^\W\d_]|\[\^\d+\]:)")
 _FRONT = re.compile(r"\A---\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _TITLE = re.compile(r'^title: "?(.*?)"?\s*$', re.M)
@@ -510,7 +511,11 @@ def _closed_up(model: Model, line: str) -> str:
 
     before = ""
     while before != line:
-        before, line = line, _BAD_TIME.sub(lambda m: m[0].replace(" ", ""), _INLINE.sub(join, line))
+        before = line
+        if not _MARKED.isdisjoint(line):
+            line = _INLINE.sub(join, line)
+        if ":" in line or "/" in line:
+            line = _BAD_TIME.sub(lambda m: m[0].replace(" ", ""), line)
     return line
 
 
@@ -522,7 +527,7 @@ def repair_line(model: Model, line: str, *, kept_first: bool = False) -> str:
     line = _closed_up(model, line)
     parts = re.split(r"(\s+)", line)
     tokens, gaps = parts[::2], parts[1::2]
-    kept = {id(t) for x in _INLINE.finditer(line) if (at := len(re.findall(r"\s+", line[: x.start(2)]))) >= 0 for t in tokens[at : at + 2]}
+    kept = {id(t) for x in (() if _MARKED.isdisjoint(line) else _INLINE.finditer(line)) if (at := len(re.findall(r"\s+", line[: x.start(2)]))) >= 0 for t in tokens[at : at + 2]}
     if kept_first:
         kept.update([id(t) for t in tokens if t][:1])
     kept.update(id(t) for t in tokens[-1:] if t[-1:] in _MARKS)
