@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,21 @@ def tagged(df: DataFrame, tab: str, key: str, text: str, *, where: Column | None
     return df.filter(F.col(text).isNotNull()).select(F.lit(tab).alias("tab"), F.col(key).alias("row_id"), F.col(text).alias("text"))
 
 
-def batches(df: DataFrame, rows: int) -> DataFrame:
-    """Set the Arrow batch size for the Python stages over long texts, so that a batch of texts stays small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def slices(frames: Iterable[pd.DataFrame], *, rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The frames of a Python stage in parts of at most ``rows`` rows, so that what is made of a part stays small.
+
+    What goes in at once is bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch); no setting of the session is
+    touched, since it would hold for every other query too.
+    """
+    for pdf in frames:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k : k + rows]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, so that what follows reads its rows instead of working them out again, and the
+    loss of an executor doesn't either. The folder is the session's; one of our own is set only where there is none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    return df.checkpoint()

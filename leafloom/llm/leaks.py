@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import slices
 
 STRETCH, REPLACED = 15, 8
 WINDOW, STRIDE, ITEM_STRIDE = 24, 8, 4
@@ -101,7 +101,7 @@ def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[np.nd
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, total = np.zeros(len(number), np.int64), 0
-        for pdf in rows:
+        for pdf in slices(rows):
             for t in pdf.text:
                 total += 1
                 own = {k for w in set(words(t)) if (k := number.get(w)) is not None}
@@ -109,7 +109,7 @@ def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[np.nd
         at = np.flatnonzero(count)
         yield pd.DataFrame({"word": np.append(at, -1), "n": np.append(count[at], total)})
 
-    got = batches(docs.select("text"), 1000).mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    got = docs.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out, total = np.zeros(len(number), np.int64), 0
     for r in got:
         if r.word < 0:
@@ -229,11 +229,11 @@ def leaks(docs: DataFrame, items: DataFrame, *, block: int = BLOCK) -> DataFrame
         sent = spark.sparkContext.broadcast(index)
 
         def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in rows:
+            for pdf in slices(rows):
                 found = [(d, i) for d, t in zip(pdf.doc_id, pdf.text) for i in leaked(sent.value, t)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id"])
 
-        return batches(texts, 1000).mapInPandas(run, schema)
+        return texts.mapInPandas(run, schema)
 
     for r in items.select("item_id", "passage").filter(F.col("passage").isNotNull()).orderBy("item_id").toLocalIterator():
         held.append((r.item_id, r.passage))

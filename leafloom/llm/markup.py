@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import slices
 
 FAMILIES = ["html", "markdown", "wiki", "latex"]
 # Element names of HTML.
@@ -331,7 +331,7 @@ def residue(df: DataFrame, *, clean: bool = False) -> DataFrame:
     schema = f"tab string, row_id {kind}, families array<string>" + (", clean string" if clean else "")
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
+        for pdf in slices(rows):
             out = []
             for tab, row, text in pdf.itertuples(index=False):
                 if found := families(text, tab == "ingest_results"):
@@ -339,4 +339,4 @@ def residue(df: DataFrame, *, clean: bool = False) -> DataFrame:
             yield pd.DataFrame(out, columns=["tab", "row_id", "families", "clean"][: 3 + clean])
 
     signed = df.select("tab", "row_id", "text").filter(F.col("text").rlike(SIGNS))
-    return batches(signed, 1000).mapInPandas(run, schema)
+    return signed.mapInPandas(run, schema)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import slices
 
 LEVELS = 6
 _HEADING = re.compile(r"^(?:(#{1,6})[ \t]+\S|<h([1-6])\b|(={2,6})[^=\n].*={2,6}[ \t]*$|\\((?:sub)*)section\b)", re.M)
@@ -130,7 +130,7 @@ def pieces(df: DataFrame, *, limit: Column, overlap: Column) -> DataFrame:
     schema = f"tab string, row_id {kind}, piece_no int, start_at int, end_at int, piece string"
 
     def cut(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
+        for pdf in slices(rows, rows=50):
             out = []
             for tab, row, text, most, lap in pdf.itertuples(index=False):
                 out += [(tab, row, k, a, b, text[a:b]) for k, (a, b) in enumerate(split_text(text, int(most), int(lap)))]
@@ -143,4 +143,4 @@ def pieces(df: DataFrame, *, limit: Column, overlap: Column) -> DataFrame:
 
 
 def oversized_pieces(df: DataFrame, schema: str, cut) -> DataFrame:
-    return batches(df.filter(F.length("text") > F.col("limit")), 200).mapInPandas(cut, schema)
+    return df.filter(F.length("text") > F.col("limit")).mapInPandas(cut, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, leaks, markup, pieces, scans, sentences, sitelines, stuffing
+from . import channel, encode, leaks, markup, pieces, scans, sentences, sitelines, stuffing
 from ..plan_aids import spread
 from .common import table, tagged
 
@@ -72,9 +72,9 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
 # ---- problem 4 -------------------------------------------------------------------------------------------------------
 
 
-def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, scans.Model]:
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, channel.Model]:
     runs = spread(table(spark, d, "ingest_results").select(F.col("result_id").alias("row_id"), "source_text", "markdown"))
-    return runs, scans.learn(runs.select(F.explode(F.array("source_text", "markdown")).alias("text")))
+    return runs, channel.learn(runs.select(F.explode(F.array("source_text", "markdown")).alias("text")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

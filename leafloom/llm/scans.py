@@ -1,380 +1,119 @@
-"""Problem 4: repair of text from scanned pages, by a noisy channel over the corpus's own words.
-
-Two counts over all texts come first: the words, all that occur LEAST times; and the word pairs around words that the
-scanner's confusions turn into one another. They are broadcast up to a bound; larger ones are looked up in a file that
-every worker gets, with the same results. Then each line is decoded by itself: every
-word has candidates, the words that the confusions may have turned into it; a candidate's cost is its channel probability
-and its probability after the word before; Viterbi gives the cheapest path. Words divided at line ends are joined if the
-corpus knows the joined word better than the compound. Page numbers and running headers are told by form and repetition.
+"""Problem 4: text from scanned pages, read and repaired into continuous paragraphs.
+
+Page numbers and running headers are told by form and repetition. Every other line is decoded by the noisy channel of
+``channel``; the path of a line says both which cases it holds and how it is printed. Words divided at line ends are
+joined if the corpus knows the joined word better than the compound.
 """
 
 from __future__ import annotations
 
-import atexit
-import math
-import os
 import re
-import shutil
-import sqlite3
-import tempfile
-import uuid
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
-
-#: Rarer words are unknown to the model, at any size of the corpus; the same for word pairs.
-LEAST, PAIR_LEAST = 5, 2
-#: Up to so many words and pairs are broadcast; beyond that, the workers look them up on disk.
-MAX_WORDS, MAX_PAIRS = 200_000, 1_000_000
-MEMO = 400_000
+from .channel import MARKS, SUSPENDED, Model, clean, corrected, learn, misread_at
+from .common import slices
 
-# The confusions of scanners, read word part -> printed word part.
-PLAIN = [("c", "e"), ("l", "t"), ("ri", "n"), ("rn", "m"), ("ii", "u"), ("b", "h"), ("in", "m"), ("vv", "w"), ("m", "rn"), ("n", "ri"), ("cl", "d"), ("d", "cl"), ("fl-", "fr"), ("tiii", "till")]
-CAPITAL = [("F", "E"), ("C", "G"), ("O", "Q"), ("B", "R")]
-ODD = {"0": "o", "1": "li", "5": "s", "9": "g", "8": "b", "6": "b", "!": "il", "|": "li", "à": "a"}
-STRAY = ";!\\|"
-FUSED = [("of in to and at by for on from that with was were", "the"), ("in von mit aus bei nach", "der dem"), ("de à dans sur", "la"), ("de en por con", "los las")]
+__all__ = ["Model", "learn", "read_text", "repaired", "repaired_markdown", "repaired_texts", "scan_cases"]
 
-_OUTER = ".,:;!?\"“”„«»()…—–‘’'>‹›*"
-_MARKUP = set("<>{}=_/`@&%$^~[]#*")
 _DIVIDED = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])\s*$")
-_INLINE = re.compile(r"([^\W\d_]+)([-‐‑¬\xad])\s+([^\W\d_]+)")
 _FIRST_WORD = re.compile(r"^[\s>]*([^\W\d_]+)(-[^\W\d_]+)?")
 _NUMBER = r"(?:[\dlOIo]{1,4}|[ivxlc]{1,7})"
 _PAGE_NO = re.compile(rf"^(?:{_NUMBER}|[-–—] ?{_NUMBER} ?[-–—]|\[{_NUMBER}\]|\({_NUMBER}\)|(?:page|seite|página|p\.) {_NUMBER}(?: (?:of|von|de|sur) {_NUMBER})?|[IVXl]{{1,6}}-[\dlO]{{1,4}})$", re.I)
-_NUMBERED = re.compile(rf"^(?:({_NUMBER})\s{{2,}}(\S.*?)|(\S.*?)\s{{2,}}({_NUMBER}))$")
+_ONLY_NUMBER = re.compile(rf"{_NUMBER}$")
 _DOCKET = re.compile(r"^[A-Z]{3,}(?: [A-Z]{2,})* [\dlO]{2,4}/[A-Z]{3,}$")
-_BAD_NUMBER = re.compile(r"^(?=.*\d)(?:[lIO](?=[\d.,lIO])|(?<=.)[lIOS](?=$|[\d.,lIO])|[\d.,])+$")
-_ORDINAL = re.compile(r"^\d+(?:st|nd|rd|th|e|er|ère|o|a|d|h)$|^\d[\d\-]*[a-z]$")
-_BAD_TIME = re.compile(r"(?<![\d.])\d{1,2} :\d{2}\b|(?<![\d.])\d{1,2}: \d{2}(?!\d)|\b0 \d/\d{2}/\d{4}\b")
-_DIGITS = str.maketrans("lIOS", "1105")
-_SUSPENDED = ("and", "or", "und", "oder", "et", "ou", "y", "o")
 _EDGE = set("0123456789lOIoivxcIVX])-–—")
-_MARKS = "-‐‑¬\xad"
-_MARKED = set(_MARKS)
 _NOTE = re.compile(r"\s*(?:\d{1,4}\s+\S*[^\W\d_]|\[\^\d+\]:)")
 _FRONT = re.compile(r"\A---\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _TITLE = re.compile(r'^title: "?(.*?)"?\s*$', re.M)
 _OPEN_END = re.compile(r"[\w,]\s*$")
 _LETTERS = re.compile(r"[\W\d_]+")
-_INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]?$")
-_SURNAME = re.compile(r"^(?:Mc|Mac|[A-Za-z]{1,2}['’])[A-ZÀ-Ý][a-zß-ÿ]+$")
-_MIXED = re.compile(r"[a-zà-ÿ][A-Z]|^[A-Z]{2,}[a-zß-ÿ]")
 
 
-def clean(token: str) -> str:
-    """A token without the punctuation around it; empty if it belongs to markup or has no letter."""
-    w = token.strip(_OUTER)
-    if not w or not any(map(str.isalpha, w)) or not _MARKUP.isdisjoint(w) or w[0] == "\\":
-        return ""
-    return w
+def title_of(markdown: str | None) -> str:
+    """The title in the front matter, however long that is; empty if there is none."""
+    front = _FRONT.match(markdown) if markdown else None
+    m = _TITLE.search(front[0]) if front else None
+    return m[1] if m else ""
 
 
-def _bad_number(t: str) -> str:
-    """The number of a token, without what stands around it, if it holds letters for digits."""
-    w = clean(t)
-    bare = w or t.strip(_OUTER + "$()")
-    bad = len(bare) > 1 and any(c in "lIOS" for c in bare) and _BAD_NUMBER.match(bare) and not (w and _ORDINAL.match(w.lower()))
-    return bare if bad else ""
+# ---- layout ----------------------------------------------------------------------------------------------------------
 
 
-class _Memo(dict):
-    """A dictionary that works out what it lacks; emptied when it grows large."""
+def _near(a: str, b: str) -> bool:
+    return a == b or (len(a) == len(b) and len(a) > 8 and sum(x != y for x, y in zip(a, b)) <= 2)
 
-    def __init__(self, work):
-        super().__init__()
-        self.work = work
 
-    def __missing__(self, key):
-        if len(self) > MEMO:
-            self.clear()
-        got = self[key] = self.work(key)
-        return got
+def _numbered(s: str) -> str | None:
+    """What stands beside a page number and a gap of two spaces or more, before or after it."""
+    first, last = s.split(None, 1), s.rsplit(None, 1)
+    if len(first) < 2:
+        return None
+    if _ONLY_NUMBER.match(first[0]) and len(s) - len(first[0]) - len(first[1]) > 1:
+        return first[1]
+    if _ONLY_NUMBER.match(last[1]) and len(s) - len(last[0].rstrip()) - len(last[1]) > 1:
+        return last[0].rstrip()
+    return None
 
 
-FINE, DOUBTFUL, MISREAD = 0, 1, 2
+def _like_title(s: str) -> bool:
+    return s.isupper() or sum(w[:1].isupper() for w in s.split()) >= 3
 
 
-class Shelf:
-    """A read-only mapping from words or word pairs to numbers, in an SQLite file that each worker gets; it is sent by name.
+def furniture_lines(lines: list[str], title: str, *, markdown: bool) -> set[int]:
+    """Numbers of the lines that are running headers, running footers or page numbers.
 
-    What was looked up last is kept in memory. A shelf of words that satisfy a condition serves as a set.
+    A header repeats the title, or else comes with a page number or at least three times; where no title is known, a line
+    in title case may be one too.
     """
-
-    def __init__(self, name: str, query: str):
-        self.name, self.query = name, query
-        self.found = _Memo(self._look_up)
-        self.con: sqlite3.Connection | None = None
-
-    def __reduce__(self):
-        return (Shelf, (self.name, self.query))
-
-    def _look_up(self, key: str | tuple[str, str]) -> int | None:
-        if self.con is None:
-            self.con = sqlite3.connect(f"file:{SparkFiles.get(self.name)}?mode=ro&immutable=1", uri=True, check_same_thread=False)
-        row = self.con.execute(self.query, key if isinstance(key, tuple) else (key,)).fetchone()
-        return row[0] if row else None
-
-    def get(self, key, default=None):
-        got = self.found[key]
-        return default if got is None else got
-
-    def __contains__(self, key) -> bool:
-        return self.found[key] is not None
-
-    @staticmethod
-    def fill(table: DataFrame, columns: str, query: str) -> Shelf:
-        """A shelf of the rows of a table, which pass through the driver in turns; the first columns are the key."""
-        name = f"shelf-{uuid.uuid4().hex}.db"
-        names = columns.split()
-        d = tempfile.mkdtemp()  # Spark serves the file from here as long as the driver runs
-        atexit.register(shutil.rmtree, d, ignore_errors=True)
-        con = sqlite3.connect(path := os.path.join(d, name))
-        con.execute("PRAGMA journal_mode = OFF")
-        con.execute(f"CREATE TABLE t ({', '.join(names)}, PRIMARY KEY ({', '.join(names[: query.count('?')])})) WITHOUT ROWID")
-        con.executemany(f"INSERT INTO t VALUES ({', '.join('?' * len(names))})", (tuple(r) for r in table.select(*names).toLocalIterator()))
-        con.commit()
-        con.close()
-        table.sparkSession.sparkContext.addFile(path)
-        return Shelf(name, query)
-
-
-@dataclass
-class Model:
-    """Counts sent to the workers: dictionaries and sets, or shelves where they are large."""
-
-    total: int
-    words: dict[str, int] | Shelf  # folded
-    lower: set[str] | Shelf = field(default_factory=set)  # words that mostly stand in lower case
-    pairs: dict[tuple[str, str], int] | Shelf = field(default_factory=dict)
-    tracked: set[str] | Shelf = field(default_factory=set)
-
-    def __post_init__(self):
-        self.fused = {a + b: len(a) for left, right in FUSED for a in left.split() for b in right.split() if self.words.get(a + b, 0) * 20 < min(self.words.get(a, 0), self.words.get(b, 0))}
-        self.candidates, self.state, self.folded = _Memo(self._candidates), _Memo(self._state), _Memo(lambda t: clean(t).lower())
-
-    def __getstate__(self):
-        return (self.total, self.words, self.lower, self.pairs, self.tracked)
-
-    def __setstate__(self, kept):
-        self.total, self.words, self.lower, self.pairs, self.tracked = kept
-        self.__post_init__()
-
-    def count(self, w: str) -> int:
-        return self.words.get(w, 0)
-
-    def _candidates(self, w: str) -> list[tuple[str, float]]:
-        """(printed word, log of the channel probability) for a read word; the word itself first. Candidates that the word
-        counts alone rule out are left out, unless word pairs are known for them."""
-        found, odd = self.raw_candidates(w)
-        low = w.lower()
-        if odd:
-            return [(w, -30.0), *found.items()]
-        own = -18.0 if w[:1].isupper() and not w.isupper() and not self.count(low) else self.log_word(low)
-        kept = [(c, p) for c, p in found.items() if (low in self.tracked and c in self.tracked) or self.log_word(c) + p > own]
-        return [(low, own - self.log_word(low)), *kept]
-
-    def raw_candidates(self, w: str) -> tuple[dict[str, float], bool]:
-        low = w.lower()
-        known = self.count(low)
-        out: dict[str, float] = {}
-        odd = False
-        digits = any(c.isdigit() for c in w)
-        if any(c in w[1:-1] for c in STRAY):
-            odd = True
-            for c in STRAY:
-                self._try(out, low.replace(c, ""), math.log(0.5))
-        if (digits and not _ORDINAL.match(low) and sum(c.isalpha() for c in w) > 1) or (len(w) > 2 and any(c in "!|à" for c in low)):
-            options = [""]
-            for c in low:
-                options = [o + r for o in options for r in ((c + ODD[c]) if c in "à!|" else ODD.get(c, c))][:64]
-            for o in options:
-                if o != low and not any(c.isdigit() for c in o):
-                    odd |= self._try(out, o, math.log(0.2)) and known * 3 < self.count(o)
-        if _MIXED.search(w) and not _SURNAME.match(w) and not w[:-1].isupper() and self.count(low) >= LEAST:
-            odd = True
-            out[low] = math.log(0.5)
-        if not odd and len(low) >= 3 and not digits and not _INITIALS.match(low):
-            p = math.log(1 / 15) if known else math.log(2e-4)
-            self._edits(out, low, PLAIN, p)
-            if w.isupper():
-                self._edits(out, low, [(a.lower(), b.lower()) for a, b in CAPITAL], p)
-            elif w[0].isupper() and len(low) > 3:
-                self._edits(out, low, [(w[0].lower(), b.lower()) for a, b in CAPITAL if a == w[0]], p, only_first=True)
-            if len(low) == 3:
-                out = {c: p for c, p in out.items() if self.count(c) > self.total * 1e-3}
-        if low in self.fused:
-            out["\x00" + low] = math.log(0.5)
-        out.pop(low if not odd else "", None)
-        return out, odd
-
-    def _state(self, t: str) -> int:
-        """Is a token fine, misread whatever stands around it, or to be decided in its line?"""
-        w = clean(t)
-        if _bad_number(t):
-            return MISREAD
-        if not w:
-            return FINE
-        options = self.candidates[w]
-        if len(options) < 2:
-            return FINE
-        low = w.lower()
-        return DOUBTFUL if low in self.tracked and any(c in self.tracked for c, _ in options[1:]) else MISREAD
-
-    def misread_word(self, tokens: list[str], k: int) -> bool:
-        """Is token k of the line misread?"""
-        state = self.state[tokens[k]]
-        if state != DOUBTFUL:
-            return state == MISREAD
-        a, b = max(0, k - 3), min(len(tokens), k + 4)
-        return self.decode(tokens[a:b])[k - a].lower() != self.folded[tokens[k]]
-
-    def printed(self, t: str, state: int, decoded: str) -> str:
-        """A token as printed, given its state and the word that its line was decoded to."""
-        if bad := _bad_number(t):
-            return t.replace(bad, bad.translate(_DIGITS), 1)
-        w = clean(t)
-        if not w:
-            return t
-        if state == MISREAD and decoded.lower() == w.lower() and not _MIXED.search(w):
-            decoded = max(((self.log_word(c) + p, c) for c, p in self.candidates[w][1:]))[1]
-        if decoded[:1] == "\x00":
-            at = self.fused[w.lower()]
-            return t.replace(w, f"{w[:at]} {w[at:]}", 1)
-        if decoded.lower() == w.lower() and not (decoded != w and _MIXED.search(w)):
-            return t
-        return t.replace(w, _recased(w, decoded), 1)
-
-    def any_glued(self, words: list[str]) -> bool:
-        """Is any word of the line known to go with the next as one?"""
-        return any(x + y in self.words for x, y in zip(words, words[1:]))
-
-    def split_pair(self, x: str, y: str) -> bool:
-        """Are two words likelier one word with a space in it?"""
-        w = x + y
-        if not x or not y or len(w) < 4 or not w.isalpha() or (n := self.count(w)) < LEAST:
-            return False
-        return n > 8 * min(self.count(x), self.count(y)) and not (len(x) == 1 and x in "aoyeàé" and self.count(y) > 0)
-
-    def split_word(self, a: str, b: str) -> bool:
-        """Are two tokens the parts of a word that a space got into?"""
-        return a[-1:] not in ".,;:!?" and not b[:1].isupper() and self.split_pair(self.folded[a], self.folded[b])
-
-    def _try(self, out: dict[str, float], c: str, p: float) -> bool:
-        if c and self.count(c) >= LEAST:
-            out[c] = max(out.get(c, -99.0), p)
-            return True
-        return False
-
-    def _edits(self, out: dict[str, float], low: str, table: list[tuple[str, str]], p: float, only_first: bool = False) -> None:
-        for a, b in table:
-            k = low.find(a)
-            while k >= 0:
-                if not only_first or k == 0:
-                    self._try(out, low[:k] + b + low[k + len(a) :], p)
-                k = low.find(a, k + 1)
-
-    def log_word(self, w: str) -> float:
-        """Log probability of a word; an unknown one gets that of some word spelt so."""
-        if w[0] == "\x00":
-            return -4.0
-        n = self.count(w)
-        return math.log(n / self.total) if n else -24.0
-
-    def log_after(self, before: str, w: str) -> float:
-        if before and w[0] != "\x00" and (w in self.tracked or before in self.tracked):
-            n, smooth = self.count(before), 20.0
-            if n:
-                return math.log((self.pairs.get((before, w), 0) + smooth * math.exp(self.log_word(w))) / (n + smooth))
-        return self.log_word(w)
-
-    def decode(self, tokens: list[str]) -> list[str]:
-        """The likeliest printed words of a line, by Viterbi; tokens that are no words stand for themselves."""
-        paths: list[tuple[float, list[str], str]] = [(0.0, [], "")]
-        for t in tokens:
-            w = clean(t)
-            if not w:
-                best = max(paths, key=lambda x: x[0])
-                paths = [(best[0], [*best[1], t], "")]
-                continue
-            new = []
-            for c, channel in self.candidates[w]:
-                best = max(((s + self.log_after(last, c.lower()), p) for s, p, last in paths), key=lambda x: x[0])
-                new.append((best[0] + channel, [*best[1], c], c.lower()))
-            paths = new
-        return max(paths, key=lambda x: x[0])[1]
-
-
-# ---- layout ----------------------------------------------------------------------------------------------------------
-
-
-def _near(a: str, b: str) -> bool:
-    return a == b or (len(a) == len(b) and len(a) > 8 and sum(x != y for x, y in zip(a, b)) <= 2)
-
-
-def furniture_lines(lines: list[str], title: str, *, markdown: bool) -> set[int]:
-    """Numbers of the lines that are running headers, running footers or page numbers."""
     out: set[int] = set()
-    keys: list[tuple[int, str, str]] = []
+    keys: list[tuple[int, str, str, bool]] = []
     want = _LETTERS.sub("", title).lower()
     for i, line in enumerate(lines):
         s = line.strip()
-        if not s or len(s) > 130 or (markdown and s[0] in "#>%"):
+        if not s or (markdown and s[0] in "#>%"):
             continue
         edge = s[-1] in _EDGE or s[0] in _EDGE
-        if edge and len(s) < 24 and _PAGE_NO.match(s):
+        if edge and _PAGE_NO.match(s):
             out.add(i)
             continue
-        upper = s.isupper()
-        m = _NUMBERED.match(s) if edge and "  " in s else None
-        if not upper and not m and not (want and abs(len(s) - len(title)) <= 6):
+        body = _numbered(s) if edge and "  " in s else None
+        numbered, upper = body is not None, s.isupper()
+        if not upper and not numbered and not (abs(len(s) - len(title)) <= 6 if want else s[-1].isalpha() and _like_title(s)):
             continue
-        body = (m[2] or m[3]) if m else s
+        body = body or s
         if "/" in body and _DOCKET.match(body):
             out.add(i)
             continue
         key = _LETTERS.sub("", body).lower()
         if want and len(key) > 8 and _near(key, want):
             out.add(i)
-        elif len(key) > 8 and (m or upper) and not re.search(r"[.·]{4,}", body):
-            keys.append((i, key, body))
-    many = Counter(k for _, k, _ in keys)
+        elif len(key) > 8 and (numbered or upper or not want) and not re.search(r"[.·]{4,}", body):
+            keys.append((i, key, body, numbered))
+    many = Counter(k for _, k, _, _ in keys)
+    with_number = {k for _, k, _, numbered in keys if numbered}
     by_size: dict[int, list[str]] = {}
     for k in many:
         by_size.setdefault(len(k), []).append(k)
-    numbered = {k: True for j, k, _ in keys if _NUMBERED.match(lines[j].strip())}
-    for i, key, body in keys:
-        title_like = body.isupper() or sum(w[:1].isupper() for w in body.split()) >= 3
-        if title_like and (many[key] > 1 or any(_near(key, k) for k in by_size[len(key)] if k != key)) and not re.match(r"^(?:[A-Z]|[IVXLC]+|\d+)\. ", body):
-            if numbered.get(key) or many[key] > 2:
+    for i, key, body, _ in keys:
+        if (key in with_number or many[key] > 2) and _like_title(body) and not re.match(r"^(?:[A-Z]|[IVXLC]+|\d+)\. ", body):
+            if many[key] > 1 or any(_near(key, k) for k in by_size[len(key)] if k != key):
                 out.add(i)
     return out
 
 
-def _joins(model: Model, a: str, b: str, tail: str, mark: str) -> bool:
-    """Do the parts of a divided word belong together without the mark?"""
-    x, y = a.lower(), b.lower()
-    joined, compound = model.count(x + y), model.count(f"{x}-{y}{tail or ''}") + model.count(f"{x}-{y}")
-    if joined or compound:
-        return joined >= compound
-    if not b[0].islower():
-        return False
-    return mark != "-" or not (model.count(x) > LEAST and model.count(y) > LEAST)
-
-
 @dataclass
 class Reading:
     """What is found in a text: (line, kind) cases."""
 
     cases: list[tuple[int, str]]
+    printed: dict[int, str]  # the lines that change, as decoded
     furniture: set[int]
     divided: dict[int, int]  # line of the first part -> line of the second
     compounds: dict[int, int]  # the same for words that keep their mark
@@ -394,6 +133,34 @@ def _body_lines(lines: list[str], furniture: set[int]) -> list[int]:
     return out
 
 
+def _second_part(model: Model, shown: list[str], i: int, part: str, furniture: set[int], body: list[int]) -> tuple[int, re.Match] | None:
+    """(line, first word) of the second part of the word that line i ends in.
+
+    It stands in the next line of the body, over furniture and notes. Since a line that begins with a number may be taken
+    for a note or a note's end for a line of the body, a line that makes a known word is taken wherever it comes first: from
+    the next line on up to the first line of the body that begins in the same case.
+    """
+    at = bisect_right(body, i)
+    last = i
+    for k in range(at, len(body)):
+        last = body[k]
+        h = _FIRST_WORD.match(shown[last])
+        if h and h[1][0].islower() == part[-1].islower():
+            break
+    after = body[at] if at < len(body) else -1
+    near = next((j for j in range(i + 1, len(shown)) if shown[j].strip() and j not in furniture and not shown[j].startswith("%%")), -1)
+    stop = last if last > i else near
+    first = None
+    for j in range(near, stop + 1) if near >= 0 else ():
+        if j in furniture or not shown[j].strip() or shown[j].startswith("%%") or not (h := _FIRST_WORD.match(shown[j])):
+            continue
+        if model.count((part + h[1]).lower()) or model.count(f"{part}-{h[1]}".lower()):
+            return j, h
+        if first is None and (after < 0 or (j >= after and (q := bisect_right(body, j)) and body[q - 1] == j)):
+            first = (j, h)
+    return first
+
+
 def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading:
     lines = text.split("\n")
     skip = 0
@@ -402,6 +169,7 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
     shown = [""] * skip + lines[skip:]
     furniture = furniture_lines(shown, title, markdown=markdown)
     cases = [(i, "furniture") for i in furniture]
+    printed: dict[int, str] = {}
     divided: dict[int, int] = {}
     compounds: dict[int, int] = {}
     second: set[int] = set()
@@ -409,54 +177,22 @@ def read_text(model: Model, text: str, title: str, *, markdown: bool) -> Reading
     for i, line in enumerate(shown):
         if i in furniture or not line.strip() or (markdown and line.startswith("%%")):
             continue
+        m = _DIVIDED.search(line) if line.rstrip()[-1] in MARKS else None
         found = False
-        end = line.rstrip()[-1]
-        m = _DIVIDED.search(line) if end in _MARKS else None
         if m:
-            later = [j for j in range(i + 1, min(len(shown), i + 10)) if shown[j].strip() and j not in furniture and not shown[j].startswith("%%")][:4]
             if body is None:
                 body = _body_lines(shown, furniture)
-            after = body[(at := bisect_right(body, i)) : at + 4]
-            over_notes = bool(after) and (not later or bool(_NOTE.match(shown[later[0]])))
-            later = sorted({*later, *after})
-            heads = [(j, _FIRST_WORD.match(shown[j])) for j in later]
-            heads = [(j, h) for j, h in heads if h]
-            best = next(((j, h) for j, h in heads if model.count((m[1] + h[1]).lower()) or model.count(f"{m[1]}-{h[1]}".lower())), next((x for x in heads if not over_notes or x[0] in after), None))
-            if best:
+            if best := _second_part(model, shown, i, m[1], furniture, body):
                 second.add(best[0])
-                if _joins(model, m[1], best[1][1], best[1][2] or "", m[2]):
+                if model.joins(m[1], best[1][1], best[1][2] or "", m[2]):
                     found, divided[i] = True, best[0]
                 else:
                     compounds[i] = best[0]
-        inner = [x for x in (_INLINE.finditer(line) if _has_mark(line) else ()) if x[3] not in _SUSPENDED]
-        joined = [x for x in inner if _joins(model, x[1], x[3], "", x[2])]
-        if found or joined:
-            cases.append((i, "break"))
-        tokens = line.split()
-        skipped = {0} if i in second else set()
-        if m and tokens:
-            skipped.add(len(tokens) - 1)
-        for x in inner:
-            at = len(line[: x.start(2)].split()) - 1
-            skipped |= {at, at + 1}
-        if _misread_line(model, tokens, skipped) or ((" :" in line or ": " in line or "/" in line) and _BAD_TIME.search(line)):
-            cases.append((i, "misread"))
-    return Reading(cases, furniture, divided, compounds, second)
-
-
-def _misread_line(model: Model, tokens: list[str], skipped: set[int]) -> bool:
-    state, folded = model.state, model.folded
-    states = [state[t] for t in tokens]
-    if any(states):
-        for k, x in enumerate(states):
-            if x and k not in skipped and (x == MISREAD or model.misread_word(tokens, k)):
-                return True
-    words = [folded[t] for t in tokens]
-    if model.any_glued(words):
-        for k in range(len(tokens) - 1):
-            if not {k, k + 1} & skipped and model.split_word(tokens[k], tokens[k + 1]):
-                return True
-    return False
+        fixed, kinds = corrected(model, line, kept_first=i in second, kept_last=m is not None)
+        if fixed != line:
+            printed[i] = fixed
+        cases += [(i, k) for k in kinds | ({"break"} if found else set())]
+    return Reading(cases, printed, furniture, divided, compounds, second)
 
 
 def misread_match(model: Model, match: str, context: str) -> bool:
@@ -465,13 +201,11 @@ def misread_match(model: Model, match: str, context: str) -> bool:
         return False
     parts = match.split()
     if len(parts) > 1:
-        if any(model.split_word(a, b) for a, b in zip(parts, parts[1:])) or _BAD_TIME.search(match):
-            return True
-        return any(model.misread_word(parts, k) for k in range(len(parts)))
+        return "misread" in corrected(model, match)[1]
     context = context or match
     at = min((m.start() for m in re.finditer(re.escape(match), context)), key=lambda i: abs(i - 40), default=-1)
     if at < 0:
-        return model.misread_word(parts, 0)
+        return misread_at(model, parts, 0)
     left = context[:at].split(" ")
     head, tail = left[-1], re.match(r"\S*", context[at + len(match) :])[0]
     tokens = [*[x for x in left[:-1] if x], head + match + tail, *context[at + len(match) + len(tail) :].split()]
@@ -480,85 +214,19 @@ def misread_match(model: Model, match: str, context: str) -> bool:
         whole = clean(head + match + tail)
         if "-" in whole or not whole:
             tokens[k] = match
-    return model.misread_word(tokens, k)
-
-
-def _recased(read: str, printed: str) -> str:
-    """A folded printed word in the case of the read one; what both share stays as read."""
-    low = read.lower()
-    if read.isupper():
-        return printed.upper()
-    if len(low) != len(read) or (_MIXED.search(read) and not _SURNAME.match(read)):
-        return printed.capitalize() if read[0].isupper() and not read[1:2].isupper() else printed
-    a = b = 0
-    while a < min(len(low), len(printed)) and low[a] == printed[a]:
-        a += 1
-    while b < min(len(low), len(printed)) - a and low[-1 - b] == printed[-1 - b]:
-        b += 1
-    middle = printed[a : len(printed) - b]
-    return read[:a] + (middle[:1].upper() + middle[1:] if not a and read[0].isupper() else middle) + read[len(read) - b :]
-
-
-def _closed_up(model: Model, line: str) -> str:
-    """The line with the words joined that a mark and a space divide, and bad times closed up."""
-
-    def join(m: re.Match) -> str:
-        if m[3] in _SUSPENDED:
-            return m[0]
-        if _joins(model, m[1], m[3], "", m[2]):
-            return m[1] + m[3]
-        return f"{m[1]}-{m[3]}" if model.count(f"{m[1]}-{m[3]}".lower()) else m[0]
-
-    before = ""
-    while before != line:
-        before = line
-        if not _MARKED.isdisjoint(line):
-            line = _INLINE.sub(join, line)
-        if ":" in line or "/" in line:
-            line = _BAD_TIME.sub(lambda m: m[0].replace(" ", ""), line)
-    return line
+    return misread_at(model, tokens, k)
 
 
 def repair_line(model: Model, line: str, *, kept_first: bool = False) -> str:
-    """A line with every break and misreading put right that read_text tells in it; white space stays.
-
-    The first word is left alone if it is the second part of a word that wasn't joined.
-    """
-    line = _closed_up(model, line)
-    parts = re.split(r"(\s+)", line)
-    tokens, gaps = parts[::2], parts[1::2]
-    kept = {id(t) for x in (() if _MARKED.isdisjoint(line) else _INLINE.finditer(line)) if (at := len(re.findall(r"\s+", line[: x.start(2)]))) >= 0 for t in tokens[at : at + 2]}
-    if kept_first:
-        kept.update([id(t) for t in tokens if t][:1])
-    kept.update(id(t) for t in tokens[-1:] if t[-1:] in _MARKS)
-    while True:
-        k, words = 0, [model.folded[t] for t in tokens]
-        while k + 1 < len(tokens):
-            if words[k] + words[k + 1] in model.words and not {id(tokens[k]), id(tokens[k + 1])} & kept and model.split_word(tokens[k], tokens[k + 1]):
-                tokens[k : k + 2], gaps[k : k + 1] = [tokens[k] + tokens[k + 1]], []
-                words[k : k + 2] = [model.folded[tokens[k]]]
-            else:
-                k += 1
-        states = [model.state[t] for t in tokens]
-        if not any(states):
-            break
-        out = [t if id(t) in kept or not x else model.printed(t, x, w) for t, x, w in zip(tokens, states, model.decode(tokens))]
-        if out == tokens:
-            break
-        gaps = [g for t, gap in zip(out, [*gaps, ""]) for g in [" "] * t.count(" ") + [gap]][:-1]
-        tokens = [y for t in out for y in (t.split(" ") if " " in t else [t])]
-    return "".join(x for pair in zip(tokens, [*gaps, ""]) for x in pair)
-
-
-def _to_repair(model: Model, lines: list[str], found: Reading, goes_on: dict[int, int]) -> set[int]:
-    """Lines that repair_line may change: those with a case or a doubtful word, those that a word was moved to, and those
-    with a compound that has a space in it."""
-    parted = {i for i, line in enumerate(lines) if any(map(model.state.__getitem__, line.split())) or (_has_mark(line) and _INLINE.search(line))}
-    return {i for i, k in found.cases if k != "furniture"} | goes_on.keys() | parted
+    """A line as the channel decodes it, and decoded again as long as that changes it: what was joined may be misread too."""
+    seen = set()
+    while line not in seen:
+        seen.add(line)
+        line, _ = corrected(model, line, kept_first=kept_first, kept_last=line.rstrip()[-1:] in MARKED)
+    return line
 
 
-def _has_mark(line: str) -> bool:
-    return "- " in line or "\xad" in line or "¬" in line or "‐" in line or "‑" in line
+MARKED = frozenset(MARKS)
 
 
 def _rejoined(model: Model, lines: list[str], found: Reading) -> tuple[list[str], dict[int, int]]:
@@ -582,7 +250,7 @@ def _is_compound(model: Model, lines: list[str], found: Reading, i: int, j: int)
     """Do parts that aren't joined without the mark stand in one compound, rather than before a list's last item?"""
     h = _FIRST_WORD.match(lines[j])[1]
     near = all(k in found.furniture for k in range(i + 1, j))
-    return h not in _SUSPENDED and (model.count(f"{_DIVIDED.search(lines[i])[1]}-{h}".lower()) > 0 or (near and h[0].islower()))
+    return h not in SUSPENDED and (model.count(f"{_DIVIDED.search(lines[i])[1]}-{h}".lower()) > 0 or (near and h[0].islower()))
 
 
 def repaired(model: Model, text: str, title: str) -> str:
@@ -594,7 +262,7 @@ def repaired(model: Model, text: str, title: str) -> str:
     found = read_text(model, text, title, markdown=False)
     lines, goes_on = _rejoined(model, whole, found)
     moved = set(goes_on.values())
-    to_do = _to_repair(model, whole, found, goes_on)
+    to_do = found.printed.keys() | goes_on.keys()
 
     def gather(i: int, end: int) -> list[list[str]]:
         paragraphs: list[list[str]] = [[]]
@@ -651,7 +319,7 @@ def repaired_markdown(model: Model, text: str, title: str) -> str:
         if rest := lines[goes_on[i]].lstrip(" \t>"):
             lines[i] = f"{lines[i].rstrip()} {rest}"
     moved = set(goes_on.values())
-    to_do = _to_repair(model, whole, found, goes_on)
+    to_do = found.printed.keys() | goes_on.keys()
 
     def gather(i: int, end: int) -> list[int]:
         out: list[int] = []
@@ -681,99 +349,7 @@ def repaired_markdown(model: Model, text: str, title: str) -> str:
     return "\n".join(out)
 
 
-# ---- counts over the corpus ------------------------------------------------------------------------------------------
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n, lower): the words of all texts (text), folded, and how often each stands in lower case."""
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw: Counter = Counter()
-        for pdf in rows:
-            for t in pdf.text:
-                raw.update(t.split())
-        total: dict[str, list[int]] = {}
-        for t, n in raw.items():
-            if t[-1] in "-‐‑¬\xad":
-                continue
-            if w := clean(t):
-                c = total.setdefault(w.lower(), [0, 0])
-                c[0] += n
-                c[1] += n * w.islower()
-        yield pd.DataFrame([(w, *c) for w, c in total.items()], columns=["word", "n", "lower"])
-
-    return batches(texts, 2000).mapInPandas(run, "word string, n long, lower long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("lower").alias("lower"))
-
-
-def pair_counts(texts: DataFrame, tracked: set[str] | Shelf) -> DataFrame:
-    """(a, b, n): pairs of successive words of which one is tracked."""
-    sent = texts.sparkSession.sparkContext.broadcast(tracked)
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        track, out, memo = sent.value, Counter(), _Memo(lambda t: clean(t).lower())
-        for pdf in rows:
-            for text in pdf.text:
-                words = [memo[t] for t in text.split()]
-                places = [k for k, w in enumerate(words) if w in track]
-                if places:
-                    words.append("")
-                    out.update((words[k - 1], words[k]) for k in places if k)
-                    out.update((words[k], words[k + 1]) for k in places if words[k + 1] not in track)
-        yield pd.DataFrame([(a, b, n) for (a, b), n in out.items() if a and b], columns=["a", "b", "n"])
-
-    return batches(texts, 2000).mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def confusable(model: Model, words: Iterable[str]) -> set[str]:
-    """Those of the words, and those they may stand for, that word counts alone can't tell apart."""
-    out: set[str] = set()
-    for w in words:
-        if w.isalpha() and len(w) >= 3:
-            for c, p in model.raw_candidates(w)[0].items():
-                if c in model.lower and 1 / 200 < model.count(c) * math.exp(p) / model.count(w) < 20:
-                    out |= {w, c}
-    return out
-
-
-def learn(texts: DataFrame, *, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> Model:
-    """The model of all texts (text): two passes of counting. Up to ``max_words`` and ``max_pairs`` go to the workers in
-    memory, more of them on shelves."""
-    texts = texts.filter(F.length("text") > 0).select("text")
-    counts = word_counts(texts)
-    total = counts.agg(F.sum("n").alias("n"))
-    known = counts.crossJoin(F.broadcast(total.withColumnRenamed("n", "total"))).filter(F.col("n") >= LEAST)
-    kept = known.limit(max_words + 1).toPandas()
-    if not len(kept):
-        return Model(1, {})
-    size = int(kept.total.iloc[0])
-    if len(kept) <= max_words:
-        model = Model(size, dict(zip(kept.word, kept.n.astype(int))), set(kept.word[kept.lower * 2 > kept.n]))
-        model.tracked = confusable(model, model.lower)
-    else:
-        del kept
-        shelf = Shelf.fill(known, "word n lower", "SELECT n FROM t WHERE word = ?")
-        model = Model(size, shelf, Shelf(shelf.name, "SELECT n FROM t WHERE word = ? AND lower * 2 > n"))
-        tracked = _confusable_words(known.filter("lower * 2 > n").select("word"), model)
-        model.tracked = Shelf.fill(tracked, "word n", "SELECT n FROM t WHERE word = ?")
-    if isinstance(model.tracked, Shelf) or model.tracked:
-        pairs = pair_counts(texts, model.tracked).filter(F.col("n") >= PAIR_LEAST)
-        first = pairs.limit(max_pairs + 1).toPandas()
-        if len(first) <= max_pairs:
-            model.pairs = dict(zip(zip(first.a, first.b), first.n.astype(int)))
-        else:
-            model.pairs = Shelf.fill(pairs, "a b n", "SELECT n FROM t WHERE a = ? AND b = ?")
-    return Model(model.total, model.words, model.lower, model.pairs, model.tracked)
-
-
-def _confusable_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n): the confusable words, found where the words lie."""
-    sent = words.sparkSession.sparkContext.broadcast(model)
-
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            yield pd.DataFrame({"word": sorted(confusable(sent.value, pdf.word))}, dtype=object)
-
-    return words.mapInPandas(run, "word string").distinct().withColumn("n", F.lit(1))
+# ---- in Spark ---------------------------------------------------------------------------------------------------------
 
 
 def scan_cases(runs: DataFrame, suspects: DataFrame, model: Model) -> DataFrame:
@@ -790,11 +366,10 @@ def scan_cases(runs: DataFrame, suspects: DataFrame, model: Model) -> DataFrame:
 
     def lines(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        for pdf in rows:
+        for pdf in slices(rows):
             out = []
             for row, source, markdown in zip(pdf.row_id, pdf.source_text, pdf.markdown):
-                head = _TITLE.search(markdown[:2000]) if markdown else None
-                title = head[1] if head else ""
+                title = title_of(markdown)
                 if source:
                     out += [("source_text", row, i, k) for i, k in read_text(m, source, title, markdown=False).cases]
                 if markdown:
@@ -803,10 +378,10 @@ def scan_cases(runs: DataFrame, suspects: DataFrame, model: Model) -> DataFrame:
 
     def matches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        for pdf in rows:
+        for pdf in slices(rows):
             yield pd.DataFrame([("suspect", r, 0, "misread") for r, x, c in zip(pdf.row_id, pdf.match_text, pdf.context) if misread_match(m, x, c or "")], columns=names)
 
-    found = batches(runs.select("row_id", "source_text", "markdown"), 1000).mapInPandas(lines, schema)
+    found = runs.select("row_id", "source_text", "markdown").mapInPandas(lines, schema)
     queue = suspects.filter(F.col("match_text").isNotNull()).select("row_id", "match_text", "context").mapInPandas(matches, schema)
     return found.unionByName(queue)
 
@@ -819,13 +394,12 @@ def repaired_texts(runs: DataFrame, model: Model) -> DataFrame:
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        for pdf in rows:
+        for pdf in slices(rows):
             out = []
             for row, source, markdown in zip(pdf.row_id, pdf.source_text, pdf.markdown):
-                head = _TITLE.search(markdown[:2000]) if markdown else None
-                title = head[1] if head else ""
+                title = title_of(markdown)
                 out.append(("markdown", row, None if markdown is None else repaired_markdown(m, markdown, title)))
                 out.append(("source_text", row, None if source is None else repaired(m, source, title)))
             yield pd.DataFrame(out, columns=["field", "row_id", "paragraphs"])
 
-    return batches(runs.select("row_id", "source_text", "markdown"), 1000).mapInPandas(run, f"field string, row_id {kind}, paragraphs string")
+    return runs.select("row_id", "source_text", "markdown").mapInPandas(run, f"field string, row_id {kind}, paragraphs string")

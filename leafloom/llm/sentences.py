@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import slices
 
 # Abbreviations that never end a sentence before a name or number.
 TITLES = "dr mr ms mrs prof capt col gen lt sgt rev hon st sr sra srta dra d dña hr fr frl m mm mlle me pr v vs cf approx ca rd gem bzw vgl ggf inkl env bros messrs डॉ श्री प्रो د أ".split()
@@ -269,11 +269,11 @@ def sentences(df: DataFrame) -> DataFrame:
     kind = df.schema["row_id"].dataType.simpleString()
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
+        for pdf in slices(rows):
             out = []
             for tab, row, text in pdf.itertuples(index=False):
                 out += [(tab, row, k, a, b, text[a:b]) for k, (a, b) in enumerate(sentence_spans(text))]
             yield pd.DataFrame(out, columns=["tab", "row_id", "sentence_no", "start_at", "end_at", "sentence"])
 
     texts = df.filter(F.col("text").isNotNull()).select("tab", "row_id", "text")
-    return batches(texts, 1000).mapInPandas(run, f"tab string, row_id {kind}, sentence_no int, start_at int, end_at int, sentence string")
+    return texts.mapInPandas(run, f"tab string, row_id {kind}, sentence_no int, start_at int, end_at int, sentence string")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import slices
 
 #: Most labelled pages that are read for the fit, chosen by a hash of their key.
 SAMPLE = 4000
@@ -210,7 +210,7 @@ def keyword_terms(docs: DataFrame) -> DataFrame:
     """
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
+        for pdf in slices(rows):
             total: dict[str, list[int]] = {}
             for text in pdf.text:
                 for t, (twice, unnatural) in page_terms(text).items():
@@ -221,7 +221,7 @@ def keyword_terms(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame([(t, *c) for t, c in total.items()], columns=["term", "pages", "twice", "recurring"])
 
     texts = docs.filter(F.length("text") > 0).groupBy(F.xxhash64("text"), F.hash("text")).agg(F.first("text").alias("text")).select("text")
-    counted = batches(texts, 1000).mapInPandas(run, "term string, pages long, twice long, recurring long")
+    counted = texts.mapInPandas(run, "term string, pages long, twice long, recurring long")
     counted = counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("pages", "twice", "recurring")))
     r = F.col("recurring")
     often = (r >= F.col("pages") * F.lit(MIN_RATIO)) | ((r >= F.col("pages") * F.lit(MIN_RATIO_ONCE)) & (r >= F.col("twice") * F.lit(MIN_RATIO_TWICE)))
@@ -246,11 +246,11 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, *, share: float = 0.5, max
 
         def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known, w = sent.value
-            for pdf in rows:
+            for pdf in slices(rows):
                 got = pdf.text.map(lambda t: stuffed_share(t, w, known)).astype(float)
                 yield pd.DataFrame({"doc_id": pdf.doc_id[got > share], "share": got[got > share]})
 
-        return batches(texts, 1000).mapInPandas(run, f"doc_id {kind}, share double")
+        return texts.mapInPandas(run, f"doc_id {kind}, share double")
     return _stuffed_by_join(texts, labels, terms, kind, share)
 
 
@@ -258,19 +258,19 @@ def _stuffed_by_join(texts: DataFrame, labels: DataFrame, terms: DataFrame, kind
     """The same where the keywords are too many to send: each page gets its own keywords by a join on the term."""
 
     def listed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
+        for pdf in slices(rows):
             yield pd.DataFrame([(h, t) for h, x in zip(pdf.h, pdf.text) for t in page_terms(x)], columns=["h", "term"])
 
     hashed = texts.withColumn("h", F.concat_ws(":", F.xxhash64("text").cast("string"), F.hash("text").cast("string")))
-    own = batches(hashed.select("h", "text"), 1000).mapInPandas(listed, "h string, term string").distinct().join(terms, "term").groupBy("h").agg(F.collect_list("term").alias("known"))
+    own = hashed.select("h", "text").mapInPandas(listed, "h string, term string").distinct().join(terms, "term").groupBy("h").agg(F.collect_list("term").alias("known"))
     chosen = labels.filter(F.col("label").isin("spam", "ok")).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     joined = hashed.join(own, "h", "left").select("doc_id", "text", F.coalesce("known", F.array()).alias("known"))
     got = sorted((r.text, r.label == "spam", tuple(r.known)) for r in joined.join(F.broadcast(chosen), "doc_id").collect())
     weights = fit([t for t, _, _ in got], [y for _, y, _ in got], frozenset(k for _, _, ks in got for k in ks)) if len({y for _, y, _ in got}) == 2 else DEFAULT
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
+        for pdf in slices(rows):
             shares = pd.Series([stuffed_share(t, weights, set(k)) for t, k in zip(pdf.text, pdf.known)], index=pdf.index, dtype=float)
             yield pd.DataFrame({"doc_id": pdf.doc_id[shares > share], "share": shares[shares > share]})
 
-    return batches(joined, 1000).mapInPandas(run, f"doc_id {kind}, share double")
+    return joined.mapInPandas(run, f"doc_id {kind}, share double")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("leafloom.llm")
-from leafloom.llm import encode, leaks, markup, pieces, scans, sentences, sitelines, stuffing  # noqa: E402
+from leafloom.llm import channel, encode, leaks, markup, pieces, scans, sentences, sitelines, stuffing  # noqa: E402
 
 LONG = "Plain words and more of them. " * 20_000
 TEXTS = [(1, None), (2, ""), (3, " \n "), (4, "One. Two."), (4, "One. Two."), (None, "Three."), (5, LONG)]
@@ -142,13 +142,13 @@ def test_scans(spark):
     page = "The committee heard the engin-\neer of the harbour trust.\n   12\nA well-\nknown inspcction ofthe gate and the har bour.\n"
     rows = [(k, body, body) for k in range(20)] + [(50, page, None), (51, None, ""), (52, "", None)]
     runs = spark.createDataFrame(rows, "row_id long, source_text string, markdown string")
-    model = scans.learn(runs.select(F.explode(F.array("source_text", "markdown")).alias("text")))
+    model = channel.learn(runs.select(F.explode(F.array("source_text", "markdown")).alias("text")))
     queue = spark.createDataFrame([(1, "inspcction", "of the inspcction of"), (2, "inspection", None), (3, None, "x"), (4, "", ""), (5, "har bour", "the har bour trust")], "row_id long, match_text string, context string")
     got = {tuple(r) for r in scans.scan_cases(runs.withColumn("kind", F.lit(1)), queue.withColumn("field", F.lit(1)), model).collect()}
     assert got == {("source_text", 50, 0, "break"), ("source_text", 50, 2, "furniture"), ("source_text", 50, 4, "misread"), ("suspect", 1, 0, "misread"), ("suspect", 5, 0, "misread")}
     fixed = {r.row_id: r.paragraphs for r in scans.repaired_texts(runs, model).collect()}
     assert fixed[50].startswith("The committee heard the engineer of the harbour trust.") and "inspection" in fixed[50] and fixed[51] is None
-    empty = scans.learn(runs.select(F.col("source_text").alias("text")).limit(0))
+    empty = channel.learn(runs.select(F.col("source_text").alias("text")).limit(0))
     assert scans.scan_cases(runs.limit(0), queue.limit(0), empty).count() == 0
 
 
@@ -156,7 +156,7 @@ def scan_model(words="", pairs=None):
     """Words that are known well, the joined ones beside their parts."""
     counts = {w: 200 for w in f"repayment schedule lay in an arid store room report inspection harbour engineer well-known {words}".lower().split()}
     counts |= {"of": 3000, "the": 5000, "in": 1500, "and": 2000}
-    return scans.Model(100_000, counts, set(counts), pairs or {}, set())
+    return channel.Model(100_000, counts, set(counts), pairs or {}, set())
 
 
 def test_repair_leaves_no_case():
@@ -198,16 +198,16 @@ def test_repair_of_markdown_keeps_its_forms(spark):
 def test_rare_words_are_known_at_any_size(spark):
     rare = "The Quilthevane memorandum was inspcted. " * 5
     texts = spark.createDataFrame([(rare,), *[("the of and in " * 250_000,)] * 6], "text string")
-    model = scans.learn(texts)
-    assert model.total > 6_000_000 and model.count("quilthevane") == 5 and model.split_word("memo", "randum")
+    model = channel.learn(texts)
+    assert model.total > 6_000_000 and model.count("quilthevane") == 5 and channel.corrected(model, "the memo randum")[0] == "the memorandum"
 
 
 def test_shelves_give_the_same(spark, small):
     runs = spark.read.parquet(f"{small}/ingest_results.parquet").select(F.col("result_id").alias("row_id"), "source_text", "markdown")
     queue = spark.read.parquet(f"{small}/suspects.parquet").select(F.col("suspect_id").alias("row_id"), "match_text", "context")
     texts = runs.select(F.explode(F.array("source_text", "markdown")).alias("text"))
-    sent, shelved = scans.learn(texts), scans.learn(texts, max_words=0, max_pairs=0)
-    assert all(isinstance(x, scans.Shelf) for x in (shelved.words, shelved.lower, shelved.tracked, shelved.pairs))
+    sent, shelved = channel.learn(texts), channel.learn(texts, max_words=0, max_pairs=0)
+    assert all(isinstance(x, channel.Shelf) for x in (shelved.words, shelved.lower, shelved.tracked, shelved.pairs))
     want = sorted(map(tuple, scans.scan_cases(runs, queue, sent).collect()))
     assert want and sorted(map(tuple, scans.scan_cases(runs, queue, shelved).collect())) == want
     assert scans.repaired_texts(runs, shelved).exceptAll(scans.repaired_texts(runs, sent)).count() == 0
@@ -223,5 +223,30 @@ def test_break_is_found_over_many_notes():
 def test_model_survives_sending():
     import pickle
 
-    model = scans.Model(1000, {"the": 300, "of": 200}, {"the", "of"})
+    model = channel.Model(1000, {"the": 300, "of": 200}, {"the", "of"})
     assert pickle.loads(pickle.dumps(model)).words == model.words
+
+
+def test_title_beyond_a_long_front_matter():
+    from leafloom.llm import scans as s
+
+    front = "---\n" + "".join(f'note_{k}: "{"x" * 60}"\n' for k in range(80)) + 'title: "Harbour Trust Accounts"\n---\n\nText.'
+    assert s.title_of(front) == "Harbour Trust Accounts" and s.title_of(None) == "" and s.title_of("no front\ntitle: x") == ""
+
+
+def test_every_odd_spelling_is_followed():
+    model = scan_model("illlliillio")
+    assert channel.corrected(model, "the 11111111110 of")[0] == "the 11111111110 of"  # a number
+    assert channel.corrected(model, "the i1111ii111o of")[0] == "the illlliillio of"
+
+
+def test_found_lines_are_the_repaired_ones(spark, small):
+    runs = spark.read.parquet(f"{small}/ingest_results.parquet").select(F.col("result_id").alias("row_id"), "source_text", "markdown")
+    model = channel.learn(runs.select(F.explode(F.array("source_text", "markdown")).alias("text")))
+    for r in runs.collect():
+        for text, md in ((r.source_text, False), (r.markdown, True)):
+            if text:
+                found = scans.read_text(model, text, scans.title_of(r.markdown), markdown=md)
+                lines = text.split("\n")
+                inline = {i for i, k in found.cases if k == "misread" or (k == "break" and i not in found.divided)}
+                assert inline <= found.printed.keys() and all(found.printed[i] != lines[i] for i in inline)
