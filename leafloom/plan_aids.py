@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Scans above this size are never repartitioned: their files give partitions enough.
+SMALL = 1 << 30
+
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A table scan with at least as many partitions as there are cores.
+    """A small table's scan with at least as many partitions as there are cores.
 
-    Few large files give few partitions, and then row-local work would leave cores idle. A scan that is divided enough
-    already, as any large table is, stays as it is: nothing is shuffled.
+    A small table may lie in one file of one row group, which no split size can divide, and then row-local work would leave
+    all cores but one idle. What is moved for that is bounded by SMALL; a larger table is read as its files lie.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL:
+        return scan
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
