@@ -66,6 +66,12 @@ def _like_title(s: str) -> bool:
     return s.isupper() or sum(w[:1].isupper() for w in s.split()) >= 3
 
 
+def _in_title_case(s: str) -> bool:
+    """Do all words of more than three letters begin with a capital, three at least?"""
+    words = s.split()
+    return s[0].isupper() and s[-1].isalpha() and len(words) > 2 and all(w[0].isupper() for w in words if len(w) > 3) and sum(w[0].isupper() for w in words) > 2
+
+
 def furniture_lines(lines: list[str], title: str, *, markdown: bool) -> set[int]:
     """Numbers of the lines that are running headers, running footers or page numbers.
 
@@ -85,7 +91,7 @@ def furniture_lines(lines: list[str], title: str, *, markdown: bool) -> set[int]
             continue
         body = _numbered(s) if edge and "  " in s else None
         numbered, upper = body is not None, s.isupper()
-        if not upper and not numbered and not (abs(len(s) - len(title)) <= 6 if want else s[-1].isalpha() and _like_title(s)):
+        if not upper and not numbered and not (abs(len(s) - len(title)) <= 6 if want else _in_title_case(s)):
             continue
         body = body or s
         if "/" in body and _DOCKET.match(body):
