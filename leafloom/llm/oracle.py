@@ -13,6 +13,13 @@ f AS (SELECT tab, site, letters FROM m JOIN n USING (site) GROUP BY tab, site, l
 
 ORACLE: dict[str, str] = {
     "p3_found": _P3_LINES + "SELECT DISTINCT tab, row_id, CAST(line_no AS INTEGER) AS line_no FROM m JOIN f USING (tab, site, letters)",
+    "p3_clean": _P3_LINES
+    + r""", every AS (SELECT 'blocks' AS tab, site, block_id AS row_id, text FROM blocks LEFT JOIN site_of USING (result_id) UNION ALL SELECT 'ingest_results', site, result_id, source_text FROM ingest_results),
+e AS (SELECT *, row_number() OVER () AS rn FROM every),
+x AS (SELECT rn, tab, site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM e),
+y AS (SELECT x.rn, x.line, x.line_no FROM x LEFT JOIN f ON f.tab = x.tab AND f.site = x.site AND f.letters = regexp_replace(lower(x.line), '[^\p{L}]+', '', 'g') WHERE f.letters IS NULL),
+z AS (SELECT rn, string_agg(line, chr(10) ORDER BY line_no) AS kept FROM y GROUP BY rn)
+SELECT tab, row_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text FROM e LEFT JOIN z USING (rn)""",
     "p5_found": "SELECT DISTINCT 'blocks' AS tab, block_id AS row_id FROM blocks WHERE length(text) > 2000 "
     "UNION SELECT 'ingest_results', result_id FROM ingest_results WHERE length(markdown) > 6000",
 }

@@ -49,24 +49,27 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
 # ---- problem 3 -------------------------------------------------------------------------------------------------------
 
 
-def _site_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _site_texts(spark: SparkSession, d: str, *, keys_only: bool) -> tuple[DataFrame, DataFrame]:
+    """(tab, site, row_id, doc, text or keys) and (site, doc); keys are worked out before the join, so that no text moves."""
     runs = table(spark, d, "ingest_results")
     sites = runs.select(F.col("result_id").alias("doc"), "site")
-    blocks = table(spark, d, "blocks").filter(F.col("text").isNotNull()).select(F.col("block_id").alias("row_id"), F.col("result_id").alias("doc"), "text")
-    blocks = blocks.join(sites.filter(F.col("site").isNotNull()), "doc")
     texts = runs.select(F.lit("ingest_results").alias("tab"), "site", F.col("result_id").alias("row_id"), F.col("result_id").alias("doc"), F.col("source_text").alias("text"))
-    return texts.unionByName(blocks.select(F.lit("blocks").alias("tab"), "site", "row_id", "doc", "text")), sites
+    blocks = table(spark, d, "blocks").select(F.lit("blocks").alias("tab"), F.col("block_id").alias("row_id"), F.col("result_id").alias("doc"), "text")
+    if keys_only:
+        texts = sitelines.keyed(texts.filter(F.col("text").isNotNull())).drop("text")
+        blocks = sitelines.keyed(blocks.filter(F.col("text").isNotNull())).drop("text")
+    return texts.unionByName(blocks.join(sites, "doc", "left").select(*texts.columns)), sites
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    texts, sites = _site_texts(spark, d)
+    texts, sites = _site_texts(spark, d, keys_only=True)
     return sitelines.excess_lines(texts, sites).select("tab", "row_id", "line_no").distinct()
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    texts, sites = _site_texts(spark, d)
-    drop = sitelines.excess_lines(texts, sites)
-    return sitelines.without_lines(texts.select("tab", "row_id", "text").dropDuplicates(["tab", "row_id"]), drop)
+    """Every text of both tables without its site's lines, row by row."""
+    texts, sites = _site_texts(spark, d, keys_only=False)
+    return sitelines.clean_texts(texts, sites)
 
 
 # ---- problem 4 -------------------------------------------------------------------------------------------------------

@@ -78,12 +78,14 @@ def test_content_lines_drop_link_bars():
 def test_site_lines(spark):
     note = "Share this passage with a friend (%d)"
     rows = [("t", "s", k, k, f"own text number {'abcdefghijklmnop'[k]}\n{note % k}") for k in range(10)] + [("t", None, 50, 50, note), ("t", "s", 51, None, note), ("t", "s", 52, 52, None), ("t", "s", 0, 0, "again")]
-    df = spark.createDataFrame(rows, "tab string, site string, row_id long, doc long, text string").withColumn("k1", F.lit(1)).withColumn("word_no", F.lit(2))
+    df = spark.createDataFrame(rows, "tab string, site string, row_id long, doc long, text string").withColumn("scope", F.lit(1)).withColumn("word_no", F.lit(2))
     sites = df.select("site", "doc").distinct()
     got = sitelines.excess_lines(df, sites).collect()
     assert {(r.row_id, r.line_no) for r in got} == {(k, 1) for k in range(10)}
-    clean = {r.row_id: r.text for r in sitelines.without_lines(df.filter("row_id in (1, 52)"), sitelines.excess_lines(df, sites)).collect()}
-    assert clean == {1: "own text number b", 52: None}
+    assert {(r.row_id, r.line_no) for r in sitelines.excess_lines(df, sites, max_broadcast=0).collect()} == {(k, 1) for k in range(10)}
+    for bound in (10, 0):
+        clean = sitelines.clean_texts(df, sites, max_broadcast=bound).collect()
+        assert len(clean) == len(rows) and {r.row_id: r.text for r in clean if r.row_id in (1, 50, 52)} == {1: "own text number b", 50: note, 52: None}
     assert sitelines.excess_lines(df.limit(0), sites).count() == 0
 
 
