@@ -130,7 +130,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return stuffing.stuffed_pages(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "doc_labels")).select("doc_id").distinct()
+    return stuffing.stuffed_pages(spread(table(spark, d, "documents").select("doc_id", "text", "lang")), table(spark, d, "doc_labels")).select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -252,3 +252,23 @@ def test_found_lines_are_the_repaired_ones(spark, small):
                 lines = text.split("\n")
                 inline = {i for i, k in found.cases if k == "misread" or (k == "break" and i not in found.divided)}
                 assert inline <= found.printed.keys() and all(found.printed[i] != lines[i] for i in inline)
+
+
+def test_prose_of_any_language_is_no_stuffing(spark):
+    prose = {
+        "ja": "港長によれば、水門の修理後に費用が増えたが、理由は分からない。委員会は再提出を求めた。誰も署名していない。",
+        "ar": "قال أمين المحفوظات إن القناة لم تفتح في ذلك اليوم ولم يبلغ أحد عن العطل في محطة الإشارات. وطلبت اللجنة نسخة أخرى من السجل.",
+        "ru": "Начальник порта сообщил комиссии, что ворота шлюза не открывались до мая, и никто не мог объяснить, почему журнал был подписан дважды.",
+        "hi": "बंदरगाह के अभिलेखपाल ने आयोग को बताया कि फाटक मई तक नहीं खुला और किसी ने रजिस्टर पर हस्ताक्षर नहीं किए।",
+    }
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(prose.items())]
+    stuffed = "Free download cheap files. Free download cheap files! " * 10
+    df = spark.createDataFrame([*rows, *[(k, f"{stuffed} {k}", "en") for k in range(10, 16)]], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, label string")
+    assert {r.doc_id for r in stuffing.stuffed_pages(df, none).collect()} == set(range(10, 16))
+
+
+def test_copies_count_once_either_way(spark):
+    df = spark.createDataFrame([(k, "one text" if k % 3 == 0 else f"text {k}") for k in range(30)], "doc_id long, text string")
+    for bound in (10, 0):
+        assert sorted(r.doc_id for r in stuffing.without_copies(df, max_broadcast=bound).collect()) == [0, *(k for k in range(30) if k % 3)]
