@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plan_aids import once
+
 # Pattern of doubt, name, confidence.
 RULES = [
     (r"(?<![A-Za-z0-9_])[A-Za-z0-9_]*[a-z]rn[a-z][A-Za-z0-9_]*", "possible rn/m confusion", "possible"),
@@ -25,22 +25,26 @@ ORDER = {"certain": 0, "likely": 1, "possible": 2}
 
 
 def suspects(texts: DataFrame) -> DataFrame:
-    """(doc_id, page, rule, at, pattern, match, context, confidence) of texts(doc_id, page, text).
+    """(doc_id, page, rule, at, pattern, match, context, confidence) of texts(doc_id, page, text), in one pass over them.
 
     The text is cut at every match by a pattern of two groups, so the lengths of the cuts give the places of all matches.
     """
-    out = []
+    found = []
     for k, (rule, name, confidence) in enumerate(RULES):
         cut = ("(?si)" if "(?i)" in rule else "(?s)") + r"\G(.*?)(" + rule.replace("(?i)", "") + ")"
-        found = texts.filter(F.col("text").rlike(rule)).select("doc_id", "page", "text", F.regexp_extract_all("text", F.lit(cut), 1).alias("gaps"), F.regexp_extract_all("text", F.lit(cut), 2).alias("hits"))
-        rows = found.select("doc_id", "page", "text", "gaps", "hits", F.posexplode("hits").alias("i", "match"))
-        length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-        at = length(F.col("gaps"), F.col("i") + 1) + length(F.col("hits"), F.col("i"))
-        rows = rows.withColumn("at", at).filter(~F.lower("match").isin(SAFE))
-        start = F.greatest(F.col("at") - 40, F.lit(0))
-        context = F.substring(F.col("text"), start + 1, F.col("at") - start + F.length("match") + 40)
-        out.append(rows.select("doc_id", "page", F.lit(k).alias("rule"), "at", F.lit(name).alias("pattern"), "match", F.trim(F.regexp_replace(context, r"\s+", " ")).alias("context"), F.lit(confidence).alias("confidence")))
-    return reduce(DataFrame.unionByName, out)
+        one = lambda g: F.when(F.col("text").rlike(rule), F.regexp_extract_all("text", F.lit(cut), g))  # noqa: E731, B023
+        found.append(F.struct(F.lit(k).alias("rule"), F.lit(name).alias("pattern"), F.lit(confidence).alias("confidence"), one(1).alias("gaps"), one(2).alias("hits")))
+    rows = texts.select("doc_id", "page", "text", F.inline(F.array(*found))).filter(F.size("hits") > 0)
+    # the place of a match: the running sum of the gaps and matches before it
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"))
+    moves = F.arrays_zip("gaps", "hits")
+    rows = once(rows, moves=moves).select("doc_id", "page", "text", "rule", "pattern", "confidence", "moves", F.posexplode("hits").alias("i", "match"))
+    rows = rows.filter(~F.lower("match").isin(SAFE))
+    at = F.aggregate(F.slice("moves", F.lit(1), F.col("i") + 1), zero, lambda s, m: F.struct((s["end"] + F.length(m["gaps"])).alias("at"), (s["end"] + F.length(m["gaps"]) + F.length(m["hits"])).alias("end")))["at"]
+    rows = once(rows, at=at)
+    start = F.greatest(F.col("at") - 40, F.lit(0))
+    context = F.substring(F.col("text"), start + 1, F.col("at") - start + F.length("match") + 40)
+    return rows.select("doc_id", "page", "rule", "at", "pattern", "match", F.trim(F.regexp_replace(context, r"\s+", " ")).alias("context"), "confidence")
 
 
 def ranked(found: DataFrame, *, top: int | None = None) -> DataFrame:

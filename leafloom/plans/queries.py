@@ -32,53 +32,56 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return spread(_table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), "source_text", "markdown"))
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return layout.page_lines(_docs(spark, d))
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    return layout.doc_pages(_docs(spark, d))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return layout.pages(_docs(spark, d))
 
 
 def doc_lines(spark, d):
-    return layout.doc_lines(_lines(spark, d))
+    return layout.doc_lines(_books(spark, d))
 
 
 def normalise_lines(spark, d):
-    return _lines(spark, d).select("doc_id", "pg", "ln", X.normalise(F.col("t")).alias("norm"))
+    return layout.page_lines(_docs(spark, d)).select("doc_id", "pg", "ln", X.normalise(F.col("t")).alias("norm"))
 
 
 def doc_margin(spark, d):
-    return layout.doc_margin(_lines(spark, d))
+    return layout.doc_margin(_books(spark, d))
 
 
 def double_spaced_pages(spark, d):
-    return layout.double_spaced(_lines(spark, d))
+    return layout.double_spaced(_pages(spark, d))
 
 
 def collapse_spacing(spark, d):
-    return layout.collapse_spacing(_lines(spark, d))
+    return layout.collapse_spacing(_pages(spark, d))
 
 
 def printed_pages(spark, d):
-    return layout.printed_pages(_lines(spark, d))
+    return layout.printed_pages(_pages(spark, d))
 
 
 def note_candidates(spark, d):
-    return layout.note_candidates(_lines(spark, d))
+    return layout.note_candidates(_pages(spark, d))
 
 
 def longest_note_run(spark, d):
-    return layout.longest_note_run(layout.note_candidates(_lines(spark, d)))
+    return layout.longest_note_run(_pages(spark, d))
 
 
 def heading_lines(spark, d):
-    return layout.heading_lines(_lines(spark, d))
+    return layout.heading_lines(layout.page_lines(_docs(spark, d)))
 
 
 def contents_entries(spark, d):
-    return layout.contents_entries(_lines(spark, d))
+    return layout.contents_entries(_pages(spark, d))
 
 
 def quote_lines(spark, d):
-    lines = _lines(spark, d)
-    return layout.quote_lines(lines, layout.doc_margin(lines))
+    return layout.quote_lines(_books(spark, d))
 
 
 def split_pages(spark, d):
@@ -116,8 +119,7 @@ def auto_fix(spark, d):
 
 
 def _suspects(spark, d):
-    pages = _lines(spark, d).groupBy("doc_id", F.col("pg").alias("page")).agg(F.array_sort(F.collect_list(F.struct("ln", "t"))).alias("x"))
-    return suspects.suspects(pages.select("doc_id", "page", F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("text")))
+    return suspects.suspects(_pages(spark, d).select("doc_id", F.col("pg").alias("page"), F.array_join("lines", " ").alias("text")))
 
 
 def suspect_matches(spark, d):

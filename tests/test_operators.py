@@ -58,8 +58,8 @@ def test_page_lines_by_form_feed(spark):
 
 
 def test_margin_tie(spark):
-    lines = spark.createDataFrame([(1, 0, 0, "  a"), (1, 0, 1, "b"), (2, 0, 0, " ")], "doc_id long, pg int, ln int, t string")
-    assert {tuple(r) for r in layout.doc_margin(lines).collect()} == {(1, 0), (2, 0)}
+    books = layout.doc_pages(spark.createDataFrame([(1, "  a\nb"), (2, " "), (3, None)], "doc_id long, text string"))
+    assert {tuple(r) for r in layout.doc_margin(books).collect()} == {(1, 0)}
 
 
 def test_notes(spark):
