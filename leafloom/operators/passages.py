@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plan_aids import once
 from . import sections as S
 
 
@@ -18,7 +18,7 @@ def catalog(registry: DataFrame) -> DataFrame:
 
 def overview(md: DataFrame, *, min_chars: int = 2500) -> DataFrame:
     """The contents of every document: its sections in order."""
-    return S.sections(S.markdown_blocks(md), min_chars=min_chars)
+    return S.sections(md, min_chars=min_chars)
 
 
 def renamed(ids: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -29,35 +29,38 @@ def renamed(ids: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def resolve(requests: DataFrame, para_sections: DataFrame) -> DataFrame:
     """requests(doc_id, para_id) -> (doc_id, para_id, slug, status): 302 to the section, 200 to the contents if unknown."""
-    j = requests.join(para_sections, ["doc_id", "para_id"], "left")
+    hits = para_sections.join(requests, ["doc_id", "para_id"], "left_semi")  # the few that are asked for, before anything moves
+    j = requests.join(hits, ["doc_id", "para_id"], "left")
     return j.select("doc_id", "para_id", "slug", F.when(F.col("slug").isNull(), 200).otherwise(302).alias("status"))
 
 
-def previews(paragraphs: DataFrame, pages: DataFrame, cards: DataFrame) -> DataFrame:
-    """(doc_id, para_id, quote, page, has_card) of paragraphs(doc_id, seq, para_id, text)."""
+def previews(paragraphs: DataFrame, cards: DataFrame) -> DataFrame:
+    """(doc_id, para_id, quote, page, has_card) of paragraphs(doc_id, para_id, text, page)."""
     clean = X.trim_ws(F.regexp_replace(F.regexp_replace("text", r"\[\^[0-9]+\]", ""), f"{X.WS}+", " "))
-    j = paragraphs.join(pages, ["doc_id", "seq"], "left").join(cards.withColumn("has", F.lit(True)), ["doc_id", "para_id"], "left")
-    return j.select("doc_id", "para_id", X.truncate(clean).alias("quote"), "page", F.coalesce("has", F.lit(False)).alias("has_card"))
+    shown = once(paragraphs.select("doc_id", "para_id", "page", "text"), clean=clean)
+    j = shown.join(cards.select("doc_id", "para_id", F.lit(True).alias("has")), ["doc_id", "para_id"], "left")
+    return j.select("doc_id", "para_id", X.truncate(F.col("clean")).alias("quote"), "page", F.coalesce("has", F.lit(False)).alias("has_card"))
 
 
 def card_quotes(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Curated passages: by paragraph id, else the first paragraph of the report that holds the phrase.
 
     quotes: quote_id, report, paragraph, match_text, quote_text; paragraphs: report, doc_id, seq, para_id, text. Out:
-    (quote_id, how, doc_id, para_id, quote, size); a passage found by neither way has nulls. The phrases are only compared
-    with the paragraphs of their own report.
+    (quote_id, how, doc_id, para_id, quote, size); a passage found by neither way has nulls. The quotes of a report meet each
+    of its paragraphs once, for both ways; of each quote only its first hits are kept where the paragraphs lie.
     """
-    first = F.struct("doc_id", "seq")
-    by_id = quotes.join(paragraphs, (quotes.report == paragraphs.report) & (quotes.paragraph == paragraphs.para_id)).groupBy("quote_id").agg(F.min(F.struct("doc_id", "seq", "para_id", "text")).alias("hit"))
-    missed = quotes.join(by_id, "quote_id", "left_anti").filter(F.col("match_text").isNotNull() & (F.col("match_text") != ""))
-    phrase = missed.join(paragraphs, (missed.report == paragraphs.report) & F.contains(paragraphs.text, missed.match_text))
-    by_phrase = phrase.groupBy("quote_id").agg(F.min(F.struct("doc_id", "seq", "para_id", "text")).alias("hit"))
-    hits = by_id.withColumn("how", F.lit("id")).unionByName(by_phrase.withColumn("how", F.lit("phrase")))
-    text = F.coalesce("quote_text", "hit.text")
-    quote = X.wrap_in_quotes(X.fit_to_card(X.trim_ws(F.regexp_replace(text, f"{X.WS}+", " "))))
-    del first
+    asked = quotes.select("quote_id", "report", "paragraph", F.nullif("match_text", F.lit("")).alias("phrase"))
+    met = paragraphs.select("report", "doc_id", "seq", "para_id", "text").join(asked, "report")
+    hit = F.struct("doc_id", "seq", "para_id", "text")
+    named, holds = F.col("para_id") == F.col("paragraph"), F.contains("text", F.col("phrase"))
+    hits = met.filter(named | holds).groupBy("quote_id").agg(F.min(F.when(named, hit)).alias("by_id"), F.min(F.when(holds, hit)).alias("by_phrase"))
     out = quotes.select("quote_id", "quote_text").join(hits, "quote_id", "left")
-    return out.select("quote_id", F.coalesce("how", F.lit("none")).alias("how"), "hit.doc_id", "hit.para_id", quote.alias("quote"), X.card_size(F.length(quote)).alias("size"))
+    how = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_phrase").isNotNull(), "phrase").otherwise("none")
+    first = F.coalesce("by_id", "by_phrase")
+    out = out.select("quote_id", how.alias("how"), first["doc_id"].alias("doc_id"), first["para_id"].alias("para_id"), F.coalesce("quote_text", first["text"]).alias("text"))
+    out = once(out, line=X.trim_ws(F.regexp_replace("text", f"{X.WS}+", " ")))
+    out = once(out, quote=X.wrap_in_quotes(X.fit_to_card(F.col("line"))))
+    return out.select("quote_id", "how", "doc_id", "para_id", "quote", X.card_size(F.length("quote")).alias("size"))
 
 
 def card_manifest(cards: DataFrame) -> DataFrame:
@@ -108,17 +111,3 @@ def json_ld(registry: DataFrame, *, base: str = "https://reports.example") -> Da
     )
     crumbs = F.to_json(F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(item(1, F.lit("Reports"), F.lit(base + "/reports")), item(2, F.col("title"), url)).alias("itemListElement")))
     return registry.select("id", report.alias("report"), crumbs.alias("breadcrumb"))
-
-
-def search(paragraphs: DataFrame, query: str, *, top: int = 20) -> DataFrame:
-    """Beyond the inventory: passages that hold every word of the query, most occurrences first."""
-    want = sorted(set(query.lower().split()))
-    words = F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " ")
-    hits = F.size(F.filter(words, lambda w: w.isin(want)))
-    found = paragraphs.withColumn("own", words).filter(F.forall(F.array(*map(F.lit, want)), lambda w: F.array_contains("own", w)))
-    return found.withColumn("hits", hits).drop("own").orderBy(F.col("hits").desc(), "doc_id", "seq").limit(top)
-
-
-def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__n", n).filter("__n = 1").drop("__n")

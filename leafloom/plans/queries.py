@@ -146,11 +146,11 @@ def markdown_blocks(spark, d):
 
 
 def paragraph_ids(spark, d):
-    return sections.paragraph_ids(sections.markdown_blocks(_md(spark, d))).select("doc_id", "seq", "para_id")
+    return sections.paragraphs(_md(spark, d)).select("doc_id", "seq", "para_id")
 
 
 def paragraph_pages(spark, d):
-    return sections.paragraph_pages(sections.markdown_blocks(_md(spark, d)))
+    return sections.paragraph_pages(_md(spark, d))
 
 
 def overview(spark, d):
@@ -158,16 +158,25 @@ def overview(spark, d):
 
 
 def section_nav(spark, d):
-    return sections.section_nav(overview(spark, d))
+    return sections.section_nav(_md(spark, d), min_chars=SECTION_CHARS)
 
 
-def resolve(spark, d):
-    md = sections.markdown_blocks(_md(spark, d))
-    ids = sections.paragraph_ids(md)
-    where = sections.paragraph_sections(ids, sections.sections(md, min_chars=SECTION_CHARS))
+def section_texts(spark, d):
+    return sections.section_texts(_md(spark, d), min_chars=SECTION_CHARS)
+
+
+def _runs(spark, d):
+    return _table(spark, d, "ingest_results").select(F.col("report_id").alias("report"), F.col("result_id").alias("doc_id"))
+
+
+def _asked(spark, d):
+    """(doc_id, para_id): the passages that curated quotes name, in every volume of their report."""
     asked = _table(spark, d, "share_quotes").select("report", F.col("paragraph").alias("para_id")).distinct()
-    asked = asked.join(_table(spark, d, "ingest_results").select(F.col("report_id").alias("report"), F.col("result_id").alias("doc_id")), "report").select("doc_id", "para_id").distinct()
-    return passages.resolve(asked, where)
+    return asked.join(_runs(spark, d), "report").select("doc_id", "para_id").distinct()
+
+
+def resolve(spark, d):
+    return passages.resolve(_asked(spark, d), sections.paragraph_sections(_md(spark, d), min_chars=SECTION_CHARS))
 
 
 def notes_resolution(spark, d):
@@ -233,20 +242,15 @@ def sitemap(spark, d):
     return passages.sitemap(_table(spark, d, "registry"), secs)
 
 
-def _paragraphs(spark, d):
-    return sections.paragraph_ids(sections.markdown_blocks(_md(spark, d)))
-
-
 def passage_preview(spark, d):
-    pages = sections.paragraph_pages(sections.markdown_blocks(_md(spark, d)))
-    runs = _table(spark, d, "ingest_results").select(F.col("report_id").alias("report"), F.col("result_id").alias("doc_id"))
-    cards = _table(spark, d, "share_quotes").select("report", F.col("paragraph").alias("para_id")).join(runs, "report").select("doc_id", "para_id").distinct()
-    return passages.previews(_paragraphs(spark, d), pages, cards)
+    return passages.previews(sections.paragraphs(_md(spark, d)), _asked(spark, d))
 
 
 def card_quotes(spark, d):
-    runs = _table(spark, d, "ingest_results").select(F.col("report_id").alias("report"), F.col("result_id").alias("doc_id"))
-    return passages.card_quotes(_table(spark, d, "share_quotes"), _paragraphs(spark, d).join(runs, "doc_id"))
+    quotes = _table(spark, d, "share_quotes")
+    md = _table(spark, d, "ingest_results").select(F.col("report_id").alias("report"), F.col("result_id").alias("doc_id"), "markdown")
+    wanted = md.join(quotes.select("report").distinct(), "report", "left_semi")
+    return passages.card_quotes(quotes, sections.paragraphs(spread(wanted)))
 
 
 def card_manifest(spark, d):
@@ -266,6 +270,6 @@ def json_ld(spark, d):
 
 NAMES = """doc_lines normalise_lines doc_margin double_spaced_pages collapse_spacing printed_pages note_candidates longest_note_run heading_lines
 contents_entries quote_lines split_pages page_notes endnotes blocks merged_blocks markdown_out link_markers auto_fix suspect_matches ranked_suspects
-queue_by_pattern front_matter markdown_blocks paragraph_ids paragraph_pages overview section_nav resolve notes_resolution sidenotes orphan_notes
+queue_by_pattern front_matter markdown_blocks paragraph_ids paragraph_pages overview section_nav section_texts resolve notes_resolution sidenotes orphan_notes
 word_multiset lossless foreign_words retention structural_checks verdict html_text catalog catalog_count renamed_reports sitemap passage_preview
 card_quotes card_manifest resolve_url json_ld""".split()

@@ -20,9 +20,8 @@ def test_paragraph_ids(spark):
 
 
 def test_ids_where_a_number_meets_a_base(spark):
-    rows = [(1, k, "paragraph", None, t) for k, t in enumerate(["same words here", "same words here 2", "same words here", "other"])]
-    blocks = spark.createDataFrame(rows, "doc_id long, seq int, kind string, level int, text string")
-    got = [r.para_id for r in sections.paragraph_ids(blocks).orderBy("seq").collect()]
+    md = spark.createDataFrame([(1, "\n\n".join(["same words here", "same words here 2", "same words here", "other"]))], "doc_id long, markdown string")
+    got = [r.para_id for r in sections.paragraphs(md).orderBy("seq").collect()]
     assert got == folds.unique_ids(["same-words-here", "same-words-here-2", "same-words-here", "other"])
 
 
@@ -88,9 +87,8 @@ def test_suspects_have_places_and_contexts(spark):
 
 
 def test_slivers_join(spark):
-    rows = [(1, 0, "heading", 2, "Short"), (1, 1, "paragraph", None, "x"), (1, 2, "heading", 2, "Long"), (1, 3, "paragraph", None, "word " * 50), (1, 4, "heading", 3, "Tail"), (1, 5, "paragraph", None, "y")]
-    blocks = spark.createDataFrame(rows, "doc_id long, seq int, kind string, level int, text string")
-    got = sections.sections(blocks, min_chars=100).collect()
+    md = spark.createDataFrame([(1, "## Short\n\nx\n\n## Long\n\n" + "word " * 50 + "\n\n### Tail\n\ny"), (2, None), (3, ""), (4, "## A\n\n## A\n\n%%page 7%%\n\n" + "word " * 50)], "doc_id long, markdown string")
+    got = sections.sections(md.filter("doc_id < 4"), min_chars=100).collect()
     assert [(r.sec_ord, r.slug, r.first_seq, r.last_seq) for r in got] == [(1, "short", 0, 5)]
 
 
