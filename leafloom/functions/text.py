@@ -151,3 +151,9 @@ def byline(*parts: Column) -> Column:
 
 def citation_url(base: str, report: Column, paragraph: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/reports/"), report, F.lit("?p="), paragraph, F.lit("#"), paragraph)
+
+
+def entries_only(md: Column) -> Column:
+    """What follows the first rule of three hyphens, without the white space before it; the whole text if there is none."""
+    at = F.instr(md, "\n---\n")
+    return F.when(at == 0, md).otherwise(F.regexp_replace(F.substring(md, at + 5, F.length(md)), f"^{WS}+", ""))

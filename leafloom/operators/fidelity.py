@@ -73,3 +73,35 @@ def all_checks(pairs: DataFrame) -> DataFrame:
 
 def verdict(checks: DataFrame) -> DataFrame:
     return checks.groupBy("doc_id").agg(F.bool_and("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def with_verdict(pairs: DataFrame) -> DataFrame:
+    """pairs(doc_id, source_text, markdown, ...) with ``ok`` and ``failed``, worked out in the row of the document."""
+    body = X.strip_front_matter(F.col("markdown"))
+    source = F.array_union(X.words(F.col("source_text")), X.words(X.auto_fix(F.col("source_text"))))
+    checked = once(pairs, __lines=F.split(body, "\n", -1), __all=source, __n=F.size(X.words(F.col("source_text"))), __out=X.words(body))
+    checked = once(checked, __foreign=F.array_except("__out", "__all"))
+    refs = F.regexp_extract_all("markdown", F.lit(r"\[\^([0-9]+)\]"), 1)
+    defined = F.regexp_extract_all("markdown", F.lit(r"(?m)^\[\^([0-9]+)\]:"), 1)
+    n_out, n_foreign = F.size("__out"), F.size(F.filter("__out", lambda w: F.array_contains("__foreign", w)))
+    passed = [
+        ~F.exists("__lines", lambda x: x.rlike(f"^{X.WS}*[0-9]{{1,4}}{X.WS}*\\z")), ~F.contains("markdown", F.lit("\f")), F.size(F.array_except(refs, defined)) == 0,
+        F.exists("__lines", lambda x: x.rlike(f"^#{{1,6}}{X.WS}")), ~F.col("markdown").rlike("\n{4,}"),
+        F.when(F.col("source_text").isNotNull(), (n_out > 0) & (n_foreign < n_out * F.lit(0.001))),
+        F.when(F.col("source_text").isNotNull(), (F.col("__n") > 0) & (n_out > 0.9 * F.col("__n")) & (n_out < 1.05 * F.col("__n"))),
+    ]
+    checked = once(checked, failed=F.size(F.filter(F.array(*passed), lambda ok: ~ok)))
+    return checked.withColumn("ok", F.col("failed") == 0).drop("__lines", "__all", "__n", "__out", "__foreign")
+
+
+def verify(pairs: DataFrame, registry: DataFrame, *, report: str | None = None) -> DataFrame:
+    """(report_id, ok, failed, volumes) of the ingested reports, and a row without report_id for the whole run.
+
+    pairs: report_id, doc_id, source_text, markdown; registry: id, ingested. ``report`` chooses one report, before anything
+    is read of the others. Reports that the registry doesn't count as ingested are passed over.
+    """
+    if report is not None:
+        pairs = pairs.filter(F.col("report_id") == report)
+    kept = registry.filter(F.coalesce("ingested", F.lit(True))).select(F.col("id").alias("report_id")).distinct()
+    judged = with_verdict(pairs.filter(F.col("markdown").isNotNull()).join(kept, "report_id", "left_semi")).select("report_id", "ok", "failed")
+    return judged.rollup("report_id").agg(F.bool_and("ok").alias("ok"), F.sum("failed").alias("failed"), F.count("*").alias("volumes"))

@@ -7,6 +7,7 @@ and a document of a few hundred pages is the unit of work. The functions are pla
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.headings import ABBREVIATIONS, DANGLING
 from ..functions.text import REPAIRS
 
+# The patterns and thresholds of the documents' own rules.
 _INLINE = re.compile(r'\s{0,8}([0-9]{1,4})\s{0,3}(?=[A-Za-z"“(])')
 _STACKED = re.compile(r"\s{0,10}([0-9]{1,4})\s*\Z")
 _FURNITURE = re.compile(r"\s*([0-9]{1,4}|[ivxlcdm]{1,8})\s*\Z", re.I)
@@ -31,7 +33,7 @@ _MARKER = re.compile(r"([.,;:!?\"')])\s+([0-9]{1,4})(?=\s|\Z)")
 # Words before a number that make it a citation.
 _CITING = re.compile(r"(?:(?<![A-Za-z0-9_])(?:nos?|nn?|pp?|art|ch|sec|para|vol|ex|fig|tbl|id|at|see)\.?|§)\s*\Z", re.I)
 _PYTHON_REPAIRS = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", to)) for p, to in REPAIRS]
-_PLAIN = str.maketrans(" ‘’“”", " ''\"\"")
+_PLAIN = str.maketrans("\xa0‘’“”", " ''\"\"")
 
 
 def normalise(line: str) -> str:
@@ -62,27 +64,26 @@ def candidates(lines: list[str]) -> list[tuple[int, int]]:
 
 
 def block_start(found: list[tuple[int, int]], expected: int, size: int) -> int | None:
-    """The line at which the notes of a page begin."""
-    numbers = {n for _, n in found}
+    """The line at which the notes of a page begin: the best of the candidates, ranked by how they are borne out.
 
-    def likely(c: tuple[int, int]) -> bool:
-        return c[1] + 1 in numbers or c[0] > size * 0.55
-
-    exact = next((c for c in found if c[1] == expected), None)
-    if exact and likely(exact):
-        return exact[0]
-    near = min((c for c in found if expected < c[1] <= expected + 6), key=lambda c: c[1], default=None)
-    if near and likely(near):
-        return near[0]
-    best, begin = (0, 0), 0
-    for k in range(len(found)):
-        if k and found[k][1] != found[k - 1][1] + 1:
-            begin = k
-        if k - begin + 1 > best[0]:
-            best = (k - begin + 1, begin)
-    if best[0] >= 3 and found[best[1]][0] > size * 0.4:
-        return found[best[1]][0]
-    return None
+    First comes the expected number, then the smallest of the six after it; either must be followed by its successor or lie
+    low on the page. The rest is left to the longest run of successive numbers, of three or more and not too high up.
+    """
+    numbers = {n for _, n in found}
+    ranked: list[tuple[tuple[int, int, int], int]] = []
+    first: dict[int, int] = {}
+    for line, n in found:
+        first.setdefault(n, line)
+    nearest = min((n for n in first if expected < n <= expected + 6), default=None)
+    for rank, n in enumerate((expected, nearest)):
+        if n in first and (n + 1 in numbers or first[n] > size * 0.55):
+            ranked.append(((rank, 0, 0), first[n]))
+    length = 0
+    for k, (line, n) in enumerate(found):
+        length = length + 1 if k and n == found[k - 1][1] + 1 else 1
+        ranked.append(((2, -length, k), found[k - length + 1][0]))
+    (rank, length, _), line = min(ranked)
+    return line if rank < 2 or (length <= -3 and line > size * 0.4) else None
 
 
 def split_page(lines: list[str], expected: int) -> tuple[int | None, list[str], list[str]]:
@@ -314,7 +315,7 @@ def to_markdown(read: dict, meta: dict[str, str | None]) -> tuple[str, int]:
         fixed, n = repair(text)
         notes.append((number, fixed, page))
         fixes += n
-    head = [f'{k}: "{v}"' for k, v in meta.items() if v] + [f"pages: {len(read['pages'])}", f"footnotes: {len(notes)}"]
+    head = [f"{k}: {json.dumps(str(v), ensure_ascii=False)}" for k, v in meta.items() if v] + [f"pages: {len(read['pages'])}", f"footnotes: {len(notes)}"]
     ends = "\n\n".join(f"[^{n}]: {t}" for n, t in endnotes(notes).items())
     parts = ["---\n" + "\n".join(head) + "\n---", body, f"## Notes\n\n{ends}" if ends else ""]
     return re.sub(r"\n{4,}", "\n\n\n", "\n\n".join(p for p in parts if p)).rstrip() + "\n", fixes
@@ -381,3 +382,13 @@ def ingest(docs: DataFrame, *, page_rows: int = 40) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "markdown", "source_text", "pages", "footnotes", "auto_fixes"])
 
     return docs.filter(F.col("text").isNotNull()).select("doc_id", "text", *meta).mapInPandas(run, "doc_id long, markdown string, source_text string, pages int, footnotes int, auto_fixes int")
+
+
+def gated(docs: DataFrame, *, page_rows: int = 40) -> DataFrame:
+    """The ingested documents with their gate: ``ok``, and ``failed``, the number of checks that failed.
+
+    docs as for ``ingest``. The checks lie in the row of the document, so nothing is joined back to it.
+    """
+    from . import fidelity
+
+    return fidelity.with_verdict(ingest(docs, page_rows=page_rows))

@@ -111,3 +111,23 @@ def json_ld(registry: DataFrame, *, base: str = "https://reports.example") -> Da
     )
     crumbs = F.to_json(F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(item(1, F.lit("Reports"), F.lit(base + "/reports")), item(2, F.col("title"), url)).alias("itemListElement")))
     return registry.select("id", report.alias("report"), crumbs.alias("breadcrumb"))
+
+
+def section(asked: DataFrame, secs: DataFrame) -> DataFrame:
+    """asked(doc_id, slug) -> (doc_id, slug, status, i, n, title, prev, next, text): one section, 404 if there is none.
+
+    A section whose slug is ``full`` is never found by it: that name stands for the whole document.
+    """
+    hits = secs.filter("slug <> 'full'").join(asked, ["doc_id", "slug"], "left_semi")
+    j = asked.join(hits, ["doc_id", "slug"], "left")
+    return j.select("doc_id", "slug", F.when(F.col("i").isNull(), 404).otherwise(200).alias("status"), "i", "n", "title", "prev", "next", "text")
+
+
+def documents(md: DataFrame, paragraphs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked(doc_id, para_id) -> (doc_id, para_id, description, text): the whole document, described by the passage if it is
+    known. Documents that nobody asks for are never joined."""
+    clean = X.trim_ws(F.regexp_replace(F.regexp_replace("text", r"\[\^[0-9]+\]", ""), f"{X.WS}+", " "))
+    hits = once(paragraphs.select("doc_id", "para_id", "text").join(asked, ["doc_id", "para_id"], "left_semi"), clean=clean)
+    hits = hits.select("doc_id", "para_id", X.truncate(F.col("clean")).alias("description"))
+    whole = md.filter(F.col("markdown").isNotNull()).join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", X.strip_front_matter(F.col("markdown")).alias("text"))
+    return asked.join(whole, "doc_id").join(hits, ["doc_id", "para_id"], "left").select("doc_id", "para_id", "description", "text")

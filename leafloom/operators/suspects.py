@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import WS
 from ..plan_aids import once
 
 # Pattern of doubt, name, confidence.
@@ -44,7 +45,7 @@ def suspects(texts: DataFrame) -> DataFrame:
     rows = once(rows, at=at)
     start = F.greatest(F.col("at") - 40, F.lit(0))
     context = F.substring(F.col("text"), start + 1, F.col("at") - start + F.length("match") + 40)
-    return rows.select("doc_id", "page", "rule", "at", "pattern", "match", F.trim(F.regexp_replace(context, r"\s+", " ")).alias("context"), "confidence")
+    return rows.select("doc_id", "page", "rule", "at", "pattern", "match", F.trim(F.regexp_replace(context, f"{WS}+", " ")).alias("context"), "confidence")
 
 
 def ranked(found: DataFrame, *, top: int | None = None) -> DataFrame:

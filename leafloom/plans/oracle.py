@@ -1,7 +1,7 @@
 """DuckDB statements that give the same rows as the queries, written apart from them.
 
-The folds (split_pages, page_notes, endnotes, blocks, merged_blocks, markdown_out, link_markers) have none: they carry
-state through a document and are tested on literal cases instead.
+The folds blocks, merged_blocks, markdown_out, link_markers and ingest_gate have none: their blocks carry state from line to
+line and are tested on literal cases instead.
 """
 
 WS = r"[\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -129,19 +129,109 @@ SAFE = (
 PAGE_TEXT = ", pt AS (SELECT doc_id, pg, string_agg(t, ' ' ORDER BY ln) AS x FROM lines GROUP BY doc_id, pg)"
 
 
-def matches(pattern: str, name: str, group: int = 0) -> str:
-    return f"SELECT doc_id, '{name}' AS pattern, unnest(regexp_extract_all(x, '{pattern}', {group})) AS match FROM pt"
+def matches(pattern: str, name: str, confidence: str, rule: int) -> str:
+    """Matches with their places: the parts between the matches are what is left when each match becomes one sign."""
+    return f"""SELECT doc_id, pg, x, {rule} AS rule, '{name}' AS pattern, '{confidence}' AS confidence, regexp_extract_all(x, '{pattern}') AS hits, string_split(regexp_replace(x, '{pattern}', chr(1), 'g'), chr(1)) AS gaps FROM pt"""
 
 
 _SUSPECTS = " UNION ALL ".join(
     [
-        matches(r"\b\w*[a-z]rn[a-z]\w*", "possible rn/m confusion"),
-        matches(r"\b[A-Za-z]*[0-9][A-Za-z]+\b", "digit inside a word"),
-        matches(r"[A-Za-z]{2,}[;!\\|][A-Za-z]{2,}", "stray punctuation inside a word"),
-        matches(r"(?i)\b(?:tum|modem|conceming|thc|fl-om|arid|bo th|ofthe|inthe)\b", "known OCR artefact"),
-        matches(r"\b[a-z]{1,2}[A-Z][a-z]", "case break inside a word"),
+        matches(r"\b\w*[a-z]rn[a-z]\w*", "possible rn/m confusion", "possible", 0),
+        matches(r"\b[A-Za-z]*[0-9][A-Za-z]+\b", "digit inside a word", "likely", 1),
+        matches(r"[A-Za-z]{2,}[;!\\|][A-Za-z]{2,}", "stray punctuation inside a word", "likely", 2),
+        matches(r"(?i)\b(?:tum|modem|conceming|thc|fl-om|arid|bo th|ofthe|inthe)\b", "known OCR artefact", "likely", 3),
+        matches(r"\b[a-z]{1,2}[A-Z][a-z]", "case break inside a word", "possible", 4),
     ]
 )
+FOUND = f"""{PAGE_TEXT}, sm AS ({_SUSPECTS}),
+su AS (SELECT doc_id, pg, x, rule, pattern, confidence, hits, gaps, unnest(hits) AS match, unnest(range(1, len(hits) + 1)) AS i FROM sm),
+sp AS (SELECT doc_id, pg AS page, rule, pattern, confidence, match, x, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS INTEGER) AS place
+  FROM su WHERE NOT list_contains(string_split('{SAFE}', ' '), lower(match))),
+found AS (SELECT doc_id, page, rule, pattern, place, match, trim(regexp_replace(substr(x, greatest(place - 40, 0) + 1, place - greatest(place - 40, 0) + length(match) + 40), '{WS}+', ' ', 'g')) AS context, confidence FROM sp),
+rg AS (SELECT doc_id, pattern, match, count(*) AS n, arg_min(page, (page, rule, place)) AS page, arg_min(context, (page, rule, place)) AS context, min(confidence) AS confidence, min((page, rule, place)) AS seen FROM found GROUP BY doc_id, pattern, match),
+rk AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE confidence WHEN 'certain' THEN 0 WHEN 'likely' THEN 1 ELSE 2 END, n DESC, seen) AS INTEGER) AS rank, pattern, match, n, page, context, confidence FROM rg)
+"""
+
+
+def fitted(x: str) -> str:
+    """A quote for a card: at most 420 characters."""
+    cut = f"substr({x}, 1, 420)"
+    stop = f"length(regexp_extract({cut}, '(?s)^(.*[.?!]) ', 1))"
+    return f"CASE WHEN length({x}) <= 420 THEN {x} WHEN {stop} > 210 THEN substr({cut}, 1, {stop}) ELSE substr({cut}, 1, length({cut}) - strpos(reverse({cut}), ' ')) || '…' END"
+
+
+# Repairs one after the other, counting matches and true changes.
+_FIXES = (
+    (r"\b0 ([0-9])/([0-9]{2})/([0-9]{4})\b", r"0\1/\2/\3", None),
+    (r"\b([0-9]{1,2}) ?: ?([0-9]{2})\b", r"\1:\2", r"\b[0-9]{1,2}(?: : ?| ?: )[0-9]{2}\b"),
+    (r"\bin tum\b", "in turn", None),
+    (r"\bUnUed States\b", "United States", None),
+)
+FIXED = "WITH t0 AS (SELECT result_id AS doc_id, source_text AS x FROM ingest_results WHERE source_text IS NOT NULL)" + "".join(
+    f", t{k + 1} AS (SELECT doc_id, regexp_replace(x, '{p}', '{to}', 'g') AS x, {'m + ' if k else ''}len(regexp_extract_all(x, '{p}')) AS m, {'c + ' if k else ''}len(regexp_extract_all(x, '{narrow or p}')) AS c FROM t{k})"
+    for k, (p, to, narrow) in enumerate(_FIXES)
+)
+
+# The notes of every page. A page's own facts (its printed number, the lines left, its candidates, their longest run, the
+# openers that have a text) come first; then the expected number runs through the pages of a document.
+_OPENER = f"regexp_matches(t, '{INLINE}') OR regexp_matches(t, '{STACKED}')"
+SPLIT = f"""
+, e0 AS (SELECT *, count(*) OVER p AS size, row_number() OVER (PARTITION BY doc_id, pg ORDER BY ln) - 1 AS place FROM lines WINDOW p AS (PARTITION BY doc_id, pg)),
+e1 AS (SELECT doc_id, pg, arg_max(place, place) FILTER (txt AND place >= size - 4) AS foot, arg_max(t, place) FILTER (txt AND place >= size - 4) AS foot_t, arg_min(place, place) FILTER (txt AND place < 3) AS head, arg_min(t, place) FILTER (txt AND place < 3) AS head_t FROM e0 GROUP BY doc_id, pg),
+e2 AS (SELECT doc_id, pg, CASE WHEN regexp_matches(foot_t, '^{WS}*[0-9]{{1,4}}{WS}*$') THEN foot WHEN regexp_matches(head_t, '^{WS}*[0-9]{{1,4}}{WS}*$') THEN head END AS taken,
+  CASE WHEN regexp_matches(foot_t, '^{WS}*[0-9]{{1,4}}{WS}*$') THEN CAST({trim('foot_t')} AS INTEGER) WHEN regexp_matches(head_t, '^{WS}*[0-9]{{1,4}}{WS}*$') THEN CAST({trim('head_t')} AS INTEGER) END AS printed FROM e1),
+e3 AS (SELECT doc_id, pg, printed, t, txt, norm, row_number() OVER (PARTITION BY doc_id, pg ORDER BY place) - 1 AS place, count(*) OVER (PARTITION BY doc_id, pg) AS size FROM e0 JOIN e2 USING (doc_id, pg) WHERE taken IS NULL OR place <> taken),
+e4 AS (SELECT *, regexp_matches(t, '{INLINE}') AS inl, regexp_matches(t, '{STACKED}') AS stk, first_value(CASE WHEN txt THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id, pg ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM e3),
+e5 AS (SELECT *, CASE WHEN inl THEN CAST(regexp_extract(t, '{INLINE}', 1) AS INTEGER) WHEN stk THEN CAST(regexp_extract(t, '{STACKED}', 1) AS INTEGER) END AS number,
+  inl OR (stk AND regexp_matches(nx, '[A-Za-z][A-Za-z]') AND NOT regexp_matches(nx, '{STACKED}')) AS is_c,
+  CASE WHEN inl THEN {norm(f"regexp_replace(t, '^{WS}{{0,8}}[0-9]{{1,4}}{WS}{{0,3}}', '')")} WHEN stk THEN '' ELSE norm END AS said FROM e4),
+e6 AS (SELECT *, sum(CASE WHEN inl OR stk THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pg ORDER BY place ROWS UNBOUNDED PRECEDING) AS opener FROM e5),
+np AS (SELECT doc_id, pg, opener, min(place) AS place, arg_min(number, place) AS number, {norm("string_agg(said, ' ' ORDER BY place) FILTER (txt AND said <> '')")} AS text FROM e6 WHERE opener > 0 GROUP BY doc_id, pg, opener),
+pn AS (SELECT doc_id, pg, list({{'place': place, 'number': number}}) FILTER (text <> '') AS parsed FROM np GROUP BY doc_id, pg),
+c1 AS (SELECT *, CASE WHEN number = lag(number) OVER o + 1 THEN 0 ELSE 1 END AS nw FROM e5 WHERE is_c WINDOW o AS (PARTITION BY doc_id, pg ORDER BY place)),
+c2 AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, pg ORDER BY place) AS run FROM c1),
+c3 AS (SELECT doc_id, pg, min(place) AS place, count(*) AS n FROM c2 GROUP BY doc_id, pg, run),
+c4 AS (SELECT doc_id, pg, place AS run_at, n AS run_n FROM c3 QUALIFY row_number() OVER (PARTITION BY doc_id, pg ORDER BY n DESC, place) = 1),
+c5 AS (SELECT doc_id, pg, number, min(place) AS place FROM c1 GROUP BY doc_id, pg, number),
+c6 AS (SELECT *, list(number) OVER (PARTITION BY doc_id, pg) AS every FROM c5),
+c7 AS (SELECT doc_id, pg, list({{'number': number, 'place': place, 'next': list_contains(every, number + 1)}} ORDER BY number) AS c FROM c6 GROUP BY doc_id, pg),
+pages0 AS (SELECT doc_id, pg, any_value(printed) AS printed, any_value(size) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY pg) AS k FROM e3 GROUP BY doc_id, pg),
+pages AS (SELECT p.*, coalesce(c, []) AS c, run_at, run_n, coalesce(parsed, []) AS parsed FROM pages0 p LEFT JOIN c7 USING (doc_id, pg) LEFT JOIN c4 USING (doc_id, pg) LEFT JOIN pn USING (doc_id, pg))
+"""
+
+
+def _start(expected: str) -> str:
+    exact = f"list_filter(p.c, lambda x: x.number = {expected})[1]"
+    near = f"list_filter(p.c, lambda x: x.number > {expected} AND x.number <= {expected} + 6)[1]"
+    return (
+        f"CASE WHEN {exact}.next OR {exact}.place > p.size * 0.55 THEN {exact}.place WHEN {near}.next OR {near}.place > p.size * 0.55 THEN {near}.place "
+        "WHEN p.run_n >= 3 AND p.run_at > p.size * 0.4 THEN p.run_at END"
+    )
+
+
+FOLD = SPLIT.rstrip() + f""",
+fold AS (SELECT p.doc_id, p.pg, p.k, p.printed, CAST({_start('1')} AS BIGINT) AS start, 1 AS expected, p.parsed FROM pages p WHERE p.k = 1
+  UNION ALL SELECT p.doc_id, p.pg, p.k, p.printed, CAST({_start('x.e')} AS BIGINT), x.e, p.parsed
+  FROM (SELECT doc_id, k, coalesce(list_max(list_transform(list_filter(parsed, lambda n: n.place >= start), lambda n: n.number)) + 1, expected) AS e FROM fold) x JOIN pages p ON p.doc_id = x.doc_id AND p.k = x.k + 1),
+page_body AS (SELECT doc_id, pg, any_value(e2.printed) AS printed, coalesce(string_agg(t, chr(10) ORDER BY place) FILTER (start IS NULL OR place < start), '') AS body, coalesce(string_agg(t, chr(10) ORDER BY place) FILTER (place >= start), '') AS notes
+  FROM e2 LEFT JOIN e3 USING (doc_id, pg) LEFT JOIN fold USING (doc_id, pg) GROUP BY doc_id, pg),
+own AS (SELECT n.doc_id, n.pg, n.place, n.number, n.text FROM np n JOIN fold USING (doc_id, pg) WHERE n.place >= fold.start AND n.text <> ''),
+pnotes AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pg, place) - 1 AS INTEGER) AS seq, number, text, pg AS page FROM own)
+"""
+RECURSIVE = LINES.replace("WITH", "WITH RECURSIVE", 1)
+MARKED = "CASE kind WHEN 'heading' THEN repeat('#', CAST(level AS INTEGER)) || ' ' || text WHEN 'quote' THEN '> ' || text WHEN 'page' THEN '%%page ' || text || '%%' ELSE text END"
+ASKED = ", asked AS (SELECT DISTINCT result_id AS doc_id, paragraph AS para_id FROM share_quotes JOIN ingest_results ON report = report_id)"
+SECTION_TEXTS = f""", st AS (SELECT s7.doc_id, sec_ord, string_agg({MARKED}, chr(10) || chr(10) ORDER BY seq) AS text FROM s7 GROUP BY s7.doc_id, sec_ord),
+sect AS (SELECT doc_id, CAST(row_number() OVER o AS INTEGER) AS i, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n, slug, title, page, lag(slug) OVER o AS prev, lead(slug) OVER o AS next, text FROM secs JOIN st USING (doc_id, sec_ord) WINDOW o AS (PARTITION BY doc_id ORDER BY sec_ord))"""
+PREVIEW = f""", v0 AS (SELECT doc_id, para_id, {trim(f"regexp_replace(regexp_replace(text, '\\[\\^[0-9]+\\]', '', 'g'), '{WS}+', ' ', 'g')")} AS c FROM ids),
+v1 AS (SELECT *, substr(c, 1, 280) AS cut FROM v0),
+v2 AS (SELECT *, CASE WHEN contains(cut, ' ') AND length(cut) - strpos(reverse(cut), ' ') > 168 THEN length(cut) - strpos(reverse(cut), ' ') ELSE 280 END AS k FROM v1),
+previews AS (SELECT doc_id, para_id, CASE WHEN length(c) <= 280 THEN c ELSE {trim('substr(cut, 1, k)')} || '…' END AS quote FROM v2)"""
+
+
+def escaped(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+
 
 ORACLE: dict[str, str] = {
     "doc_lines": LINES + "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (txt) AS n_nonblank FROM lines GROUP BY doc_id",
@@ -176,7 +266,48 @@ SELECT doc_id, pg, entry, text, page FROM k WHERE text <> ''""",
     + heads("lines", "norm")
     + f""", q AS (SELECT doc_id, pg, ln, txt AND hlevel IS NULL AND NOT regexp_matches(norm, '{LEAD}') AND ind >= margin + 5 AS deep FROM hd JOIN margin USING (doc_id))
 SELECT doc_id, pg, ln FROM q WINDOW o AS (PARTITION BY doc_id, pg ORDER BY ln) QUALIFY deep AND (coalesce(lag(deep) OVER o, false) OR coalesce(lead(deep) OVER o, false))""",
-    "suspect_matches": LINES + PAGE_TEXT + f", sm AS ({_SUSPECTS}) SELECT doc_id, pattern, match, count(*) AS n FROM sm WHERE NOT list_contains(string_split('{SAFE}', ' '), lower(match)) GROUP BY ALL",
+    "suspect_matches": LINES + FOUND + "SELECT doc_id, page, pattern, place, match, context, confidence FROM found",
+    "ranked_suspects": LINES + FOUND + "SELECT * FROM rk WHERE rank <= 200",
+    "review_queue": LINES
+    + FOUND
+    + r"""SELECT doc_id, rank, '| ' || confidence || ' | ' || pattern || ' | `' || match || '` | ' || page || ' | ' || replace(context, '|', '\\|') || ' |' AS line FROM rk WHERE rank <= 200
+UNION ALL SELECT result_id, -3, 'Pages: ' || pages || '  ·  Footnotes: ' || footnotes || '  ·  Auto-fixes applied: ' || auto_fixes FROM ingest_results
+UNION ALL SELECT result_id, -2, '' FROM ingest_results UNION ALL SELECT result_id, -1, '| Confidence | Pattern | Text | Page | Context |' FROM ingest_results
+UNION ALL SELECT result_id, 0, '| --- | --- | --- | --- | --- |' FROM ingest_results""".replace("\\\\", "\\"),
+    "auto_fix": FIXED + " SELECT doc_id, x AS fixed, CAST(m AS INTEGER) AS n_matches, CAST(c AS INTEGER) AS n_changed FROM t4",
+    "split_pages": RECURSIVE + FOLD + "SELECT doc_id, pg, printed, body, notes FROM page_body",
+    "page_notes": RECURSIVE + FOLD + "SELECT * FROM pnotes",
+    "endnotes": RECURSIVE
+    + FOLD
+    + """, f AS (SELECT doc_id, number, text, min(seq) AS seq FROM pnotes GROUP BY doc_id, number, text), g AS (SELECT doc_id, number, string_agg(text, ' ' ORDER BY seq) AS text, min(seq) AS first FROM f GROUP BY doc_id, number)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) AS INTEGER) AS ord, number, text FROM g""",
+    "card_quotes": BLOCKS
+    + IDS
+    + f""", pr AS (SELECT report_id AS report, ids.* FROM ids JOIN ingest_results ON doc_id = result_id),
+m AS (SELECT quote_id, doc_id, seq, para_id, text, para_id = paragraph AS named, coalesce(match_text, '') <> '' AND contains(text, match_text) AS holds FROM share_quotes q JOIN pr USING (report)),
+h AS (SELECT quote_id, arg_min({{'d': doc_id, 'p': para_id, 't': text}}, (doc_id, seq)) FILTER (named) AS a, arg_min({{'d': doc_id, 'p': para_id, 't': text}}, (doc_id, seq)) FILTER (holds) AS b FROM m GROUP BY quote_id),
+o AS (SELECT quote_id, CASE WHEN a IS NOT NULL THEN 'id' WHEN b IS NOT NULL THEN 'phrase' ELSE 'none' END AS how, coalesce(a, b) AS hit, {trim(f"regexp_replace(coalesce(quote_text, coalesce(a, b).t), '{WS}+', ' ', 'g')")} AS line FROM share_quotes LEFT JOIN h USING (quote_id)),
+f AS (SELECT *, {fitted('line')} AS q FROM o), w AS (SELECT *, CASE WHEN regexp_matches(q, '["“”]$') THEN q ELSE '“' || q || '”' END AS quote FROM f)
+SELECT quote_id, how, hit.d AS doc_id, hit.p AS para_id, quote, CASE WHEN length(quote) > 320 THEN 34 WHEN length(quote) > 220 THEN 40 WHEN length(quote) > 130 THEN 48 ELSE 56 END AS size FROM w""",
+    "section_texts": BLOCKS + SECTIONS + SECTION_TEXTS + " SELECT doc_id, i, n, slug, title, page, prev, next, text FROM sect",
+    "section_of": BLOCKS
+    + SECTIONS
+    + SECTION_TEXTS
+    + """, ask AS (SELECT DISTINCT doc_id, unnest([a, b, 'no-such-section']) AS slug FROM (SELECT doc_id, min(slug) AS a, max(slug) AS b FROM secs GROUP BY doc_id)), s AS (SELECT * FROM sect WHERE slug <> 'full')
+SELECT ask.doc_id, ask.slug, CASE WHEN i IS NULL THEN 404 ELSE 200 END AS status, i, n, title, prev, next, text FROM ask LEFT JOIN s USING (doc_id, slug)""",
+    "document_passage": BLOCKS
+    + IDS
+    + PREVIEW
+    + ASKED
+    + f""" SELECT asked.doc_id, asked.para_id, quote AS description, {STRIPPED} AS text FROM asked JOIN ingest_results ON asked.doc_id = result_id LEFT JOIN previews ON previews.doc_id = asked.doc_id AND previews.para_id = asked.para_id WHERE markdown IS NOT NULL""",
+    "entries_only": f"SELECT result_id AS doc_id, CASE WHEN strpos(markdown, chr(10) || '---' || chr(10)) = 0 THEN markdown ELSE regexp_replace(substr(markdown, strpos(markdown, chr(10) || '---' || chr(10)) + 5), '^{WS}+', '') END AS entries FROM ingest_results",
+    "sidenote_body": DEFS
+    + f""", bd AS (SELECT doc_id, {BODY} AS body FROM m), sx AS (SELECT doc_id, regexp_extract_all(body, '\\[\\^([0-9]+)\\]', 1) AS r, string_split(regexp_replace(body, '\\[\\^[0-9]+\\]', chr(1), 'g'), chr(1)) AS g FROM bd),
+ge AS (SELECT doc_id, unnest(g) AS gap, unnest(range(1, len(g) + 1)) AS i, unnest(list_concat(r, [NULL])) AS number FROM sx),
+gd AS (SELECT ge.*, text AS note, sum(CASE WHEN text IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY ge.doc_id ORDER BY i) AS k FROM ge LEFT JOIN defs ON defs.doc_id = ge.doc_id AND defs.number = CAST(ge.number AS INTEGER)),
+gp AS (SELECT *, 'sn-' || number || '-' || k AS name FROM gd)
+SELECT doc_id, string_agg(gap || CASE WHEN number IS NULL THEN '' WHEN note IS NULL THEN '[^' || number || ']' ELSE '<label class="sidenote-toggle" for="' || name || '" aria-label="Note ' || number || '"><sup>' || number || '</sup></label><input class="sidenote-checkbox" id="' || name
+  || '" type="checkbox" /><span class="sidenote"><sup>' || number || '</sup> ' || {escaped('note')} || '</span>' END, '' ORDER BY i) AS body, CAST(count(DISTINCT number) FILTER (note IS NOT NULL) AS INTEGER) AS used FROM gp GROUP BY doc_id""",
     "queue_by_pattern": "SELECT pattern_label, confidence, count(*) AS n, sum(seen_count) AS seen FROM suspects GROUP BY ALL",
     "front_matter": r"""
 WITH f AS (SELECT result_id AS doc_id, string_split(regexp_extract(markdown, '\A---\r?\n((?s:.*?))\r?\n---\r?\n?', 1), chr(10)) AS a FROM ingest_results WHERE markdown IS NOT NULL),
@@ -217,7 +348,7 @@ SELECT doc_id, string_agg(x, ' ' ORDER BY pos) AS words FROM t GROUP BY doc_id""
     "html_text": f"""
 WITH t AS (SELECT doc_id, text, regexp_replace(text, '<[^>]+>', '', 'g') AS bare, {trim(f"regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{WS}+', ' ', 'g')")} AS shown FROM documents WHERE text IS NOT NULL),
 u AS (SELECT *, {trim(f"regexp_replace(replace(replace(replace(replace(replace(bare, '&quot;', chr(34)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '{WS}+', ' ', 'g')")} AS plain FROM t)
-SELECT doc_id, length(shown) AS n_chars, len(list_filter(regexp_split_to_array(plain, '{WS}+'), lambda w: w <> '')) AS words, length(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')) AS escaped FROM u""",
+SELECT doc_id, length(shown) AS n_chars, len(list_filter(regexp_split_to_array(plain, '{WS}+'), lambda w: w <> '')) AS words, plain, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS escaped FROM u""",
     "catalog": CATALOG,
     "catalog_count": f"SELECT count(*) AS n FROM ({CATALOG})",
     "renamed_reports": """WITH a(old_id, new_id) AS (VALUES ('old-boiler-room', 'crevalby-boiler-room-001')), i AS (SELECT id FROM registry UNION ALL SELECT old_id FROM a)
@@ -234,7 +365,11 @@ WITH u AS (SELECT DISTINCT url, regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]
 o AS (SELECT *, len(list_filter(['/archive-one', '/pages', '/search', '/feed.xml'], lambda x: p.path = x OR starts_with(p.path, x || '/'))) > 0 AS old FROM u)
 SELECT url, CASE WHEN starts_with(p.host, 'old.') THEN 503 WHEN starts_with(p.host, 'www.') THEN 301 WHEN old THEN 301 ELSE 200 END AS status,
 CASE WHEN starts_with(p.host, 'old.') THEN NULL WHEN starts_with(p.host, 'www.') THEN p.scheme || '://' || substr(p.host, 5) || p.path || p.query WHEN old THEN p.scheme || '://old.' || p.host || p.path || p.query END AS location FROM o""",
-    "json_ld": "SELECT id, title AS name, authors AS author, published_at AS published, title AS crumb FROM registry",
+    "json_ld": """
+WITH r AS (SELECT id, title, authors, published_at, source_url, 'https://reports.example/reports/' || id AS url FROM registry)
+SELECT id, '{"@context":"https://schema.org","@type":"Report"' || coalesce(',"name":' || to_json(title), '') || ',"url":' || to_json(url) || coalesce(',"author":{"@type":"Organization","name":' || to_json(authors) || '}', '')
+  || coalesce(',"datePublished":' || to_json(published_at), '') || coalesce(',"isBasedOn":' || to_json(source_url), '') || '}' AS report,
+'{"@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Reports","item":"https://reports.example/reports"},{"@type":"ListItem","position":2' || coalesce(',"name":' || to_json(title), '') || ',"item":' || to_json(url) || '}]}' AS breadcrumb FROM r""",
     "verdict": CHECKS
     + ", "
     + WORDS.strip()[len("WITH ") :]
@@ -244,6 +379,16 @@ every AS (SELECT doc_id, ok FROM checks
   UNION ALL SELECT w.doc_id, len(o) > 0 AND coalesce(num, 0) < len(o) * 0.001 FROM w LEFT JOIN nn USING (doc_id) WHERE s IS NOT NULL AND o IS NOT NULL
   UNION ALL SELECT doc_id, len(s) > 0 AND len(o) > 0.9 * len(s) AND len(o) < 1.05 * len(s) FROM w WHERE s IS NOT NULL AND o IS NOT NULL)
 SELECT doc_id, bool_and(ok) AS ok, count(*) FILTER (NOT ok) AS failed FROM every GROUP BY doc_id""",
+    "verify": CHECKS
+    + ", "
+    + WORDS.strip()[len("WITH ") :]
+    + """, v AS (SELECT DISTINCT doc_id, unnest(list_concat(s, f)) AS x FROM w WHERE s IS NOT NULL), u AS (SELECT doc_id, unnest(o) AS x FROM w),
+nn AS (SELECT doc_id, count(*) AS num FROM u ANTI JOIN v USING (doc_id, x) GROUP BY doc_id),
+every AS (SELECT doc_id, ok FROM checks
+  UNION ALL SELECT w.doc_id, len(o) > 0 AND coalesce(num, 0) < len(o) * 0.001 FROM w LEFT JOIN nn USING (doc_id) WHERE s IS NOT NULL AND o IS NOT NULL
+  UNION ALL SELECT doc_id, len(s) > 0 AND len(o) > 0.9 * len(s) AND len(o) < 1.05 * len(s) FROM w WHERE s IS NOT NULL AND o IS NOT NULL),
+each AS (SELECT report_id, bool_and(ok) AS ok, count(*) FILTER (NOT ok) AS failed FROM every JOIN ingest_results ON doc_id = result_id WHERE report_id IN (SELECT id FROM registry WHERE coalesce(ingested, true)) GROUP BY report_id, doc_id)
+SELECT report_id, bool_and(ok) AS ok, CAST(sum(failed) AS BIGINT) AS failed, count(*) AS volumes FROM each GROUP BY ROLLUP (report_id)""",
     "passage_preview": BLOCKS
     + IDS
     + PAGES

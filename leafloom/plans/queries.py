@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import fidelity, folds, layout, notes, passages, sections, suspects
-from ..plan_aids import spread
+from ..plan_aids import once, spread
+from ..sources import readers
 
 #: Sections of the test volumes are short, so the queries part them at a smaller size than the default.
 SECTION_CHARS = 800
@@ -85,7 +86,7 @@ def quote_lines(spark, d):
 
 
 def split_pages(spark, d):
-    return folds.split_pages(_docs(spark, d)).select("doc_id", "pg", "printed", F.size("body").alias("body_n"), F.size("notes").alias("note_n"))
+    return folds.split_pages(_docs(spark, d)).select("doc_id", "pg", "printed", F.array_join("body", "\n").alias("body"), F.array_join("notes", "\n").alias("notes"))
 
 
 def page_notes(spark, d):
@@ -109,8 +110,14 @@ def markdown_out(spark, d):
 
 
 def link_markers(spark, d):
+    """(doc_id, n_links, numbers): the references of the body, in order."""
     got = folds.ingest(_docs(spark, d))
-    return got.select("doc_id", F.size(F.regexp_extract_all(X.strip_notes_section(F.col("markdown")), F.lit(r"\[\^([0-9]+)\]"), 1)).alias("n_links"))
+    refs = F.regexp_extract_all(X.strip_notes_section(F.col("markdown")), F.lit(r"\[\^([0-9]+)\]"), 1)
+    return once(got.select("doc_id", "markdown"), refs=refs).select("doc_id", F.size("refs").alias("n_links"), F.array_join("refs", " ").alias("numbers"))
+
+
+def ingest_gate(spark, d):
+    return folds.gated(_docs(spark, d)).select("doc_id", "pages", "footnotes", "auto_fixes", "ok", "failed")
 
 
 def auto_fix(spark, d):
@@ -123,7 +130,7 @@ def _suspects(spark, d):
 
 
 def suspect_matches(spark, d):
-    return _suspects(spark, d).groupBy("doc_id", "pattern", "match").agg(F.count("*").alias("n"))
+    return _suspects(spark, d).select("doc_id", "page", "pattern", F.col("at").alias("place"), "match", "context", "confidence")
 
 
 def ranked_suspects(spark, d):
@@ -219,8 +226,9 @@ def verdict(spark, d):
 def html_text(spark, d):
     t = F.col("text")
     docs = _table(spark, d, "documents").filter(t.isNotNull())
-    words = F.size(F.filter(F.split(X.strip_tags(t), f"{X.WS}+"), lambda w: w != ""))
-    return docs.select("doc_id", X.visible_length(t).alias("n_chars"), words.alias("words"), F.length(X.escape_html(t)).alias("escaped"))
+    plain = once(docs.select("doc_id", "text"), plain=X.strip_tags(t))
+    words = F.size(F.filter(F.split("plain", f"{X.WS}+"), lambda w: w != ""))
+    return plain.select("doc_id", X.visible_length(t).alias("n_chars"), words.alias("words"), "plain", X.escape_html(t).alias("escaped"))
 
 
 def catalog(spark, d):
@@ -263,13 +271,41 @@ def resolve_url(spark, d):
 
 
 def json_ld(spark, d):
-    got = passages.json_ld(_table(spark, d, "registry"))
-    field = lambda c, p: F.get_json_object(c, p)
-    return got.select("id", field("report", "$.name").alias("name"), field("report", "$.author.name").alias("author"), field("report", "$.datePublished").alias("published"), field("breadcrumb", "$.itemListElement[1].name").alias("crumb"))
+    return passages.json_ld(_table(spark, d, "registry"))
+
+
+def sidenote_body(spark, d):
+    return notes.with_sidenotes(_md(spark, d))
+
+
+def entries_only(spark, d):
+    return _md(spark, d).select("doc_id", X.entries_only(F.col("markdown")).alias("entries"))
+
+
+def document_passage(spark, d):
+    return passages.documents(_md(spark, d), sections.paragraphs(_md(spark, d)), _asked(spark, d))
+
+
+def section_of(spark, d):
+    """Sections that links name by their slug: every volume's first and last, and one that isn't there."""
+    secs = sections.section_texts(_md(spark, d), min_chars=SECTION_CHARS)
+    asked = overview(spark, d).groupBy("doc_id").agg(F.min("slug").alias("a"), F.max("slug").alias("b"))
+    asked = asked.select("doc_id", F.explode(F.array_distinct(F.array("a", "b", F.lit("no-such-section")))).alias("slug"))
+    return passages.section(asked, secs)
+
+
+def verify(spark, d):
+    pairs = _table(spark, d, "ingest_results").select("report_id", F.col("result_id").alias("doc_id"), "source_text", "markdown")
+    return fidelity.verify(spread(pairs), _table(spark, d, "registry"))
+
+
+def review_queue(spark, d):
+    counts = _table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), "pages", "footnotes", "auto_fixes")
+    return readers.review_queue(suspects.ranked(_suspects(spark, d), top=200), counts)
 
 
 NAMES = """doc_lines normalise_lines doc_margin double_spaced_pages collapse_spacing printed_pages note_candidates longest_note_run heading_lines
 contents_entries quote_lines split_pages page_notes endnotes blocks merged_blocks markdown_out link_markers auto_fix suspect_matches ranked_suspects
 queue_by_pattern front_matter markdown_blocks paragraph_ids paragraph_pages overview section_nav section_texts resolve notes_resolution sidenotes orphan_notes
 word_multiset lossless foreign_words retention structural_checks verdict html_text catalog catalog_count renamed_reports sitemap passage_preview
-card_quotes card_manifest resolve_url json_ld""".split()
+card_quotes card_manifest resolve_url json_ld sidenote_body entries_only document_passage section_of verify review_queue ingest_gate""".split()

@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..schema import REGISTRY, SHARE_QUOTES
 
 
@@ -42,13 +43,35 @@ def read_share_quotes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, SHARE_QUOTES)
 
 
-def write_markdown(ingested: DataFrame, path: str) -> None:
-    """Markdown by document, partitioned so that a reader prunes to one document."""
-    ingested.select("doc_id", "markdown").write.mode("overwrite").partitionBy("doc_id").parquet(path)
+def one_quote(spark: SparkSession, report: str, paragraph: str) -> DataFrame:
+    """A single passage that is asked for by its report and paragraph, in the form of a curated quote."""
+    return spark.createDataFrame([(report, paragraph, None, None, None)], SHARE_QUOTES)
 
 
-def write_review_queue(ranked: DataFrame, path: str, *, top: int = 200) -> None:
-    """The first ``top`` suspects of each document, as rows of a Markdown table."""
+def read_changelog(spark: SparkSession, path: str) -> DataFrame:
+    """(path, entries) of a changelog: what follows its first rule."""
+    return read_markdown(spark, path).select("path", X.entries_only(F.col("markdown")).alias("entries"))
+
+
+def write_markdown(ingested: DataFrame, path: str, *, buckets: int = 64) -> None:
+    """Markdown by document, in ``buckets`` folders by a hash of the key and sorted within, so that a reader of one document
+    prunes to a part of one folder while the number of files doesn't follow the number of documents."""
+    out = ingested.select("doc_id", "markdown", F.expr(f"pmod(xxhash64(doc_id), {buckets})").cast("int").alias("bucket"))
+    out.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def review_queue(ranked: DataFrame, ingested: DataFrame, *, top: int = 200) -> DataFrame:
+    """(doc_id, rank, line): the first ``top`` suspects of each document as rows of a Markdown table, after lines with the
+    document's counts and the table's head (rank 0 and below)."""
     cell = lambda c: F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|"))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", cell("page"), cell("match"), cell("context"), cell("pattern"), cell("n")), F.lit(" |"))
-    ranked.filter(F.col("rank") <= top).select("doc_id", "rank", line.alias("line")).write.mode("overwrite").parquet(path)
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "confidence", "pattern", F.concat(F.lit("`"), F.col("match"), F.lit("`")), F.col("page").cast("string"), cell("context")), F.lit(" |"))
+    rows = ranked.filter(F.col("rank") <= top).select("doc_id", "rank", line.alias("line"))
+    counts = F.concat(F.lit("Pages: "), F.col("pages"), F.lit("  ·  Footnotes: "), F.col("footnotes"), F.lit("  ·  Auto-fixes applied: "), F.col("auto_fixes"))
+    # The head of the table.
+    head = [counts, F.lit(""), F.lit("| Confidence | Pattern | Text | Page | Context |"), F.lit("| --- | --- | --- | --- | --- |")]
+    heads = ingested.select("doc_id", F.posexplode(F.array(*head)).alias("k", "line")).select("doc_id", (F.col("k") - len(head) + 1).alias("rank"), "line")
+    return heads.unionByName(rows)
+
+
+def write_review_queue(ranked: DataFrame, ingested: DataFrame, path: str, *, top: int = 200) -> None:
+    review_queue(ranked, ingested, top=top).write.mode("overwrite").parquet(path)
