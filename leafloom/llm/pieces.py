@@ -1,9 +1,11 @@
 """Problem 5: cut oversized texts at natural boundaries, by packing a structure tree.
 
-A text is parsed into a tree: chapters by heading level, then blocks parted by blank lines, lines and list items,
-sentences, words, and at the last single characters. The tree is packed from below: sibling subtrees are merged, in
-order, while they fit; only a node that is itself too large is opened. The overlap each later piece begins with counts
-towards the limit.
+A text is parsed into a tree whose nodes lie one after the other and cover it: headed parts by level, in them paragraphs,
+lists with nested items, tables, code blocks and formulas; paragraphs are made of the sentences that ``sentences`` finds,
+sentences of lines and words. The tree is packed from below: the subtrees of one parent are merged, in order, while they
+fit; only a node that is itself too large is opened, and what it is cut into isn't merged with its parent's other children,
+except inside a paragraph. A heading stays with what follows it. The overlap each later piece begins with counts towards
+the limit.
 """
 
 from __future__ import annotations
@@ -17,18 +19,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .sentences import boundaries
 
 LEVELS = 6
-_HEADING = re.compile(r"^(?:(#{1,6})[ \t]+\S|<h([1-6])\b|(={2,6})[^=\n].*={2,6}[ \t]*$|\\((?:sub)*)section\b)", re.M)
-#: Natural cuts below the headings, from the coarsest: blank lines, line ends, sentence ends, other white space.
-_CUTS = [re.compile(r"\n[ \t]*\n\s*"), re.compile(r"\n"), re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？।؟][」』”’)\]]*\s*"), re.compile(r"\s+")]
+_HEADING = re.compile(r"(?:(#{1,6})[ \t]+\S|<h([1-6])\b|(={2,6})[^=\n].*={2,6}[ \t]*$|\\((?:sub)*)section\b)")
+_FENCE = re.compile(r"[ \t]*(```|~~~)")
+_ITEM = re.compile(r"([ \t]*)(?:[-*+•‣–][ \t]+|\(?\d{1,3}[.)][ \t]+|\(?[a-z]\)[ \t]+|\\item\b)")
+_FORMULA_OPEN, _FORMULA_CLOSE = re.compile(r"[ \t]*(?:\$\$|\\\[|\\begin\{)"), {"$$": "$$", "\\[": "\\]"}
+_WORD = re.compile(r"\S+\s*|\s+")
 
 
 @dataclass
 class Node:
+    """text[start:end]; kind: part, heading, paragraph, sentence, list, item, table, code, formula, line, word."""
+
     start: int
     end: int
-    rank: int
+    kind: str
+    level: int = 0
     children: list[Node] = field(default_factory=list)
 
 
@@ -42,71 +50,177 @@ def _heading_level(m: re.Match) -> int:
     return 1 + len(m[4] or "") // 3
 
 
-def heading_tree(text: str) -> Node:
-    """The tree of headed parts; a leaf is a run of text without headings inside."""
-    root = Node(0, len(text), 0)
-    path, last = [root], 0
-    for m in _HEADING.finditer(text):
-        if m.start() > last:
-            path[-1].children.append(Node(last, m.start(), LEVELS + 1))
-        level = min(_heading_level(m), LEVELS)
-        while path[-1].rank >= level:
-            path.pop().end = m.start()
-        node = Node(m.start(), len(text), level)
-        path[-1].children.append(node)
-        path.append(node)
-        last = m.start()
-    if last < len(text):
-        path[-1].children.append(Node(last, len(text), LEVELS + 1))
+def _blocks(text: str) -> list[Node]:
+    """The blocks of a text, in order; the blank lines after a block belong to it."""
+    out: list[Node] = []
+    at, close, blank = 0, "", True  # close: what ends the code block or formula that is open
+
+    def begin(kind: str, level: int = 0) -> None:
+        out.append(Node(at, at, kind, level))
+
+    for line in text.splitlines(keepends=True) if "\r" not in text else re.findall(r"[^\n]*\n|[^\n]+\Z", text):
+        bare = line.strip()
+        if close:
+            if bare.endswith(close) or close in ("```", "~~~") and bare.startswith(close):
+                close = ""
+                blank = True
+        elif not bare:
+            if not out:
+                begin("paragraph")
+            blank = True
+        elif m := _HEADING.match(line):
+            begin("heading", min(_heading_level(m), LEVELS))
+            blank = True
+        elif m := _FENCE.match(line):
+            begin("code")
+            close = "" if bare.count(m[1]) > 1 else m[1]
+            blank = not close
+        elif m := _FORMULA_OPEN.match(line):
+            begin("formula")
+            sign = m[0].strip()
+            ends = _FORMULA_CLOSE.get(sign) or "\\end" + bare[len("\\begin") :].split("}")[0] + "}"
+            close = "" if bare.find(ends, len(sign)) >= 0 else ends
+            blank = not close
+        elif line[0] == "|":
+            if blank or out[-1].kind != "table":
+                begin("table")
+            blank = False
+        elif _ITEM.match(line):
+            if not out or out[-1].kind != "list":
+                begin("list")
+            blank = False
+        else:
+            if blank or out[-1].kind == "table":
+                begin("paragraph")
+            blank = False
+        at += len(line)
+        out[-1].end = at
+    return out
+
+
+def structure_tree(text: str) -> Node:
+    """The tree of headed parts and their blocks."""
+    root = Node(0, len(text), "part", 0)
+    path = [root]
+    for b in _blocks(text):
+        if b.kind == "heading":
+            while path[-1].level >= b.level:
+                path.pop().end = b.start
+            part = Node(b.start, len(text), "part", b.level, [b])
+            path[-1].children.append(part)
+            path.append(part)
+        else:
+            path[-1].children.append(b)
     return root
 
 
+def _tiles(a: int, b: int, cuts: list[int], kind: str) -> list[Node]:
+    """The parts of text[a:b] between the cuts; none if it has only one."""
+    cuts = [a, *(c for c in cuts if a < c < b), b]
+    return [Node(x, y, kind) for x, y in zip(cuts, cuts[1:])] if len(cuts) > 2 else []
+
+
+def _items(text: str, node: Node) -> list[Node]:
+    """The items of a list, each with the items that are set in under it."""
+    root = Node(node.start, node.end, "list")
+    path: list[tuple[int, Node]] = [(-1, root)]
+    at = node.start
+    for line in re.findall(r"[^\n]*\n|[^\n]+\Z", text[node.start : node.end]):
+        if m := _ITEM.match(line):
+            depth = len(m[1].expandtabs(4))
+            while path[-1][0] >= depth:
+                path.pop()[1].end = at
+            item = Node(at, node.end, "item")
+            if len(path) > 1 and not path[-1][1].children:
+                path[-1][1].children.append(Node(path[-1][1].start, at, "paragraph"))  # the item's own words
+            path[-1][1].children.append(item)
+            path.append((depth, item))
+        at += len(line)
+    return root.children
+
+
 def _opened(text: str, node: Node) -> list[Node]:
-    """The parts of a node: its children, else its text cut at the coarsest natural cut that it has."""
+    """The parts of a node that is too large."""
     if node.children:
         return node.children
-    for rank in range(max(node.rank, LEVELS + 1), LEVELS + 1 + len(_CUTS)):
-        ends = [m.end() for m in _CUTS[rank - LEVELS - 1].finditer(text, node.start, node.end)]
-        ends = [e for e in ends if node.start < e < node.end]
-        if ends:
-            return [Node(a, b, rank + 1) for a, b in zip([node.start, *ends], [*ends, node.end])]
+    a, b = node.start, node.end
+    if node.kind == "list":
+        return _items(text, node)
+    if node.kind in ("paragraph", "item", "heading"):
+        blank = [a + m.end() for m in re.finditer(r"\n[ \t]*\n\s*", text[a:b])]
+        if parts := _tiles(a, b, blank, "paragraph"):
+            return parts
+        ends = [a + c for c in boundaries(text[a:b])]
+        ends = [e + len(text[e:b]) - len(text[e:b].lstrip()) if text[e : e + 1].isspace() else e for e in ends] if b - a < 1 << 16 else _past_space(text, ends, b)
+        if parts := _tiles(a, b, ends, "sentence"):
+            return parts
+    if node.kind not in ("line", "word"):
+        if parts := _tiles(a, b, [a + m.end() for m in re.finditer(r"\n", text[a:b])], "line"):
+            return parts
+    if node.kind != "word":
+        return _tiles(a, b, [a + m.end() for m in _WORD.finditer(text[a:b])], "word")
     return []
 
 
-def cut_points(text: str, limit: int, overlap: int) -> list[int]:
-    """Ends of the pieces. Piece k has text[end(k-1) - overlap : end(k)], of at most ``limit`` characters."""
-    if limit <= overlap:
-        raise ValueError("the limit must be larger than the overlap")
-    ends: list[int] = []
-    begin = 0  # where the new text of the piece being filled begins
+def _past_space(text: str, ends: list[int], stop: int) -> list[int]:
+    out = []
+    for e in ends:
+        while e < stop and text[e].isspace():
+            e += 1
+        out.append(e)
+    return out
 
-    def room() -> int:
-        return begin + limit - (overlap if ends else 0)
 
-    todo = [heading_tree(text)]
-    at = 0  # all before is packed into the piece being filled
-    while todo:
-        node = todo.pop()
-        if node.end <= room():
-            at = node.end
-            continue
-        if node.end - node.start <= limit - overlap and at > begin:
-            ends.append(at)  # the piece is closed, the subtree stays whole in the next
-            begin = at
-            todo.append(node)
+#: Nodes whose fragments go on with what follows them: inside a paragraph there is no structure to keep apart.
+_PROSE = {"paragraph", "sentence", "line", "word", "code", "table", "formula", "heading"}
+
+
+def _packed(text: str, node: Node, room: int, lead: int) -> list[int]:
+    """Ends of the units that a node is packed into, each of at most ``room`` characters. The first of them holds ``lead``
+    characters that stand before the node as well: headings that must not be left alone."""
+    if lead + node.end - node.start <= room:
+        return [node.end]
+    parts = _opened(text, node)
+    if not parts:
+        return [*range(node.start - lead + room, node.end, room), node.end] if lead < room else [node.start, *range(node.start + room, node.end, room), node.end]
+    ends: list[int] = []
+    begin = node.start - lead  # of the unit that is being filled
+    open_end = -1  # its end so far, if more may be merged into it
+    held = node.start > begin  # does it hold nothing but headings?
+    for k, p in enumerate(parts):
+        if p.kind == "heading" and k + 1 < len(parts) and p.end - begin <= room and open_end < 0:
+            held = True
             continue
-        if parts := _opened(text, node):
-            todo += reversed(parts)
+        if p.end - begin <= room:
+            open_end, held = p.end, False
             continue
-        while node.end > room():  # no natural cut is left
-            ends.append(at := room())
-            begin = at
-        at = node.end
-    if at > begin or not ends:
-        ends.append(at)
+        if open_end > begin and not held:  # the unit is closed; the subtree stays whole in the next
+            ends.append(open_end)
+            begin = open_end
+            if p.end - begin <= room:
+                open_end = p.end
+                continue
+        own = _packed(text, p, room, p.start - begin)
+        ends += own[:-1]
+        begin = own[-2] if len(own) > 1 else begin
+        held = False
+        if p.kind in _PROSE and node.kind in _PROSE | {"item"}:
+            open_end = own[-1]
+        else:
+            ends.append(own[-1])
+            begin, open_end = own[-1], -1
+    if not ends or ends[-1] < node.end:
+        ends.append(node.end)
     return ends
 
 
+def cut_points(text: str, limit: int, overlap: int) -> list[int]:
+    """Ends of the pieces. Piece k has text[end(k-1) - overlap : end(k)], of at most ``limit`` characters."""
+    if limit <= overlap:
+        raise ValueError("the limit must be larger than the overlap")
+    return _packed(text, structure_tree(text), limit - overlap, 0) if text else [0]
+
+
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of each piece; a text within the limit, the empty one too, is one piece."""
     if len(text) <= limit:

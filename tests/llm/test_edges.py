@@ -272,3 +272,30 @@ def test_copies_count_once_either_way(spark):
     df = spark.createDataFrame([(k, "one text" if k % 3 == 0 else f"text {k}") for k in range(30)], "doc_id long, text string")
     for bound in (10, 0):
         assert sorted(r.doc_id for r in stuffing.without_copies(df, max_broadcast=bound).collect()) == [0, *(k for k in range(30) if k % 3)]
+
+
+def test_pieces_follow_the_tree():
+    def section(name, n):
+        return f"{name}\n\n" + "A sentence of Dr. Vasgupell stands here. " * n + "\n\n"
+
+    text = "".join(section(f"# C{c}", 3) + "".join(section(f"## S{c}.{k}", 11) for k in (1, 2, 3)) for c in (1, 2, 3))
+    spans = pieces.split_text(text, 1200, 100)
+    ends = [b for _, b in spans]
+    assert spans[0][0] == 0 and ends[-1] == len(text) and all(b - a <= 1200 for a, b in spans)
+    for end in ends:
+        assert not text[:end].rstrip().split("\n")[-1].startswith("#")  # no bare heading
+        assert not text[:end].rstrip().endswith("Dr.")
+    starts = [0, *ends[:-1]]
+    for a, b in zip(starts, ends):  # a piece never takes the end of one chapter and the beginning of the next
+        assert text[a:b].lstrip().startswith("#") and text[a:b].count("# C") - text[a:b].count("## C") <= 1
+
+
+def test_pieces_keep_code_tables_and_lists_whole():
+    code = "```\n" + "x = [1, 2]  # a line. Of code\n\n" * 12 + "```\n"
+    table = "| a | b |\n|---|---|\n" + "| one. | two. |\n" * 15
+    formula = "$$\na = b. \\\\\nc = d.\n$$\n"
+    text = "Prose stands here. " * 20 + "\n\n" + code + "\n" + "More of it. " * 20 + "\n\n" + table + "\n" + formula + "\n- one\n  - under one\n- two\n\n" + "The end is near. " * 40
+    for end in [b for _, b in pieces.split_text(text, 700, 50)][:-1]:
+        for block in (code, table, formula):
+            at = text.index(block)
+            assert not at < end < at + len(block)
