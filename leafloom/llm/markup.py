@@ -1,13 +1,16 @@
 """Problem 1: markup residue of HTML, Markdown, MediaWiki and LaTeX, turned into clean text that keeps its structure.
 
-HTML is read by the standard library's streaming parser; the other languages by scanners that give events of the same
-kind. The events say which languages a text holds; a damaged construct (no end tag, no closing sign) counts as well. For
-the clean text, each line gets its text-to-tag ratio, the ratios are smoothed with a Gaussian, and lines below the
-threshold of the low cluster are dropped unless they carry structure (headings, lists, tables, code, formulas).
+HTML is read by the standard library's streaming parser; Markdown, MediaWiki and LaTeX by scanners that give events as it
+does, one for each sign, in the order of the text. The events say which languages a text holds; a damaged construct (no end
+tag, no closing sign) counts as well. For the clean text, code and formulas are set aside first. Each line gets its ratio of
+text to events of all languages, the ratios are smoothed with a Gaussian, and lines below the threshold of the low cluster
+are dropped unless they carry structure (headings, lists, tables, code, formulas). Then writers follow the events with a
+stack, so templates, links and macros may be nested to any depth.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -35,19 +38,40 @@ COMMANDS = "item hline maketitle newline newpage noindent par centering tableofc
 _TAG = re.compile(r"<(?:!--|!doctype\b|(/?)([A-Za-z][A-Za-z0-9]*)(?=[\s/>]|$))", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _ANY_TAG = re.compile(r"<!--.*?(?:-->|$)|</?[A-Za-z][^<>\n]*(?:>|(?=\n|$|<))", re.S)
-_FORMULA = r"\$(?![\d.,]+\s)(?=[^$\n]*(?:(?<![A-Za-z])\\[A-Za-z]{2,}|[A-Za-z0-9)][\^_][{A-Za-z0-9]))[^$\n]{1,400}\$"
+_FORMULA = r"\$(?![\d.,]+\s)(?=[^$\n]*(?:(?<![A-Za-z])\\[A-Za-z]{2,}|[A-Za-z0-9)][\^_][{A-Za-z0-9]))[^$\n]+\$"
 _MATH = re.compile(r"\\\[.*?\\\]|\\\(.*?\\\)|\$\$.+?\$\$|" + _FORMULA, re.S)
 _FRONT = re.compile(r"\A---\r?\n.*?\n---\r?\n?", re.S)
 _PROJECT = re.compile(r"(?m)^%%page \d+%%$|^#{2,3}[ \t]|^>[ \t]?|^- |\[\^\d+\]:?")
 
 
 
-def _rules(*rules: tuple[str, str]) -> list[tuple[str, re.Pattern]]:
-    """(sign, pattern): the pattern is tried only on texts with the sign."""
-    return [(sign, re.compile(pattern, re.M)) for sign, pattern in rules]
+class Scanner:
+    """Streams the events of a markup language: (start, end, sign) of every mark, paired or damaged."""
 
+    def __init__(self, *rules: tuple[str, str]):
+        self.signs = [sign for sign, _ in rules]
+        self.rules = [(sign, re.compile(pattern, re.M)) for sign, pattern in rules]
+        self.pattern = re.compile("|".join(f"(?P<r{k}>{_unnamed(pattern)})" for k, (_, pattern) in enumerate(rules)), re.M)
 
-_WIKI = _rules(
+    def events(self, text: str) -> Iterator[tuple[int, int, str]]:
+        if any(sign in text for sign in self.signs):
+            for m in self.pattern.finditer(text):
+                yield m.start(), m.end(), self.signs[int(m.lastgroup[1:])]
+
+    def found(self, text: str) -> bool:
+        """Is there any event? Only the rules whose sign is in the text are tried."""
+        return any(sign in text and rule.search(text) for sign, rule in self.rules)
+
+    def __add__(self, other: Scanner) -> Scanner:
+        return Scanner(*((sign, rule.pattern) for sign, rule in self.rules + other.rules))
+
+
+def _unnamed(pattern: str) -> str:
+    """The pattern with its only group, the equals signs of a heading, named, so that it can stand beside others."""
+    return pattern.replace("(={2,6})", "(?P<eq>={2,6})").replace(r"\1", "(?P=eq)")
+
+
+WIKI = Scanner(
     ("''", r"''+(?=[^\s'])|\S''"),
     ("[[", r"\[\[(?=\S)"),
     ("]]", r"\S\]\]"),
@@ -59,12 +83,12 @@ _WIKI = _rules(
     ("#R", r"^#REDIRECT\b"),
     ("__", r"__(?:NO)?TOC__"),
 )
-_LATEX = _rules(
+LATEX = Scanner(
     ("\\", r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|(?<![A-Za-z])\\(?:" + COMMANDS.replace(" ", "|") + r"|begin|end)\b|\\[\[\]()]"),
     ("$$", r"\$\$\S"),
     ("$", _FORMULA),
 )
-_MARKDOWN = _rules(
+MARKDOWN = Scanner(
     ("`", r"^```|```|`[^`\s]|[^`\s]`"),
     ("~~", r"^~~~|~~\S"),
     ("*", r"(?<![\w*])\*{1,3}[^\s*]|[^\s*]\*{1,3}(?![\w*])|^[ \t]*\*[ \t]+\S"),
@@ -78,12 +102,8 @@ _MARKDOWN = _rules(
     ("---", r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|"),
     ("===", r"^[ \t]*={3,}[ \t]*$"),
 )
-_MARKDOWN_BLOCK = _rules(("# ", r"^#{1,3}[ \t]+(?!\d)\S"), ("- ", r"^[ \t]*-[ \t]+\S[^\n]*\n[ \t]*-[ \t]+\S"), ("> ", r"^>[ \t]+\S"))
-_MARKDOWN_RUN = _rules(("# ", r"^#[ \t]+(?!\d)\S"))
-
-
-def _any(rules: list[tuple[str, re.Pattern]], text: str) -> bool:
-    return any(sign in text and rule.search(text) for sign, rule in rules)
+MARKDOWN_BLOCK = MARKDOWN + Scanner(("# ", r"^#{1,3}[ \t]+(?!\d)\S"), ("- ", r"^[ \t]*-[ \t]+\S[^\n]*\n[ \t]*-[ \t]+\S"), ("> ", r"^>[ \t]+\S"))
+MARKDOWN_RUN = MARKDOWN + Scanner(("# ", r"^#[ \t]+(?!\d)\S"))
 
 
 class _Events(HTMLParser):
@@ -136,13 +156,13 @@ def families(text: str, run: bool) -> list[str]:
         if tags & WIKI_TAGS:
             out.append("wiki")
         text = _ANY_TAG.sub(" ", text)
-    if _any(_LATEX, text):
+    if LATEX.found(text):
         out.append("latex")
     if "$" in text or "\\" in text:
         text = _MATH.sub(" ", text)
-    if "wiki" not in out and _any(_WIKI, text):
+    if "wiki" not in out and WIKI.found(text):
         out.append("wiki")
-    if _any(_MARKDOWN + (_MARKDOWN_RUN if run else _MARKDOWN_BLOCK), text):
+    if (MARKDOWN_RUN if run else MARKDOWN_BLOCK).found(text):
         out.append("markdown")
     return out
 
@@ -162,6 +182,7 @@ class _Writer(HTMLParser):
         self.skip = 0
         self.lists: list[list] = []
         self.cells = 0
+        self.code = False
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIPPED:
@@ -171,6 +192,7 @@ class _Writer(HTMLParser):
             if tag[0] == "h" and tag[1:].isdigit():
                 self.out.append("#" * int(tag[1:]) + " ")
             if tag == "pre":
+                self.code = True
                 self.out.append("```\n")
             if tag in ("ul", "ol"):
                 self.lists.append([tag, 0])
@@ -206,74 +228,229 @@ class _Writer(HTMLParser):
             self.out.append(data)
 
 
-def _unwiki(text: str) -> str:
-    text = re.sub(r"\{\{[^{}]*(?:\}\}|$)", "", text)
-    text = re.sub(r"\[\[(?:File|Image|Category|Datei|Fichier|Archivo|Kategorie|Catégorie|Categoría):[^\[\]]*(?:\]\]|$)", "", text)
-    text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]", r"\1", text)
-    text = re.sub(r"\[\[(?=\S)|(?<=\S)\]\]", "", text)
-    text = re.sub(r"^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], text, flags=re.M)
+_FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)")
+_VERBATIM = re.compile(r"(?s)\\begin\{(verbatim|lstlisting)\*?\}(.*?)(?:\\end\{\1\*?\}|\Z)")
+_EQUATION = re.compile(r"(?s)\\begin\{(equation|align|gather|multline|eqnarray|math|displaymath)(\*?)\}.*?\\end\{\1\2\}")
+_HELD = re.compile("\x00(\\d+)\x00")
 
-    def rows(m: re.Match) -> str:
-        out: list[list[str]] = [[]]
-        for line in m[1].split("\n")[1:]:
-            if line.startswith("|-"):
-                out.append([])
-            elif line and line[0] in "|!":
-                out[-1] += [c.strip() for c in re.split(r"\|\||!!", line[1:])]
-        return "\n".join("| " + " | ".join(r) + " |" for r in out if r)
 
-    text = re.sub(r"(?ms)^(\{\|.*?)^\|\}", rows, text)
-    return re.sub(r"'{2,5}(?!')(?=\S)|(?<=[^\s'])'{2,5}", "", text)
+class Aside:
+    """Code and formulas, set aside before anything is rewritten and put back at the end."""
+
+    def __init__(self):
+        self.parts: list[str] = []
+
+    def hold(self, part: str) -> str:
+        self.parts.append(part)
+        return f"\x00{len(self.parts) - 1}\x00"
+
+    def take(self, text: str) -> str:
+        if "\x00" in text:
+            text = _HELD.sub(" ", text)
+        if "```" in text or "~~~" in text:
+            text = _FENCED.sub(lambda m: self.hold(m[0]), text)
+        if "\\" in text:
+            text = _VERBATIM.sub(lambda m: self.hold("```\n" + m[2].strip("\n") + "\n```"), text)
+            text = _EQUATION.sub(lambda m: self.hold(m[0]), text)
+        if "$" in text or "\\" in text:
+            text = _MATH.sub(lambda m: self.hold(m[0]), text)
+        return text
+
+    def take_code(self, text: str) -> str:
+        return _FENCED.sub(lambda m: self.hold(m[0]), text)
+
+    def put_back(self, text: str) -> str:
+        while _HELD.search(text):  # what was set aside later may hold what was set aside before
+            text = _HELD.sub(lambda m: self.parts[int(m[1])], text)
+        return text
+
+
+_WIKI_SIGN = re.compile(r"(?m)\{\{|\}\}|\[\[|\]\]|^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$|(?<!')'{2,5}(?!')(?=\S)|(?<=[^\s'])'{2,5}(?!')|^#REDIRECT[ \t]*|__(?:NO)?TOC__")
+# The spaces of pages that are no text.
+_MEDIA = re.compile(r"(?:File|Image|Category|Datei|Fichier|Archivo|Kategorie|Catégorie|Categoría):")
+
+
+def _unwiki(text: str) -> str:
+    """Templates go, links become their words, headings #, tables rows; what isn't closed loses only its sign."""
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    last = 0
+
+    def put(part: str) -> None:
+        stack[-1][1].append(part)
+
+    def close(sign: str) -> str | None:
+        """What stands since the sign was opened; signs inside that weren't closed are given up."""
+        if not any(s == sign for s, _ in stack):
+            return None
+        inside: list[str] = []
+        while True:
+            opened, parts = stack.pop()
+            inside = parts + inside
+            if opened == sign:
+                return "".join(inside)
+
+    for m in _WIKI_SIGN.finditer(text):
+        put(text[last : m.start()])
+        last = m.end()
+        if m[0] in ("{{", "[["):
+            stack.append((m[0], []))
+        elif m[0] == "}}":
+            close("{{")
+        elif m[0] == "]]":
+            inside = close("[[")
+            if inside is not None and not _MEDIA.match(inside):
+                put(inside.split("|", 1)[-1] if "\n" not in inside else inside)
+        elif m[1]:
+            put("#" * len(m[1]) + " " + m[2])
+    put(text[last:])
+    return _wiki_tables("".join(p for _, parts in stack for p in parts))
+
+
+def _wiki_tables(text: str) -> str:
+    if "|" not in text:
+        return text
+    out: list[str] = []
+    depth, row = 0, []
+
+    def end_row() -> None:
+        if row:
+            out.append("| " + " | ".join(row) + " |")
+            row.clear()
+
+    for line in text.split("\n"):
+        bare = line.strip()
+        if bare.startswith("{|"):
+            end_row()
+            depth += 1
+        elif bare.startswith("|}") :
+            end_row()
+            depth = max(0, depth - 1)
+        elif bare.startswith("|-"):
+            end_row()
+        elif depth and bare[:1] in ("|", "!") and bare:
+            row += [c.strip() for c in re.split(r"\|\||!!", bare[1:])]
+        elif depth and row and bare:
+            row[-1] += " " + bare
+        else:
+            end_row()
+            out.append(line)
+    end_row()
+    return "\n".join(out)
+
+
+_TEX_SIGN = re.compile(
+    r"\\(?P<end>begin|end)\{(?P<env>[^{}\n]*)\}(?:\[[^\]\n]*\])?(?:\{[lcrp|@{}.\d\\a-z]*\}(?=[ \t]*\n))?[ \t]*\n?|~?\\(?P<macro>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{|\\item\b[ \t]*(?:\[(?P<term>[^\]\n]*)\][ \t]*)?"
+    r"|(?<![A-Za-z\\])\\(?P<bare>" + COMMANDS.replace(" ", "|") + r")\b[ \t]*|\\(?P<sign>[%&_#${}])|[{}]|\n[ \t]*\n|\n"
+)
+_HEADINGS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "title": 1}
+_POINTERS = ("cite", "ref", "label", "pageref", "eqref", "index", "vspace", "hspace", "usepackage", "documentclass", "includegraphics", "bibliography", "bibliographystyle", "pagestyle", "setlength")
+# Signs that commands stand for.
+_SIGNS = {"ldots": "…", "dots": "…", "LaTeX": "LaTeX", "TeX": "TeX", "newline": "\n", "quad": " ", "qquad": " ", "times": "×", "pm": "±", "cdot": "·", "leq": "≤", "geq": "≥", "neq": "≠", "approx": "≈", "infty": "∞"}
 
 
 def _unlatex(text: str) -> str:
-    held: list[str] = []
+    """Macros become their text, sections #, items -, tables rows; formulas and code were set aside before."""
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    tables, last = 0, 0
+
+    def put(part: str) -> None:
+        stack[-1][1].append(part)
+
+    def close() -> None:
+        macro, parts = stack.pop()
+        inside = "".join(parts)
+        if macro in _HEADINGS:
+            put("#" * _HEADINGS[macro] + " " + inside)
+        elif macro == "footnote":
+            put(f" ({inside})")
+        elif not macro.startswith(_POINTERS):
+            put(inside)
+
+    for m in _TEX_SIGN.finditer(text):
+        put(text[last : m.start()])
+        last = m.end()
+        sign = m[0]
+        if m["end"]:
+            if m["env"].rstrip("*") in ("tabular", "tabularx", "longtable", "array"):
+                tables += 1 if m["end"] == "begin" else -1
+                put("\x01" if m["end"] == "begin" else "\x02")
+        elif m["macro"]:
+            stack.append((m["macro"], []))
+        elif sign.startswith("\\item"):
+            put("- " + (f"{m['term']}: " if m["term"] else ""))
+        elif m["bare"]:
+            put(_SIGNS.get(m["bare"], m[0] if m["bare"][0].islower() and m["bare"] not in ("hline", "maketitle", "newpage", "noindent", "par", "centering", "tableofcontents") else ""))
+        elif m["sign"]:
+            put(m["sign"])
+        elif sign == "{":
+            stack.append(("{", [])) if len(stack) > 1 else put(sign)
+        elif sign == "}":
+            close() if len(stack) > 1 else put(sign)
+        else:  # a heading that isn't closed ends with its line, everything else with its paragraph
+            while len(stack) > 1 and (sign.count("\n") > 1 or stack[-1][0] in _HEADINGS):
+                close()
+            put(sign)
+    put(text[last:])
+    while len(stack) > 1:
+        close()
+    return _tex_tables("".join(stack[0][1]))
+
+
+def _tex_tables(text: str) -> str:
+    """Rows of the tables that stand between the two marks."""
+
+    def rows(m: re.Match) -> str:
+        cut = [[c.strip() for c in r.split("&")] for r in re.split(r"\\\\(?:\[[^\]\n]*\])?", m[1]) if r.strip()]
+        return "".join("| " + " | ".join(r) + " |\n" for r in cut)
 
-    def hold(m: re.Match) -> str:
-        held.append(m[0])
-        return f"\x00{len(held) - 1}\x00"
+    return re.sub("\x01([^\x01\x02]*)\x02", rows, text).replace("\x01", "").replace("\x02", "") if "\x01" in text or "\x02" in text else text
 
-    text = _MATH.sub(hold, text)
-    text = re.sub(r"\\((?:sub)*)section\*?\{([^{}\n]*)\}?", lambda m: "#" * (2 + len(m[1]) // 3) + " " + m[2], text)
-    text = re.sub(r"\\begin\{(?:verbatim|lstlisting)\}|\\end\{(?:verbatim|lstlisting)\}", "```", text)
-    text = re.sub(r"\\(?:begin|end)\{[a-z*]+\}[ \t]*\n?", "", text)
-    text = re.sub(r"\\item\b[ \t]*", "- ", text)
-    text = re.sub(r"~?\\(?:cite|ref|label|pageref|eqref)[a-z]*\{[^{}\n]*\}?", "", text)
-    text = re.sub(r"\\footnote\{([^{}]*)\}?", r" (\1)", text)
-    for _ in range(3):
-        text = re.sub(r"\\[A-Za-z]+\*?\{([^{}\n]*)\}?", r"\1", text)
-    return re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], text)
+
+_MD = [
+    (re.compile(r"`([^`\n]+)`?"), r"\1"),
+    (re.compile(r"!?\[([^\[\]\n]*)\]\([^()\n]*\)?"), r"\1"),
+    (re.compile(r"(?m)^(#{1,6}[ \t]+.*?)[ \t]+#+[ \t]*$"), r"\1"),
+    (re.compile(r"(?m)^([^\n]+)\n[ \t]*={3,}[ \t]*$"), r"# \1"),
+    (re.compile(r"(?m)^([ \t]*)[*+-][ \t]+(?:\[[ xX]\][ \t]+)?"), r"\1- "),
+    (re.compile(r"(?<![\w*])\*{1,3}(?=[^\s*])|(?<=[^\s*])\*{1,3}(?![\w*])|(?<![\w_])_{1,3}(?=[^\W_])|(?<=[^\W_])_{1,3}(?!\w)|~~"), ""),
+    (re.compile(r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*\n?"), ""),
+]
 
 
 def _unmarkdown(text: str) -> str:
-    held: list[str] = []
+    for pattern, to in _MD:
+        text = pattern.sub(to, text)
+    return text
 
-    def hold(m: re.Match) -> str:
-        held.append(m[0])
-        return f"\x00{len(held) - 1}\x00"
 
-    text = re.sub(r"(?ms)^(```|~~~).*?(?:^\1[ \t]*$|\Z)", hold, text)
-    text = _MATH.sub(hold, text)
-    text = re.sub(r"`([^`\n]+)`?", r"\1", text)
-    text = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\n]*\)?", r"\1", text)
-    text = re.sub(r"^(#{1,6}[ \t]+.*?)[ \t]+#+[ \t]*$", r"\1", text, flags=re.M)
-    text = re.sub(r"^([^\n]+)\n[ \t]*={3,}[ \t]*$", r"# \1", text, flags=re.M)
-    text = re.sub(r"^([ \t]*)[*+-][ \t]+(?:\[[ xX]\][ \t]+)?", r"\1- ", text, flags=re.M)
-    text = re.sub(r"(?<![\w*])\*{1,3}(?=[^\s*])|(?<=[^\s*])\*{1,3}(?![\w*])|(?<![\w_])_{1,3}(?=[^\W_])|(?<=[^\W_])_{1,3}(?!\w)|~~", "", text)
-    text = re.sub(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*\n?", "", text, flags=re.M)
-    return re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], text)
+_STRUCTURE = re.compile(r"<(?:h[1-6]|li|t[dhr]|table|pre|code|ul|ol|blockquote)\b|^\s*(?:#|\||!|\{\||[-*+]\s|\d+\.\s|={2,6}[^=]|>|```|\$|\\)|\x00", re.I)
 
 
-_STRUCTURE = re.compile(r"<(?:h[1-6]|li|t[dhr]|table|pre|code|ul|ol|blockquote)\b|^\s*(?:#|\||[-*]\s|```|\$|\\)", re.I)
+def _marks(text: str, found: list[str], run: bool) -> list[tuple[int, int]]:
+    """Places of the marks of the languages that a text holds."""
+    out = [m.span() for m in _ANY_TAG.finditer(text)] if "html" in found else []
+    scanners = {"wiki": WIKI, "latex": LATEX, "markdown": MARKDOWN_RUN if run else MARKDOWN_BLOCK}
+    for family in found:
+        if family in scanners:
+            out += [(a, b) for a, b, _ in scanners[family].events(text)]
+    return sorted(out)
 
 
-def content_lines(text: str, *, sigma: float = 1.0) -> list[bool]:
-    """Which lines belong to the content, by smoothed text-to-tag ratio; a line without tags always does."""
+def content_lines(text: str, marks: list[tuple[int, int]] | None = None, *, sigma: float = 1.0) -> list[bool]:
+    """Which lines belong to the content, by smoothed text-to-tag ratio; a line without marks always does."""
     lines = text.split("\n")
-    tags = [len(_ANY_TAG.findall(x)) for x in lines]
+    marks = [m.span() for m in _ANY_TAG.finditer(text)] if marks is None else marks
+    starts = [0]
+    for x in lines[:-1]:
+        starts.append(starts[-1] + len(x) + 1)
+    tags, marked = [0] * len(lines), [0] * len(lines)
+    for a, b in marks:
+        k = bisect.bisect_right(starts, a) - 1
+        tags[k] += 1
+        marked[k] += min(b, starts[k] + len(lines[k])) - a
     if not any(tags):
         return [True] * len(lines)
-    ratio = [len(_ANY_TAG.sub("", x).strip()) / max(1, n) for x, n in zip(lines, tags)]
+    ratio = [max(0, len(x.strip()) - out) / max(1, n) for x, n, out in zip(lines, tags, marked)]
     reach = math.ceil(3 * sigma)
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     smooth = []
@@ -290,53 +467,73 @@ def content_lines(text: str, *, sigma: float = 1.0) -> list[bool]:
             break
         low, high = sum(a) / len(a), sum(b) / len(b)
     threshold = min(threshold, (low + high) / 2)
-    return [not n or s >= threshold or bool(_STRUCTURE.search(x)) for x, n, s in zip(lines, tags, smooth)]
+    return [not n or s >= threshold or r >= threshold or bool(_STRUCTURE.search(x)) for x, n, s, r in zip(lines, tags, smooth, ratio)]
 
 
-def clean_text(text: str, run: bool) -> str:
-    """The text without markup; headings as #, list items as -, tables as | rows, code fenced, formulas as they are."""
-    found = families(text, run)
+def clean_text(text: str, run: bool, found: list[str] | None = None) -> str:
+    """The text without markup; headings as #, list items as -, tables as | rows, code fenced, formulas as they are. A text
+    without any markup stays as it is."""
+    found = families(text, run) if found is None else found
+    if not found:
+        return text
     front = _FRONT.match(text) if run else None
     head, text = (front[0], text[front.end() :]) if front else ("", text)
+    aside = Aside()
+    text = aside.take(text)
+    keep = content_lines(text, _marks(text, found, run))
+    if not all(keep):
+        text = "\n".join(x for x, k in zip(text.split("\n"), keep) if k)
     if "html" in found:
-        keep = content_lines(text)
-        if not all(keep):
-            text = "\n".join(x for x, k in zip(text.split("\n"), keep) if k)
         text = re.sub(r"<[A-Za-z/][^<>\n]*(?=\n|$|<)", "", text)  # tags cut off before their end
         writer = _Writer()
         writer.feed(re.sub(r"<(?![A-Za-z/!])", "&lt;", text))
         writer.close()
-        text = re.sub(r"\n{3,}", "\n\n", "".join(writer.out)).strip("\n")
+        text = aside.take_code("".join(writer.out)) if writer.code else "".join(writer.out)
+        text = re.sub(r"\n{3,}", "\n\n", text).strip("\n")
     if "wiki" in found:
         text = _unwiki(text)
     if "latex" in found:
         text = _unlatex(text)
     if "markdown" in found:
         text = _unmarkdown(text)
-    return head + text
+    return head + aside.put_back(text)
 
 
 #: Signs without which no construct of any family can be there, those of every rule among them; a text without them never
 #: leaves the JVM.
-SIGNS = "|".join([r"<[A-Za-z/!]", r"&[#A-Za-z]", *sorted({re.escape(sign) for sign, _ in _WIKI + _LATEX + _MARKDOWN + _MARKDOWN_BLOCK + _MARKDOWN_RUN})])
+SIGNS = "|".join([r"<[A-Za-z/!]", r"&[#A-Za-z]", *sorted({re.escape(sign) for sign in WIKI.signs + LATEX.signs + MARKDOWN_BLOCK.signs + MARKDOWN_RUN.signs})])
 
 
-def residue(df: DataFrame, *, clean: bool = False) -> DataFrame:
-    """(tab, row_id, families[, clean]) of the rows of df (tab, row_id, text) that hold markup.
+def residue(df: DataFrame) -> DataFrame:
+    """(tab, row_id, families) of the rows of df (tab, row_id, text) that hold markup.
 
     The project's own forms are left alone where tab is ``ingest_results``. Null, empty and blank texts hold none;
     repeated rows come out as often as they came in. Map-only.
     """
     kind = df.schema["row_id"].dataType.simpleString()
-    schema = f"tab string, row_id {kind}, families array<string>" + (", clean string" if clean else "")
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(rows):
+            out = [(tab, row, found) for tab, row, text in pdf.itertuples(index=False) if (found := families(text, tab == "ingest_results"))]
+            yield pd.DataFrame(out, columns=["tab", "row_id", "families"])
+
+    return df.select("tab", "row_id", "text").filter(F.col("text").rlike(SIGNS)).mapInPandas(run, f"tab string, row_id {kind}, families array<string>")
+
+
+def cleaned(df: DataFrame) -> DataFrame:
+    """(tab, row_id, families, clean) of every row of df (tab, row_id, text): the text without markup, and of which languages
+    there was any. A text without markup comes out as it is, without leaving the JVM; null stays null. Map-only."""
+    kind = df.schema["row_id"].dataType.simpleString()
+    signed = F.coalesce(F.col("text").rlike(SIGNS), F.lit(False))
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(rows, rows=100):
             out = []
             for tab, row, text in pdf.itertuples(index=False):
-                if found := families(text, tab == "ingest_results"):
-                    out.append((tab, row, found, clean_text(text, tab == "ingest_results")) if clean else (tab, row, found))
-            yield pd.DataFrame(out, columns=["tab", "row_id", "families", "clean"][: 3 + clean])
+                found = families(text, tab == "ingest_results")
+                out.append((tab, row, found, clean_text(text, tab == "ingest_results", found)))
+            yield pd.DataFrame(out, columns=["tab", "row_id", "families", "clean"])
 
-    signed = df.select("tab", "row_id", "text").filter(F.col("text").rlike(SIGNS))
-    return signed.mapInPandas(run, schema)
+    df = df.select("tab", "row_id", "text")
+    plain = df.filter(~signed).select("tab", "row_id", F.array().cast("array<string>").alias("families"), F.col("text").alias("clean"))
+    return plain.unionByName(df.filter(signed).mapInPandas(run, f"tab string, row_id {kind}, families array<string>, clean string"))

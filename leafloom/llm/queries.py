@@ -17,9 +17,11 @@ BLOCK_LIMIT, BLOCK_OVERLAP, RUN_LIMIT, RUN_OVERLAP = 2000, 200, 6000, 300
 # ---- problem 1 -------------------------------------------------------------------------------------------------------
 
 
-def _marked_texts(spark: SparkSession, d: str) -> DataFrame:
-    blocks = tagged(spread(table(spark, d, "blocks").select("block_id", "text")), "blocks", "block_id", "text")
-    return blocks.unionByName(tagged(spread(table(spark, d, "ingest_results").select("result_id", "markdown")), "ingest_results", "result_id", "markdown"))
+def _marked_texts(spark: SparkSession, d: str, *, nulls: bool = False) -> DataFrame:
+    blocks = spread(table(spark, d, "blocks").select(F.lit("blocks").alias("tab"), F.col("block_id").alias("row_id"), "text"))
+    runs = spread(table(spark, d, "ingest_results").select(F.lit("ingest_results").alias("tab"), F.col("result_id").alias("row_id"), F.col("markdown").alias("text")))
+    texts = blocks.unionByName(runs)
+    return texts if nulls else texts.filter(F.col("text").isNotNull())
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +29,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.residue(_marked_texts(spark, d).dropDuplicates(["tab", "row_id"]), clean=True)
+    """Every text of both fields, null ones too, row by row."""
+    return markup.cleaned(_marked_texts(spark, d, nulls=True))
 
 
 # ---- problem 2 -------------------------------------------------------------------------------------------------------

@@ -52,7 +52,9 @@ def test_markup(spark):
     rows = [*TEXTS, (7, "<b>bold"), (8, "a '''b''' c"), (9, "\\emph{x"), (10, "see **x** and `y`"), (11, "5 < 6 and 7 * 8 costs $3.10 and $4.20 in log_1_final.txt # 5 [inaudible] AT&T")]
     got = {r.row_id: r.families for r in markup.residue(texts(spark, rows)).collect()}
     assert got == {7: ["html"], 8: ["wiki"], 9: ["latex"], 10: ["markdown"]}
-    assert markup.residue(texts(spark).limit(0), clean=True).count() == 0
+    assert markup.cleaned(texts(spark).limit(0)).count() == 0
+    every = markup.cleaned(texts(spark, rows)).collect()
+    assert len(every) == len(rows) and {r.row_id: r.clean for r in every if r.row_id in (1, 2, 5, 7, 8)} == {1: None, 2: "", 5: LONG, 7: "bold", 8: "a b c"}
 
 
 def test_markup_prefilter_passes_every_rule(spark):
@@ -299,3 +301,32 @@ def test_pieces_keep_code_tables_and_lists_whole():
         for block in (code, table, formula):
             at = text.index(block)
             assert not at < end < at + len(block)
+
+
+def test_markup_probes():
+    code = "```\n[[1,2],[3,4]] and ''x''\nprint('<b>') # \\emph{y} **z**\n```"
+    assert code in markup.clean_text(f"See **this** and <i>that</i> and [[a|b]].\n\n{code}\n\nEnd.", False)
+    assert markup.clean_text("\\a{\\b{\\c{\\d{\\e{deep}}}}} x", False) == "deep x"
+    assert markup.clean_text("A {{a|{{b|{{c|d}}}}}} b [[x|the [[y|inner]] link]] c", False) == "A  b the inner link c"
+    formula = "$" + " + ".join(f"a_{{{k}}}" for k in range(200)) + "$"
+    assert markup.clean_text(f"So {formula} holds, \\emph{{as said}}.", False) == f"So {formula} holds, as said."
+    table = "\\begin{tabular}{lr}\nA & B \\\\\n\\hline\n1 & 2 \\\\\n\\end{tabular}\n"
+    assert "| A | B |\n| 1 | 2 |" in markup.clean_text("\\section{T}\n" + table, False)
+    assert markup.clean_text("\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}", False).split("\n")[:2] == ["- one", "- two"]
+    assert "x < 1 [[y]]" in markup.clean_text("<p>See [[a]]</p><pre>x &lt; 1 [[y]]</pre>", False)
+
+
+def test_bars_of_links_go_in_every_language():
+    prose = "\n".join("A long line of ordinary running text with ''one'' mark in it, and more words after it." for _ in range(8))
+    bar = "[[A]] [[B]] [[C]] [[D]]\n[[E]] [[F]] [[G]]\n[[H]] [[I]]\n"
+    out = markup.clean_text(bar + prose, False)
+    assert not out.startswith("A B") and out.count("ordinary") == 8
+
+
+def test_long_markup_is_linear():
+    import time
+
+    for t in ("{{a|" * 50_000, "\\emph{" * 50_000, "[[a|" * 50_000, "<b>" * 50_000, "$x " * 50_000, "'' " * 50_000, "| a\n" * 50_000):
+        start = time.time()
+        markup.clean_text(t, False)
+        assert time.time() - start < 20
