@@ -228,7 +228,7 @@ class _Writer(HTMLParser):
             self.out.append(data)
 
 
-_FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)")
+_FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1|\Z)")
 _VERBATIM = re.compile(r"(?s)\\begin\{(verbatim|lstlisting)\*?\}(.*?)(?:\\end\{\1\*?\}|\Z)")
 _EQUATION = re.compile(r"(?s)\\begin\{(equation|align|gather|multline|eqnarray|math|displaymath)(\*?)\}.*?\\end\{\1\2\}")
 _HELD = re.compile("\x00(\\d+)\x00")
@@ -265,7 +265,7 @@ class Aside:
         return text
 
 
-_WIKI_SIGN = re.compile(r"(?m)\{\{|\}\}|\[\[|\]\]|^(={2,6})[ \t]*(.+?)[ \t]*\1[ \t]*$|(?<!')'{2,5}(?!')(?=\S)|(?<=[^\s'])'{2,5}(?!')|^#REDIRECT[ \t]*|__(?:NO)?TOC__")
+_WIKI_SIGN = re.compile(r"(?m)\{\{|\}\}|\[\[|\]\]|^(={2,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*$|(?<!')'{2,5}(?!')(?=\S)|(?<=[^\s'])'{2,5}(?!')|^#REDIRECT[ \t]*|__(?:NO)?TOC__")
 # The spaces of pages that are no text.
 _MEDIA = re.compile(r"(?:File|Image|Category|Datei|Fichier|Archivo|Kategorie|Catégorie|Categoría):")
 
@@ -423,7 +423,7 @@ def _unmarkdown(text: str) -> str:
     return text
 
 
-_STRUCTURE = re.compile(r"<(?:h[1-6]|li|t[dhr]|table|pre|code|ul|ol|blockquote)\b|^\s*(?:#|\||!|\{\||[-*+]\s|\d+\.\s|={2,6}[^=]|>|```|\$|\\)|\x00", re.I)
+_STRUCTURE = re.compile(r"<(?:h[1-6]|li|t[dhr]|table|pre|code|ul|ol|blockquote)\b|^\s*(?:#|\||!|\{\||[-*+]\s|\d+\.\s|={2,6}[^=]|[=-]{3,}\s*$|>|```|\$|\\)|\x00", re.I)
 
 
 def _marks(text: str, found: list[str], run: bool) -> list[tuple[int, int]]:

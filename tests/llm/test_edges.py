@@ -313,6 +313,7 @@ def test_markup_probes():
     table = "\\begin{tabular}{lr}\nA & B \\\\\n\\hline\n1 & 2 \\\\\n\\end{tabular}\n"
     assert "| A | B |\n| 1 | 2 |" in markup.clean_text("\\section{T}\n" + table, False)
     assert markup.clean_text("\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}", False).split("\n")[:2] == ["- one", "- two"]
+    assert markup.clean_text("Of the harbour\n=====\n\nIt was *shut*.\n```\na[7] = 1\n``` [[Category:X]]", False) == "# Of the harbour\n\nIt was shut.\n```\na[7] = 1\n``` "
     assert "x < 1 [[y]]" in markup.clean_text("<p>See [[a]]</p><pre>x &lt; 1 [[y]]</pre>", False)
 
 
