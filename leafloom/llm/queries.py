@@ -46,7 +46,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentences(_quoted(spark, d).dropDuplicates(["tab", "row_id"]))
+    """The sentences of every quote and of every block, row by row."""
+    blocks = tagged(spread(table(spark, d, "blocks").select("block_id", "text")), "blocks", "block_id", "text")
+    return sentences.sentences(tagged(table(spark, d, "share_quotes"), "share_quotes", "quote_id", "quote_text").unionByName(blocks))
 
 
 # ---- problem 3 -------------------------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Problem 2: sentence boundaries in many languages and scripts, by a pushdown automaton.
 
-The automaton reads the signs of a text once. Its stack holds the open quotations and brackets; list levels and blank
-lines empty it. At an end mark it asks a trie of abbreviations, read backwards, whether the full stop belongs to a word;
+The automaton reads the signs of a text once. Its stack holds the open quotations and brackets and the levels of lists: a
+new item pops what the items at its level and below left open, a blank line empties the stack. At an end mark it asks a trie of abbreviations, read backwards, whether the full stop belongs to a word;
 then the closing marks are popped and what follows decides. Inside a quotation no sentence ends if a reporting clause
 stands before or after it. Offsets count code points.
 """
@@ -20,27 +20,34 @@ from pyspark.sql import functions as F
 from .common import slices
 
 # Abbreviations that never end a sentence before a name or number.
-TITLES = "dr mr ms mrs prof capt col gen lt sgt rev hon st sr sra srta dra d dña hr fr frl m mm mlle me pr v vs cf approx ca rd gem bzw vgl ggf inkl env bros messrs डॉ श्री प्रो د أ".split()
+TITLES = "dr mr ms mrs prof capt col gen lt sgt rev hon st sr sra srta dra d dña hr fr frl m mm mlle me pr v vs cf approx ca rd gem bzw vgl ggf inkl env bros messrs dott sig ing avv arch geom on prof.ssa arq exmo exma ilmo dhr mevr mw ds fa drs hr ds fru kand inż mgr ks pl os ул г пр пер д кв корп стр им т.е т.к т.д см ср гр тов акад доц проф гл св вул пл бул κ κα δρ हॉ डॉ श्री प्रो د أ".split()
 # Abbreviations that do not end a sentence before a number.
 BEFORE_NUMBER = "no nos nr num núm n p pp pg pág págs vol vols sec sect fig figs art arts ch cap para par ex exh bd kap abs s z ziff tab tbl jan feb febr mar apr jun jul aug sep sept oct nov dec ene abr ago dic janv févr avr juil déc okt dez ص رقم".split()
 # Abbreviations of several parts, which do not end a sentence unless a capital letter follows a real end.
-INNER = "i.e e.g d.h z.b u.a u.s.w o.ä v.a p.ej p.ex c.-à-d a.k.a".split()
+INNER = "i.e e.g d.h z.b u.a u.s.w o.ä v.a p.ej p.ex c.-à-d a.k.a t.ex t.o.m bl.a f.eks o.a d.w.z m.a.w n.b p.es т.е т.к и.о".split()
+# Words after a reporting verb that give it an object of its own, so that it reports something else.
+OBJECTS = set("that whether if how why dass daß ob wie que si comment pourquoi cómo".split())
 # Words of a clause that reports speech.
 REPORTING = set(
     "asked said replied answered wrote insisted added told testified noted shouted cried remarked stated declared called came recalled explained "
     "fragte sagte antwortete erklärte notierte schrieb rief meinte demanda dit répondit déclara nota écrivit demandé déclaré répondu "
     "preguntó dijo respondió declaró anotó escribió añadió contestó".split()
 )
-_CJK_REPORT = re.compile(r"^[^。！？!?“「\n]{0,24}?(?:问|說|说|道|称|答|表示|写道|喊|叫)[^。！？!?“「\n]{0,8}[。！？!?]")
+_CJK_REPORT = re.compile(r"\s*[^。！？!?“「\n]*?(?:问|說|说|道|称|答|表示|写道|喊|叫)[^。！？!?“「，\n]*[。！？!?]")
+#: A reporting verb is looked for up to so many words into a clause; names don't count.
+SUBJECT_WORDS = 5
 _GERMAN_MONTH = re.compile(r"\s+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
 
 OPENERS = {"“": "”\"", "„": "“”\"", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "{": "}"}
 QUOTES = set("“„«‹「『\"")
-_SIGN = re.compile(r"[“”„«»‹›「」『』\"()\[\]（）{}]|\n[ \t ]*\n\s*|\n")
-_END = re.compile(r"[.!?…。！？؟।॥]+")
+# Signs that end a sentence in scripts without letter case, or at any place in a line.
+TERMINATORS = "。！？｡．؟۔।॥։።፧፨။។៕།༎᠃᠉܀܁܂꘎꘏꛳꛷᱾᱿᭞᭟꧈꧉‼⁇⁈⁉"
+_LEVEL = r"\n[ \t]*(?:[-*•‣▪–][ \t]+|\(?\d{1,3}[.)][ \t]+|\(?[a-z]\)[ \t]+)"
+_SIGN = re.compile(r"[“”„«»‹›「」『』\"()\[\]（）{}]|\n[ \t ]*\n\s*|(?=" + _LEVEL + r")\n[ \t]*|\n")
+_END = re.compile(f"[.!?…{TERMINATORS}]+")
 _THAI_GAP = re.compile(r"(?<=[฀-๿”\"»])[  \n]+(?=[฀-๿A-Z“\"«(])")
-_LIST = re.compile(r"\n[ \t]*(?:[-*•‣▪–][ \t]+|\(?\d{1,3}[.)][ \t]+|\(?[a-z]\)[ \t]+)")
-_CASELESS_END = set("。！？؟।॥")
+_LIST = re.compile(_LEVEL)
+_CASELESS_END = set(TERMINATORS) - set("．")
 #: Leftovers of markup that may stand before the first word of a sentence.
 _MARKUP = re.compile(r"(?:[*_`']{1,3}|</?[a-z]\w*[^<>\n]*>|\[\[(?:[^\[\]|\n]*\|)?|\\[a-z]+\{)+")
 
@@ -68,21 +75,37 @@ def _ends_with(trie: dict, text: str, stop: int) -> int:
     return -1
 
 
+def _begins_item(text: str, at: int) -> bool:
+    """Does the line break at ``at`` begin a new list item? The line before it must have come to an end, or be an item."""
+    line = text.rfind("\n", 0, at) + 1
+    return text[line:at].rstrip()[-1:] in tuple(".!?:;。") or bool(_LIST.match("\n" + text[line:at] + "\n"))
+
+
 def matched(text: str) -> tuple[dict[int, int], dict[int, int]]:
-    """(closing place by opening place, and the reverse) of quotations and brackets; a blank line ends all open ones."""
-    stack: list[tuple[int, str]] = []
+    """(closing place by opening place, and the reverse) of quotations and brackets. A new list item ends what the items at
+    its level or below it left open, a blank line ends all."""
+    stack: list[tuple[int, str, int]] = []  # place, closing signs, level of a list item or -1
     close_of: dict[int, int] = {}
     waiting: Counter = Counter()  # how many open signs each closing sign would close
     for m in _SIGN.finditer(text):
         c, i = m[0], m.start()
         if c[0] == "\n":
-            if len(c) > 1 and "\n" in c[1:]:
+            if "\n" in c[1:]:
                 stack.clear()
                 waiting.clear()
+            elif _LIST.match(text, i) and _begins_item(text, i):
+                level = len(c) - 1
+                if any(x[2] >= 0 for x in stack):
+                    while stack and not -1 < stack[-1][2] < level:
+                        waiting.subtract(stack.pop()[1])
+                elif text[i - 1 : i] != ":":  # the first item of a list closes the line before, unless that leads to it
+                    stack.clear()
+                    waiting.clear()
+                stack.append((i, "", level))
             continue
         if waiting[c] > 0:
             while True:
-                at, closers = stack.pop()
+                at, closers, _ = stack.pop()
                 waiting.subtract(closers)
                 if c in closers:
                     close_of[at] = i
@@ -90,32 +113,49 @@ def matched(text: str) -> tuple[dict[int, int], dict[int, int]]:
         else:
             if c == '"':
                 if i + 1 < len(text) and not text[i + 1].isspace():
-                    stack.append((i, '"'))
+                    stack.append((i, '"', -1))
                     waiting['"'] += 1
             elif c in OPENERS:
-                stack.append((i, OPENERS[c]))
+                stack.append((i, OPENERS[c], -1))
                 waiting.update(OPENERS[c])
     return close_of, {b: a for a, b in close_of.items()}
 
 
+_CLAUSE_SIGN = re.compile(r"[^\W\d_]+|[.!?;\n]")
+
+
 def _reported_after(text: str, close: int) -> bool:
     """Does a clause that reports speech follow the quotation that closes here?"""
-    rest = text[close + 1 : close + 120]
-    lead = rest.lstrip("  \t\n")
-    if not lead:
+    at = close + 1
+    while at < len(text) and text[at] in "  \t\n":
+        at += 1
+    if at == len(text):
         return False
-    if lead[0] in ",;:、，—–-" or lead[0].islower():
+    lead = text[at]
+    if lead in ",;:、，—–-" or lead.islower():
         return True
-    if "぀" <= lead[0] <= "ヿ":
-        return lead[0] in "とっ"
-    if "一" <= lead[0] <= "鿿":
-        return bool(_CJK_REPORT.match(lead))
-    words = re.findall(r"[^\W\d_]+|[.!?;]", lead)[:5]
-    for w in words:
+    if "぀" <= lead <= "ヿ":
+        return lead in "とっ"
+    if "一" <= lead <= "鿿":
+        return bool(_CJK_REPORT.match(text, at))
+    counted = 0
+    for m in _CLAUSE_SIGN.finditer(text, at):
+        w = m[0]
+        if w == "\n":
+            continue
         if w in ".!?;":
+            nxt = m.end()
+            while nxt < len(text) and text[nxt].isspace():
+                nxt += 1
+            if w == "." and nxt < len(text) and not _stop_is_end(text, m.start(), nxt):
+                continue
             return False
         if w in REPORTING:
-            return True
+            after = _CLAUSE_SIGN.search(text, m.end())
+            return after is None or after[0] not in OBJECTS
+        counted += m.start() == at or not w[0].isupper()
+        if counted >= SUBJECT_WORDS:
+            return False
     return False
 
 
@@ -147,10 +187,7 @@ def boundaries(text: str) -> list[int]:
     cuts: set[int] = set()
     breaks = [m.start() for m in re.finditer(r"\n[ \t ]*\n", text)]
     cuts.update(breaks)
-    for m in _LIST.finditer(text):
-        line = text.rfind("\n", 0, m.start()) + 1
-        if text[line : m.start()].rstrip()[-1:] in ".!?:;。" or _LIST.match("\n" + text[line : m.start()] + "\n"):
-            cuts.add(m.start())
+    cuts.update(m.start() for m in _LIST.finditer(text) if _begins_item(text, m.start()))
     opened = _Stack(sorted(close_of.items())).around
 
     if any("฀" <= c <= "๿" for c in text):

@@ -100,6 +100,17 @@ def test_every_sentence_split_is_known():
         "“谁批准了锅炉房？”委员会问道。没有人知道！": 2,
         "ใครเป็นผู้สั่งปิดประตูน้ำ เสมียนเวรตอบว่า“ผมไม่ได้ลงชื่อ” ในปี 1992 ตรวจสอบ 864 ฉบับ": 3,
         "किसी को पता नहीं था! डॉ. Corthestad ने 26.77 मीटर मापा।": 2,
+        "پل بند تھا۔ کسی نے دستخط نہیں کیے۔": 2,
+        "Դուռը փակ էր։ Ոչ ոք չգիտեր։": 2,
+        "በሩ ተዘግቶ ነበር። ማንም አያውቅም።": 2,
+        "တံခါးပိတ်ထားသည်။ ဘယ်သူမှမသိပါ။": 2,
+        "ទ្វារបិទ។ គ្មាននរណាដឹងទេ។": 2,
+        "སྒོ་བརྒྱབ། སུས་ཀྱང་མི་ཤེས།": 2,
+        "Он жил на ул. Ленина в доме 5. Никто не знал.": 2,
+        "“I never saw it.” F. M. Jarragrave testified that the figure was wrong.": 2,
+        "“Who signed it?” the deputy records clerk of the Vantelgarth Harbour and Ullenford Valley District Council of Assessors and Auditors in the Matter of the Lower Gate asked.": 1,
+        "“It was shut.” Dr. Ulvador of the Torligrave Boiler Works Company said so. Nobody knew.": 2,
+        "He named two:\n- “the gate\n- the lock. It was shut.": 4,
         "قال أمين المحفوظات: «لم أوقع.» لا أحد يعلم!": 2,
     }
     for text, n in cases.items():
