@@ -123,11 +123,12 @@ def test_leaks(spark):
     words = passage.split()
     rows = [(1, None), (2, ""), (3, " ".join(words[5:20])), (4, " ".join(words[5:19])), (5, "W5, " + " ".join(words[6:12]) + " xx " + " ".join(words[13:20])), (6, " ".join(["a", *words[0:8], "q", *words[9:13], "r", *words[14:15]])), (7, "filler " * 9000 + " ".join(words[10:30])), (8, " ".join(words[:10]) + "-\n" + " ".join(words[10:20]))]
     items = spark.createDataFrame([(1, passage), (2, None), (3, "too short"), (4, passage)], "item_id long, passage string").withColumn("doc_id", F.lit(0))
-    got = {tuple(r) for r in leaks.leaks(docs(spark, rows), items).collect()}
+    leaked = lambda d, i, **kw: {(r.doc_id, r.item_id) for r in leaks.leaks(d, i, **kw).collect()}
+    got = leaked(docs(spark, rows), items)
     assert got == {(d, i) for d in (3, 5, 7, 8) for i in (1, 4)}
     assert leaks.leaks(docs(spark, rows), items.limit(0)).count() == 0
     assert leaks.leaks(docs(spark, rows).limit(0), items).count() == 0
-    assert {tuple(r) for r in leaks.leaks(docs(spark, rows), items, block=1).collect()} == got
+    assert leaked(docs(spark, rows), items, max_items=1) == got
 
 
 def test_stuffing(spark):
@@ -331,3 +332,18 @@ def test_long_markup_is_linear():
         start = time.time()
         markup.clean_text(t, False)
         assert time.time() - start < 20
+
+
+def test_hyphens_are_decided_one_by_one(spark):
+    passage = "the chief engineering works of the well known gate were shut in may by order of the harbour trust and its clerk"
+    text = "The chief engi-\nneering works of the well-\nknown gate were shut in May by order of the har-\nbour trust"
+    items = spark.createDataFrame([(1, passage, "harbour trust"), (2, passage, "nobody")], "item_id long, passage string, answer string")
+    got = {(r.item_id, r.answered) for r in leaks.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).collect()}
+    assert got == {(1, True), (2, False)}
+
+
+def test_long_passages_align_in_parts():
+    import numpy as np
+
+    a = np.arange(9000)
+    assert leaks.shares_stretch(a[8500:8516], a) and not leaks.shares_stretch(a[8500:8514], a)
