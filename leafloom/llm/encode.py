@@ -4,12 +4,13 @@ A byte pair that lies inside no vocabulary token can never be joined by the enco
 fragments encoded by themselves. ``ForcedCuts`` reads the pairs from the vocabulary and keeps the cuts at which the
 tokenizer's own word pattern also starts afresh (it looks one white space ahead, and treats an apostrophe before letters
 specially), so the concatenation equals the encoding of the whole text. Fragments repeat heavily in natural text: each
-distinct one is encoded once per worker.
+distinct one is encoded once per worker process, which keeps its encoder from one task to the next.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import json
 import os
 import re
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments kept per worker; beyond it the memory is emptied and refilled, which changes no result.
-MEMO_FRAGMENTS = 300_000
+#: Fragments kept per worker, and the longest that are kept; beyond the first the memory is emptied and refilled, longer ones
+#: are encoded wherever they come up. Neither changes a result; together they bound the memory.
+MEMO_FRAGMENTS, MEMO_LENGTH = 300_000, 100
 #: The placeholder alphabet of byte-level vocabularies: printable Latin-1 bytes stand for themselves, others move up by 256.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -96,17 +98,23 @@ class FragmentEncoder:
         if len(memo) > MEMO_FRAGMENTS:
             memo.clear()
         new = list({f for x in split for f in x if f not in memo})
+        now: dict[str, list[int]] = {}
         for f, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            memo[f] = e.ids
+            (memo if len(f) <= MEMO_LENGTH else now)[f] = e.ids
         out = []
         for x in split:
             ids: list[int] = []
             for f in x:
-                ids += memo[f]
+                ids += memo[f] if f in memo else now[f]
             out.append(ids)
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> FragmentEncoder:
+    return FragmentEncoder(path)
+
+
 def encode_ids(df: DataFrame, key: str, text: str, *, vocabulary: str | None = None, key_as: str | None = None, ids: str = "ids") -> DataFrame:
     """(key, ids): the token ids of each row's text.
 
@@ -116,10 +124,10 @@ def encode_ids(df: DataFrame, key: str, text: str, *, vocabulary: str | None = N
     path, kind = vocabulary or default_vocabulary(), df.schema[key].dataType.simpleString()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = FragmentEncoder(path)
+        encoder = _encoder(path)
         for batch in rows:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 got = encoder.encode(part.column(1).to_pylist())
                 offsets = np.zeros(len(got) + 1, np.int32)
                 np.cumsum([len(x) for x in got], out=offsets[1:])
