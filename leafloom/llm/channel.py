@@ -84,11 +84,6 @@ def _bad_number(t: str) -> str:
     return bare if bad else ""
 
 
-def has_mark(line: str) -> bool:
-    """May a word be parted by a hyphen and a gap in the line?"""
-    return "- " in line or "\xad" in line or "¬" in line or "‐" in line or "‑" in line
-
-
 class _Memo(dict):
     """A dictionary that works out what it lacks; emptied when it grows large."""
 
@@ -159,7 +154,7 @@ class Edge:
     start: int
     end: int
     text: str
-    kind: str  # "" as it stands, "misread", "break", or "compound", which keeps its hyphen and is no case
+    kind: str  # "misread", "break", or "compound", which keeps its hyphen and is no case
 
 
 @dataclass
@@ -334,61 +329,81 @@ class Model:
 
     # ---- the lattice --------------------------------------------------------------------------------------------------
 
-    def plain(self, tokens: list[str]) -> bool:
-        """Has the line no edges but the tokens themselves?"""
-        if any(map(self.state.__getitem__, tokens)):
-            return False
-        words = [self.folded[t] for t in tokens]
-        return not any(x and y and x + y in self.words and self.glue_odds(tokens[k], tokens[k + 1]) > 0 for k, (x, y) in enumerate(zip(words, words[1:])))
+    def glued(self, tokens: list[str]) -> dict[int, float]:
+        """First token -> log odds, of the pairs of tokens that are likelier one word."""
+        words, out = [self.folded[t] for t in tokens], {}
+        known = self.words
+        for k, (x, y) in enumerate(zip(words, words[1:])):
+            if x and y and x + y in known and (odds := self.glue_odds(tokens[k], tokens[k + 1])) > 0:
+                out[k] = odds
+        return out
 
     def decode(self, tokens: list[str], kept: frozenset[int] | set[int] = frozenset()) -> list[Edge]:
-        """The likeliest printed line, by Viterbi over the whole lattice; the tokens in ``kept`` stand as they are."""
-        n = len(tokens)
-        parted = self._parted(tokens, kept)
+        """What changes on the likeliest printed line, by Viterbi over the whole lattice; tokens in ``kept`` stand as they are.
+
+        A token that has no other edge adds the same to every path that comes to it by one word, so nothing is reckoned for it
+        there; only where paths part is their cost needed.
+        """
+        state, folded = self.state, self.folded
+        open_at = [state[t] for t in tokens]
+        glued = self.glued(tokens)
+        parted = self._parted(tokens, kept) if any(t[-1] in MARKS for t in tokens) else {}
+        if not glued and not parted and not any(open_at):
+            return []
         kept = set(kept) | {k + d for k in parted for d in (0, 1)}
-        at: list[dict[str, tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
-        at[0][""] = (0.0, None)
+        n = len(tokens)
+        at: list[dict[str, tuple[float, tuple | None]] | None] = [None] * (n + 1)
+        at[0] = {"": (0.0, None)}
 
-        def reach(k: int, last: str, score: float, back: tuple) -> None:
-            old = at[k].get(last)
-            if old is None or score > old[0]:
-                at[k][last] = (score, back)
+        def reach(k: int, last: str, score: float, back: tuple | None) -> None:
+            here = at[k]
+            if here is None:
+                at[k] = {last: (score, back)}
+            elif last not in here or score > here[last][0]:
+                here[last] = (score, back)
 
         for k, t in enumerate(tokens):
-            here, at[k] = at[k], {}
-            if not here:
+            here = at[k]
+            if here is None:
                 continue
-            if k in parted:
-                text, kind = parted[k]
-                best = max(here.values(), key=lambda x: x[0])
-                reach(k + 2, "", best[0], (best[1], Edge(k, k + 2, text, kind)))
+            low = folded[t]
+            if k in parted or k in kept or not low:
+                score, back = max(here.values(), key=_cost)
+                if k in parted:
+                    text, kind = parted[k]
+                    reach(k + 2, "", score, (back, Edge(k, k + 2, text, kind)) if kind else back)
+                    continue
+                bad = _bad_number(t) if open_at[k] and k not in kept else ""
+                reach(k + 1, "", score, (back, Edge(k, k + 1, t.replace(bad, bad.translate(_DIGITS), 1), "misread")) if bad else back)
                 continue
-            w = "" if k in kept else clean(t)
-            if not w:
-                best = max(here.values(), key=lambda x: x[0])
-                bad = "" if k in kept else _bad_number(t)
-                reach(k + 1, "", best[0], (best[1], Edge(k, k + 1, t.replace(bad, bad.translate(_DIGITS), 1), "misread") if bad else Edge(k, k + 1, t, "")))
+            glue = glued.get(k) if k + 1 not in kept else None
+            if not open_at[k] and glue is None:
+                if len(here) == 1 and at[k + 1] is None:
+                    at[k + 1] = {low: next(iter(here.values()))}
+                else:
+                    for last, (score, back) in here.items():
+                        reach(k + 1, low, score + self.log_after(last, low), back)
                 continue
-            if bad := _bad_number(t):
-                best = max(here.values(), key=lambda x: x[0])
-                reach(k + 1, "", best[0], (best[1], Edge(k, k + 1, t.replace(bad, bad.translate(_DIGITS), 1), "misread")))
+            if open_at[k] and (bad := _bad_number(t)):
+                score, back = max(here.values(), key=_cost)
+                reach(k + 1, "", score, (back, Edge(k, k + 1, t.replace(bad, bad.translate(_DIGITS), 1), "misread")))
                 continue
-            low = self.folded[t]
-            glue = self.glue_odds(t, tokens[k + 1]) if k + 1 < n and k + 1 not in kept else -1.0
-            split = self.fused.get(low)
-            counts_decide = len(self.candidates[w]) > 1 and low not in self.tracked  # a misread form has pairs of its own
+            w = clean(t)
+            options, split = self.candidates[w], self.fused.get(low)
+            counts_decide = len(options) > 1 and low not in self.tracked  # a misread form has pairs of its own
             for last, (score, back) in here.items():
-                for rank, (c, channel) in enumerate(self.candidates[w]):
-                    text = t.replace(w, recased(w, c), 1) if rank else t
-                    reach(k + 1, c.lower(), score + (self.log_word(c.lower()) if counts_decide else self.log_after(last, c.lower())) + channel, (back, Edge(k, k + 1, text, "" if text == t else "misread")))
-                as_read = score + self.log_after(last, low) + self.candidates[w][0][1]
-                if glue > 0:
-                    y = self.folded[tokens[k + 1]]
+                for rank, (c, channel) in enumerate(options):
+                    word = c.lower()
+                    cost = score + (self.log_word(word) if counts_decide else self.log_after(last, word)) + channel
+                    reach(k + 1, word, cost, (back, Edge(k, k + 1, t.replace(w, recased(w, c), 1), "misread")) if rank else back)
+                as_read = score + self.log_after(last, low) + options[0][1]
+                if glue is not None:
+                    y = folded[tokens[k + 1]]
                     reach(k + 2, low + y, as_read + self.log_after(low, y) + self.candidates[clean(tokens[k + 1])][0][1] + glue, (back, Edge(k, k + 2, t + tokens[k + 1], "misread")))
                 if split:
                     m, odds = split
                     reach(k + 1, low[m:], as_read + odds, (back, Edge(k, k + 1, t.replace(w, f"{w[:m]} {w[m:]}", 1), "misread")))
-        path, step = [], max(at[n].values(), key=lambda x: x[0])[1]
+        path, step = [], max(at[n].values(), key=_cost)[1]
         while step is not None:
             step, edge = step
             path.append(edge)
@@ -409,6 +424,10 @@ class Model:
         return out
 
 
+def _cost(path: tuple[float, tuple | None]) -> float:
+    return path[0]
+
+
 def recased(read: str, printed: str) -> str:
     """A folded printed word in the case of the read one; what both share stays as read."""
     low = read.lower()
@@ -435,24 +454,20 @@ def corrected(model: Model, line: str, *, kept_first: bool = False, kept_last: b
         line = _BAD_TIME.sub(lambda m: m[0].replace(" ", ""), line)
         kinds.add("misread")
     tokens = line.split()
-    if not tokens or (model.plain(tokens) and not has_mark(line)):
+    if not tokens:
         return line, kinds
-    kept = ({0} if kept_first else set()) | ({len(tokens) - 1} if kept_last else set())
-    path = model.decode(tokens, kept)
-    if all(not e.kind for e in path):
+    path = model.decode(tokens, ({0} if kept_first else set()) | ({len(tokens) - 1} if kept_last else set()))
+    if not path:
         return line, kinds
     places = [m.span() for m in re.finditer(r"\S+", line)]
     for e in reversed(path):
-        if e.kind:
-            kinds.add(e.kind)
-            line = line[: places[e.start][0]] + e.text + line[places[e.end - 1][1] :]
+        kinds.add(e.kind)
+        line = line[: places[e.start][0]] + e.text + line[places[e.end - 1][1] :]
     return line, kinds - {"compound"}
 
 
 def misread_at(model: Model, tokens: list[str], k: int) -> bool:
     """Is token k of a line misread?"""
-    if model.plain(tokens):
-        return False
     return any(e.kind == "misread" and e.start <= k < e.end for e in model.decode(tokens))
 
 
