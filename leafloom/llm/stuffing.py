@@ -11,6 +11,7 @@ the other signs. A logistic model, fitted on a bounded sample of the labelled pa
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -96,7 +97,7 @@ def parsed(text: str, known: Words) -> list[Segment]:
             continue
         words = _WORD.findall((_LINK.sub(" ", s) if linked else s).lower())
         terms = []
-        last, at = "", 0
+        last, at, alone = "", 0, False
         for i, w in enumerate(words):
             k = kinds.get(w)
             if k is None:
@@ -106,8 +107,9 @@ def parsed(text: str, known: Words) -> list[Segment]:
                     terms.append((f"{last} {w}", at, i))
                 if k == 2:
                     terms.append((w, i, i))
+                    alone = True
                 last, at = w, i
-        if len(terms) > 1:
+        if alone:  # pairs come in order by themselves
             terms.sort(key=_place)
         out.append((s, words, terms))
     return out
@@ -171,13 +173,14 @@ def segment_signs(text: str, keywords, known: Words | None = None, cut: list[Seg
                 for k in at:
                     often[k], even[k] = 1.0, evenness
     rows, sizes, k = [], [], 0
+    hot = list(itertools.accumulate((c > 0 for c in correlated), initial=0))
     function = known.function
     linked_text = "://" in text or "www." in text.lower() or "<" in text
     for s, words, terms in cut:
         n, body = len(terms), s.strip()
-        recurrent = sum(often[k : k + n]) / n if n else 0.0
-        evenness = sum(even[k : k + n]) / n if n else 0.0
-        correlation = sum(correlated[k : k + n]) / n if n else 0.0
+        recurrent = evenness = correlation = 0.0
+        if n and (hot[k + n] > hot[k] or any(often[k : k + n])):
+            recurrent, evenness, correlation = sum(often[k : k + n]) / n, sum(even[k : k + n]) / n, sum(correlated[k : k + n]) / n
         k += n
         covered: set[int] = set()
         for t, i, j in terms:
