@@ -220,22 +220,31 @@ def segment_signs(text: str, keywords, known: Words | None = None, cut: list[Seg
     return np.array(rows, float).reshape(-1, len(FEATURES)), np.array(sizes, float)
 
 
-def _plain_page(text: str, cut: list[Segment], weights: np.ndarray, keywords) -> bool:
-    """Has a page no sign but the words' own kinds and fields, and can those never make a segment a stuffed one?"""
+def _most_stuffed(text: str, cut: list[Segment], weights: np.ndarray, keywords) -> float:
+    """An upper bound of the stuffed share of a page, without working out any sign.
+
+    A segment without a keyword, a term that comes again, a link or a tag has only the signs of its words' kinds and fields;
+    where the weights of these can't outweigh the bias, such segments are never stuffed.
+    """
     most = dict(zip(FEATURES, weights.tolist()))
     if most["bias"] + sum(max(0.0, most[f]) for f in ("function", "fields", "short_fields", "dense_list")) > 0:
-        return False
-    if "#" in text or "://" in text or "<" in text or "www." in text.lower():
-        return False
-    terms = [t for _, _, own in cut for t, _, _ in own]
-    distinct = set(terms)
-    return len(distinct) == len(terms) and distinct.isdisjoint(keywords)
-
-
-def stuffed_share(text: str, weights: np.ndarray, keywords, known: Words | None = None) -> float:
-    """Share of the characters that stand in stuffed segments; 0 for an empty or blank text."""
+        return 1.0
+    counts = Counter([t for _, _, terms in cut for t, _, _ in terms])
+    marked = "#" in text or "://" in text or "<" in text or "www." in text.lower()
+    some = every = 0
+    for s, _, terms in cut:
+        n = len(s.strip())
+        every += n
+        if (marked and ("#" in s or _LINK.search(s))) or any(counts[t] > 1 or t in keywords for t, _, _ in terms):
+            some += n
+    return some / every if every else 0.0
+
+
+def stuffed_share(text: str, weights: np.ndarray, keywords, known: Words | None = None, *, over: float = 0.0) -> float:
+    """Share of the characters that stand in stuffed segments; 0 for an empty or blank text, and for one whose share can't be
+    larger than ``over``."""
     cut = parsed(text, known := known or Words())
-    if _plain_page(text, cut, weights, keywords):
+    if _most_stuffed(text, cut, weights, keywords) <= over:
         return 0.0
     signs, sizes = segment_signs(text, keywords, known, cut)
     if not len(sizes):
@@ -400,7 +409,7 @@ def stuffed_pages(docs: DataFrame, labels: DataFrame, *, share: float = 0.5, max
         def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys, w, words = sent.value
             for pdf in slices(rows):
-                got = pdf.text.map(lambda t: stuffed_share(t, w, keys, words)).astype(float)
+                got = pdf.text.map(lambda t: stuffed_share(t, w, keys, words, over=share)).astype(float)
                 yield pd.DataFrame({"doc_id": pdf.doc_id[got > share], "share": got[got > share]})
 
         return texts.mapInPandas(run, f"doc_id {kind}, share double")
@@ -423,7 +432,7 @@ def _stuffed_by_join(texts: DataFrame, labels: DataFrame, terms: DataFrame, kind
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(rows):
-            shares = pd.Series([stuffed_share(t, weights, set(k), sent.value) for t, k in zip(pdf.text, pdf.known)], index=pdf.index, dtype=float)
+            shares = pd.Series([stuffed_share(t, weights, set(k), sent.value, over=share) for t, k in zip(pdf.text, pdf.known)], index=pdf.index, dtype=float)
             yield pd.DataFrame({"doc_id": pdf.doc_id[shares > share], "share": shares[shares > share]})
 
     return joined.mapInPandas(run, f"doc_id {kind}, share double")
