@@ -20,6 +20,13 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("markdown"))
 
 
+def bundled(spark: SparkSession, texts: dict[str, str], *, paths: list[str] | None = None) -> DataFrame:
+    """(path, markdown) of texts that are handed over in memory; a path that is asked for and isn't there is an error."""
+    if missing := [p for p in paths or () if p not in texts]:
+        raise KeyError(f"not bundled: {', '.join(missing)}")
+    return spark.createDataFrame([(p, texts[p]) for p in (paths or texts)], "path string, markdown string")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

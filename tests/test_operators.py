@@ -126,3 +126,39 @@ def test_stream(spark, tmp_path):
     q = stream.start(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_bundled_texts_and_changelog(spark, tmp_path):
+    import pytest
+
+    assert [r.markdown for r in readers.bundled(spark, {"a": "A", "b": "B"}, paths=["b"]).collect()] == ["B"]
+    with pytest.raises(KeyError):
+        readers.bundled(spark, {"a": "A"}, paths=["c"])
+    (tmp_path / "c.md").write_text("# Changes\n\nA note.\n\n---\n\n## May\n\nA crane.")
+    assert [r.entries for r in readers.read_changelog(spark, str(tmp_path / "c.md")).collect()] == ["## May\n\nA crane."]
+    assert tuple(readers.one_quote(spark, "r", "p").first())[:2] == ("r", "p")
+
+
+def test_review_queue_has_its_head(spark):
+    ranked = spark.createDataFrame([(1, 1, "name", "of|the", 3, 2, "a | b", "likely"), (1, 2, "name", "x", 1, 2, "c", "possible")], "doc_id long, rank int, pattern string, match string, n int, page int, context string, confidence string")
+    counts = spark.createDataFrame([(1, 9, 4, 2)], "doc_id long, pages int, footnotes int, auto_fixes int")
+    lines = [r.line for r in readers.review_queue(ranked, counts, top=1).orderBy("rank").collect()]
+    assert lines[0] == "Pages: 9  ·  Footnotes: 4  ·  Auto-fixes applied: 2" and lines[-1] == "| likely | name | `of|the` | 2 | a \\| b |" and len(lines) == 5
+
+
+def test_verify_of_one_report_and_of_the_run(spark):
+    good, bad = "## A\n\nthe cat sat", "the dog"
+    pairs = spark.createDataFrame([("a", 1, "## A\n\nthe cat sat", good), ("b", 2, "the cat", bad), ("c", 3, "x", bad), ("a", 4, "y", None)], "report_id string, doc_id long, source_text string, markdown string")
+    registry = spark.createDataFrame([("a", True), ("b", None), ("c", False)], "id string, ingested boolean")
+    assert {(r.report_id, r.ok) for r in fidelity.verify(pairs, registry).collect()} == {("a", True), ("b", False), (None, False)}
+    assert {(r.report_id, r.ok) for r in fidelity.verify(pairs, registry, report="a").collect()} == {("a", True), (None, True)}
+
+
+def test_sections_by_slug(spark):
+    md = spark.createDataFrame([(1, "## Full\n\nx\n\n## One\n\ny[^1]\n\n## Notes\n\n[^1]: a < b")], "doc_id long, markdown string")
+    secs = sections.section_texts(md, min_chars=1)
+    asked = spark.createDataFrame([(1, "one"), (1, "full"), (1, "gone")], "doc_id long, slug string")
+    got = {r.slug: (r.status, r.prev, r.text) for r in passages.section(asked, secs).collect()}
+    assert got == {"one": (200, "full", "## One\n\ny[^1]"), "full": (404, None, None), "gone": (404, None, None)}
+    body = notes.with_sidenotes(md).first()
+    assert body.used == 1 and 'id="sn-1-1"' in body.body and "a &lt; b" in body.body and "[^1]" not in body.body
