@@ -51,15 +51,16 @@ def repeated_lines(df: DataFrame, site_docs: DataFrame, *, min_docs: int = MIN_D
 
 
 def _with_own(df: DataFrame, repeated: DataFrame, max_broadcast: int) -> DataFrame:
-    """df (site, row_id, keys, ...) with ``own``: the repeated lines among the keys; rows without any are left out."""
+    """df (site, row_id, doc, keys, ...) with ``own``: the repeated lines of its site among the keys, null or empty for none."""
     by_site = repeated.groupBy(F.col("scope").alias("__scope")).agg(F.collect_list("key").alias("__repeated"))
-    df = df.filter(F.col("site").isNotNull() & F.col("doc").isNotNull()).withColumn("__scope", F.xxhash64("site"))
+    df = df.withColumn("__scope", F.xxhash64("site"))
     if repeated.count() <= max_broadcast:
-        joined = df.join(F.broadcast(by_site), "__scope")
+        joined = df.join(F.broadcast(by_site), "__scope", "left")
     else:  # a hot site is split over SALTS tasks
         by_site = by_site.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = df.withColumn("__salt", F.expr(f"pmod(xxhash64(row_id), {SALTS})").cast("int")).join(by_site, ["__scope", "__salt"]).drop("__salt")
-    return once(joined, own=F.array_intersect("keys", "__repeated")).filter(F.size("own") > 0).drop("__scope", "__repeated")
+        joined = df.withColumn("__salt", F.expr(f"pmod(xxhash64(row_id), {SALTS})").cast("int")).join(by_site, ["__scope", "__salt"], "left").drop("__salt")
+    own = F.when(F.col("site").isNotNull() & F.col("doc").isNotNull(), F.array_intersect("keys", "__repeated"))
+    return once(joined, own=own).drop("__scope", "__repeated")
 
 
 def excess_lines(df: DataFrame, site_docs: DataFrame, *, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -70,7 +71,7 @@ def excess_lines(df: DataFrame, site_docs: DataFrame, *, min_docs: int = MIN_DOC
     """
     df = (df if "keys" in df.columns else keyed(df)).select("tab", "site", "row_id", "doc", "keys")
     repeated = settled(repeated_lines(df, site_docs, min_docs=min_docs, min_share=min_share))
-    rows = _with_own(df, repeated, max_broadcast)
+    rows = _with_own(df, repeated, max_broadcast).filter(F.size("own") > 0)
     lines = rows.select("tab", "site", "row_id", "doc", "own", F.posexplode("keys").alias("line_no", "key"))
     return lines.filter(F.array_contains("own", F.col("key"))).select("tab", "site", "row_id", "doc", "line_no").distinct()
 
@@ -83,14 +84,6 @@ def clean_texts(df: DataFrame, site_docs: DataFrame, *, min_docs: int = MIN_DOCS
     """
     df = df.select("tab", "site", "row_id", "doc", "text")
     repeated = settled(repeated_lines(keyed(df).drop("text"), site_docs, min_docs=min_docs, min_share=min_share))
-    by_site = repeated.groupBy(F.col("scope").alias("__scope")).agg(F.collect_list("key").alias("__repeated"))
-    rows = keyed(df).withColumn("__scope", F.xxhash64("site"))
-    if repeated.count() <= max_broadcast:
-        joined = rows.join(F.broadcast(by_site), "__scope", "left")
-    else:
-        by_site = by_site.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("__salt", F.expr(f"coalesce(pmod(xxhash64(row_id), {SALTS}), 0)").cast("int")).join(by_site, ["__scope", "__salt"], "left")
-    own = F.when(F.col("site").isNotNull() & F.col("doc").isNotNull(), F.array_intersect("keys", "__repeated"))
-    joined = once(joined, own=own)
+    rows = _with_own(keyed(df), repeated, max_broadcast)
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not coalesce(array_contains(own, keys[i]), false)), '\\n')")
-    return joined.select("tab", "row_id", F.when(F.size("own") > 0, kept).otherwise(F.col("text")).alias("text"))
+    return rows.select("tab", "row_id", F.when(F.size("own") > 0, kept).otherwise(F.col("text")).alias("text"))
