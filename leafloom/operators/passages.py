@@ -9,6 +9,9 @@ from ..functions import text as X
 from ..plan_aids import once
 from . import sections as S
 
+#: Passages asked for that are broadcast; more of them are joined, each report in SALTS parts.
+MAX_BROADCAST, SALTS = 500_000, 64
+
 
 def catalog(registry: DataFrame) -> DataFrame:
     """(ord, id, title, byline) of the ingested reports in editorial order; a null flag means ingested."""
@@ -123,11 +126,29 @@ def section(asked: DataFrame, secs: DataFrame) -> DataFrame:
     return j.select("doc_id", "slug", F.when(F.col("i").isNull(), 404).otherwise(200).alias("status"), "i", "n", "title", "prev", "next", "text")
 
 
-def documents(md: DataFrame, paragraphs: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked(doc_id, para_id) -> (doc_id, para_id, description, text): the whole document, described by the passage if it is
-    known. Documents that nobody asks for are never joined."""
-    clean = X.trim_ws(F.regexp_replace(F.regexp_replace("text", r"\[\^[0-9]+\]", ""), f"{X.WS}+", " "))
-    hits = once(paragraphs.select("doc_id", "para_id", "text").join(asked, ["doc_id", "para_id"], "left_semi"), clean=clean)
-    hits = hits.select("doc_id", "para_id", X.truncate(F.col("clean")).alias("description"))
-    whole = md.filter(F.col("markdown").isNotNull()).join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", X.strip_front_matter(F.col("markdown")).alias("text"))
-    return asked.join(whole, "doc_id").join(hits, ["doc_id", "para_id"], "left").select("doc_id", "para_id", "description", "text")
+def documents(md: DataFrame, asked: DataFrame, *, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(doc_id, para_id, description, text): each document of a report for each passage that is asked of the report; the whole
+    document, described by the passage if it has it. md: doc_id (a key), report, markdown; asked: report, para_id.
+
+    What is asked meets a document in its own row, as one list per report, and rows are made from that list at the very end,
+    since the pairs of documents and passages grow as the product of both: neither they nor the texts beside them are moved.
+    """
+    asked = asked.select("report", "para_id").filter(F.col("report").isNotNull()).distinct()
+    names = asked.groupBy("report").agg(F.collect_list(F.struct("para_id")).alias("names"))  # a bare list would lose nulls
+    names = names.select("report", F.col("names")["para_id"].alias("names"))
+    small = asked.count() <= max_broadcast
+    md = md.filter(F.col("doc_id").isNotNull() & F.col("report").isNotNull())
+    if small:
+        md = md.join(F.broadcast(names.select("report")), "report", "left_semi")
+    docs = S.with_paragraphs(S.with_blocks(once(md, text=X.strip_front_matter(F.col("markdown"))))).select("doc_id", "report", "text", "paragraphs")
+    if small:
+        docs = docs.join(F.broadcast(names), "report")
+    else:  # a hot report is split over SALTS tasks; a document moves once, before its rows are made
+        names = names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = docs.withColumn("__salt", F.expr(f"pmod(xxhash64(doc_id), {SALTS})").cast("int")).join(names, ["report", "__salt"])
+    clean = lambda t: X.trim_ws(F.regexp_replace(F.regexp_replace(t, r"\[\^[0-9]+\]", ""), f"{X.WS}+", " "))
+    own = F.filter("paragraphs", lambda p: F.array_contains("names", p["para_id"]))
+    docs = once(docs, own=F.transform(own, lambda p: F.struct(p["para_id"].alias("para_id"), clean(p["text"]).alias("clean"))))
+    known = F.transform("own", lambda p: F.struct(p["para_id"].alias("para_id"), X.truncate(p["clean"]).alias("description")))
+    unknown = F.transform(F.array_except("names", F.col("own")["para_id"]), lambda n: F.struct(n.alias("para_id"), F.lit(None).cast("string").alias("description")))
+    return once(docs, rows=F.concat(known, unknown)).select("doc_id", "text", F.inline("rows")).select("doc_id", "para_id", "description", "text")

@@ -283,7 +283,9 @@ def entries_only(spark, d):
 
 
 def document_passage(spark, d):
-    return passages.documents(_md(spark, d), sections.paragraphs(_md(spark, d)), _asked(spark, d))
+    md = _table(spark, d, "ingest_results").select(F.col("result_id").alias("doc_id"), F.col("report_id").alias("report"), "markdown")
+    asked = _table(spark, d, "share_quotes").select("report", F.col("paragraph").alias("para_id"))
+    return passages.documents(spread(md), asked)
 
 
 def section_of(spark, d):

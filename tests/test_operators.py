@@ -162,3 +162,39 @@ def test_sections_by_slug(spark):
     assert got == {"one": (200, "full", "## One\n\ny[^1]"), "full": (404, None, None), "gone": (404, None, None)}
     body = notes.with_sidenotes(md).first()
     assert body.used == 1 and 'id="sn-1-1"' in body.body and "a &lt; b" in body.body and "[^1]" not in body.body
+
+
+def moved(df):
+    """Of each exchange that a join or grouping needs, the names of the columns that it moves."""
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, out = [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Exchange" and "hashpartitioning" in node.simpleString(1000):
+            out.append({node.output().apply(k).name() for k in range(node.output().size())})
+    return out
+
+
+def test_document_passage_moves_no_text(spark, small):
+    from leafloom.plans import catalog_queries
+
+    assert not [x for x in moved(catalog_queries()["document_passage"](spark, small)) if x & {"text", "markdown", "paragraphs", "doc_id"}]
+
+
+def test_documents_by_passage(spark):
+    md = spark.createDataFrame(
+        [(1, "a", "---\nt: x\n---\nGrey boats[^1]\nleft harbour\n\nGrey boats left harbour"), (2, "a", ""), (3, "a", None), (4, "b", "Grey boats left harbour"), (5, None, "Grey boats left harbour"), (None, "a", "no key")],
+        "doc_id long, report string, markdown string",
+    )
+    asked = [("a", "grey-boats-left-harbour"), ("a", "grey-boats-left-harbour"), ("a", "grey-boats-left-harbour-2"), ("a", None), ("c", "x"), (None, "grey-boats-left-harbour"), (None, None)]
+    asked = spark.createDataFrame(asked, "report string, para_id string")
+    whole = "Grey boats[^1]\nleft harbour\n\nGrey boats left harbour"
+    said = "Grey boats left harbour"
+    want = [(1, None, None, whole), (1, "grey-boats-left-harbour", said, whole), (1, "grey-boats-left-harbour-2", said, whole)]
+    want += [(2, None, None, ""), (2, "grey-boats-left-harbour", None, ""), (2, "grey-boats-left-harbour-2", None, "")]
+    for most in (100, 0):
+        got = passages.documents(md, asked, max_broadcast=most)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        texts = [x for x in moved(got) if x & {"text", "markdown"}]
+        assert texts == ([] if most else [{"doc_id", "report", "text", "paragraphs", "__salt"}])
